@@ -20,23 +20,36 @@ def coverage(canonical_skills: Column, stack: str) -> Column:
     return F.size(F.array_intersect(canonical_skills, _strings(parts))) / F.lit(len(parts))
 
 
-def _named(canonical_skills: Column, accept) -> Column:
-    names = [
-        F.when(accept(coverage(canonical_skills, s), len(parts)), s) for s, parts in vocab.STACKS.items()
-    ]
-    return F.array_sort(F.array_compact(F.array(*names)))
+def _covered(canonical_skills: Column, accept) -> Column:
+    """Names of the stacks whose (found, size) component counts are accepted."""
+    catalogue = F.array(*[
+        F.struct(F.lit(stack).alias("stack"), _strings(parts).alias("parts"))
+        for stack, parts in vocab.STACKS.items()
+    ])
+    found = F.filter(
+        catalogue,
+        lambda s: accept(F.size(F.array_intersect(canonical_skills, s["parts"])), F.size(s["parts"])),
+    )
+    return F.sort_array(F.transform(found, lambda s: s["stack"]))
 
 
 def complete_stacks(canonical_skills: Column) -> Column:
-    return _named(canonical_skills, lambda share, size: share == 1.0)
+    return _covered(canonical_skills, lambda found, size: found == size)
+
+
+def _is_partial(found: Column, size: Column) -> Column:
+    # stacks of one or two components count only when complete
+    return (found >= size * vocab.PARTIAL_COVERAGE) & (found < size) & (size > 2)
 
 
 def partial_stacks(canonical_skills: Column) -> Column:
     """Stacks of more than two components that are at least half covered."""
-    return _named(
-        canonical_skills,
-        lambda share, size: (share >= vocab.PARTIAL_COVERAGE) & (share < 1.0) & F.lit(size > 2),
-    )
+    return _covered(canonical_skills, _is_partial)
+
+
+def covered_stacks(canonical_skills: Column) -> Column:
+    """Complete and partial stacks together."""
+    return _covered(canonical_skills, lambda found, size: (found == size) | _is_partial(found, size))
 
 
 def mentioned_stacks(cleaned: Column) -> Column:
@@ -48,15 +61,12 @@ def mentioned_stacks(cleaned: Column) -> Column:
         without_word = F.replace(upper, F.lit(" STACK"), F.lit(""))
         return F.replace(without_word, F.lit(".JS"), F.lit(".js"))
 
-    return F.array_sort(F.array_distinct(F.transform(hits, spell)))
+    return F.sort_array(F.array_distinct(F.transform(hits, spell)))
 
 
 def all_stacks(canonical_skills: Column, cleaned: Column) -> Column:
-    return F.array_sort(
-        F.array_union(
-            F.array_union(complete_stacks(canonical_skills), partial_stacks(canonical_skills)),
-            mentioned_stacks(cleaned),
-        )
+    return F.sort_array(
+        F.array_union(covered_stacks(canonical_skills), mentioned_stacks(cleaned))
     )
 
 
@@ -76,7 +86,7 @@ def stack_skills(names: Column) -> Column:
 
 def expand_skills(hard: Column, names: Column, expandable: Column) -> Column:
     """Hard skills plus stack names plus the components of the expandable stacks."""
-    return F.array_sort(F.array_distinct(F.concat(hard, names, stack_skills(expandable))))
+    return F.sort_array(F.array_distinct(F.concat(hard, names, stack_skills(expandable))))
 
 
 def tech_stack(stack_names: Column, hard: Column) -> Column:

@@ -31,6 +31,10 @@ def _any_of(alternatives) -> str:
     return "(?:" + "|".join(alternatives) + ")"
 
 
+def _head(alternative: str) -> str:
+    return alternative[:2] if alternative.startswith("\\") else alternative[0]
+
+
 def _by_first_letter(alternatives) -> str:
     """Alternation grouped by first letter.
 
@@ -40,19 +44,33 @@ def _by_first_letter(alternatives) -> str:
     """
     groups = {}
     for alternative in alternatives:
-        size = 2 if alternative.startswith("\\") else 1
-        groups.setdefault(alternative[:size].lower(), []).append(alternative[size:])
+        head = _head(alternative)
+        groups.setdefault(head.lower(), []).append(alternative[len(head):])
     return _any_of(head + _any_of(rest) for head, rest in groups.items())
 
 
-TECHNOLOGY_PATTERN = (
-    f"{_FOLD}{_NOT_AFTER_WORD}({_by_first_letter(vocab.TECHNOLOGIES)}){_NOT_BEFORE_WORD}"
-)
-SOFT_PATTERN = f"{_FOLD}{_NOT_AFTER_WORD}({_by_first_letter(vocab.SOFT_SKILLS)}){_NOT_BEFORE_WORD}"
-SENIORITY_PATTERN = f"{_FOLD}{_EDGE}({_any_of(vocab.SENIORITY)}){_EDGE}"
-STACK_PATTERN = f"{_FOLD}{_EDGE}({_any_of(vocab.STACK_MENTIONS)}){_EDGE}"
-EXPERIENCE_PATTERN = _FOLD + vocab.EXPERIENCE
-SALARY_PATTERN = _FOLD + vocab.SALARY
+def _opening(heads) -> str:
+    """Look-ahead for the first letter in either case, tried before anything costlier.
+
+    The long s and the Kelvin sign fold to s and k, so they are let through.
+    """
+    letters = dict.fromkeys(c for h in heads for c in (h.upper(), h.lower()))
+    return f"(?=[{''.join(letters)}ſK])"
+
+
+def _words(alternatives, ending=_NOT_BEFORE_WORD) -> str:
+    """Any of the alternatives (group 1) as a whole word, in any case."""
+    opening = _opening(_head(a) for a in alternatives)
+    return f"{opening}{_NOT_AFTER_WORD}{_FOLD}({_by_first_letter(alternatives)}){ending}"
+
+
+TECHNOLOGY_PATTERN = _words(vocab.TECHNOLOGIES)
+SOFT_PATTERN = _words(vocab.SOFT_SKILLS)
+# an abbreviation may end in a dot, so its right edge can lie before a letter
+SENIORITY_PATTERN = _words(vocab.SENIORITY, _EDGE)
+STACK_PATTERN = _words(vocab.STACK_MENTIONS)
+EXPERIENCE_PATTERN = rf"(?=[Mm\d]){_FOLD}{vocab.EXPERIENCE}"
+SALARY_PATTERN = _opening("rsb") + _FOLD + vocab.SALARY
 CONTRACT_PATTERN = vocab.CONTRACT
 
 
@@ -143,7 +161,7 @@ def canonical_names(names: Column) -> Column:
 
 def one_per_canonical(names: Column) -> Column:
     """One spelling per canonical name: the longest, then the smallest."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(F.array_distinct(names), lambda s: F.struct((-F.length(s)).alias("len"), s.alias("name")))
     )
     keyed = F.transform(ranked, lambda r: F.struct(r["name"].alias("name"), canonical(r["name"]).alias("key")))
@@ -157,7 +175,7 @@ def one_per_canonical(names: Column) -> Column:
 
 
 def labels_of(names: Column) -> Column:
-    return F.array_sort(F.transform(names, label))
+    return F.sort_array(F.transform(names, label))
 
 
 def nice_without_hard(nice: Column, hard: Column) -> Column:
@@ -179,7 +197,7 @@ def skill_names(names: Column) -> Column:
 def soft_skills(text: Column) -> Column:
     source = F.concat(soft_section(text), F.lit(" "), text)
     hits = F.regexp_extract_all(source, F.lit(SOFT_PATTERN), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(hits, F.lower)))
+    return F.sort_array(F.array_distinct(F.transform(hits, F.lower)))
 
 
 def years_experience(text: Column) -> Column:

@@ -111,7 +111,7 @@ def winning_tags(hits: Column) -> Column:
         )
     )
     return let(
-        F.array_sort(covered),
+        F.sort_array(covered),
         lambda c: F.transform(
             F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1)["pos"] != x["pos"], F.lit(True))),
             lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag")),

@@ -40,16 +40,16 @@ def with_text_features(posts: DataFrame, description: str = "description", expan
         ("_hard", text.labels_of(F.col("_hard_raw"))),
         ("_nice", text.labels_of(F.col("_nice_raw"))),
         ("_canonical", text.canonical_names(F.concat("_hard", "_nice"))),
-        ("_complete", stacks.complete_stacks(F.col("_canonical"))),
-        ("_partial", stacks.partial_stacks(F.col("_canonical"))),
-        ("_mentioned", stacks.mentioned_stacks(F.col("_text"))),
-        ("_sure", F.array_union("_complete", "_mentioned")),
-        ("_stacks", F.array_sort(F.array_union("_sure", "_partial"))),
+        ("_stacks", stacks.all_stacks(F.col("_canonical"), F.col("_text"))),
     )
     frame = posts
     for name, column in steps:
         frame = frame.withColumn(name, column)
-    expandable = F.col("_stacks") if expand_partial else F.col("_sure")
+    expandable = F.col("_stacks")
+    if not expand_partial:
+        expandable = F.array_union(
+            stacks.complete_stacks(F.col("_canonical")), stacks.mentioned_stacks(F.col("_text"))
+        )
     features = F.struct(
         stacks.expand_skills(F.col("_hard"), F.col("_stacks"), expandable).alias("hard_skills"),
         text.soft_skills(F.col("_text")).alias("soft_skills"),
