@@ -9,6 +9,8 @@ expected features directly and never repeat a pattern.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -94,7 +96,7 @@ def advert(text_before: Column = None) -> Column:
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -138,7 +140,7 @@ def long_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The advert part belongs to the order with the document's number.
     """
     rows = _order_rows(spark, sf_dir)
-    return table(spark, sf_dir, "documents").join(rows, F.col("doc_id") == F.col("o_orderkey")).select(
+    return spread(table(spark, sf_dir, "documents")).join(rows, F.col("doc_id") == F.col("o_orderkey")).select(
         F.col("doc_id").alias("id"), advert(F.col("text")).alias("description")
     )
 

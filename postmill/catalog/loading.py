@@ -9,8 +9,8 @@ from postmill.catalog.adapter import POSTS_SQL, WITH_FEATURES, posts, table
 from postmill.functions import responses, vocab
 from postmill.operators import dimensions, ingest
 from postmill.plans import extraction
-from postmill.session import scratch_path
-from postmill.sources.tables import Store
+from postmill.session import scratch_path, stage
+from postmill.sources.tables import Store, empty_table
 
 
 def _store(spark):
@@ -18,12 +18,12 @@ def _store(spark):
 
 
 def _empty(spark):
-    return {name: spark.createDataFrame([], schema.TABLES[name]) for name in extraction.WRITE_ORDER}
+    return {name: empty_table(spark, name) for name in extraction.WRITE_ORDER}
 
 
 def _fields(spark, sf):
     featured = extraction.with_text_features(posts(spark, sf))
-    return extraction.job_fields(featured, "regex")
+    return stage(extraction.job_fields(featured, "regex"), "job-fields")
 
 
 def pending_posts(spark, sf):
@@ -39,7 +39,7 @@ def first_pending_posts(spark, sf):
 
 def loaded_jobs(spark, sf):
     """Jobs of a full load, with the keys resolved back to names."""
-    new = extraction.star_tables(extraction.good_rows(_fields(spark, sf)), _empty(spark))
+    new = extraction.star_tables(extraction.good_rows(_fields(spark, sf)), _empty(spark), stage)
     jobs = new["jobs"]
     for key, dimension in (
         ("company_id", "companies"), ("contract_type_id", "contract_types"),
@@ -57,7 +57,7 @@ def loaded_jobs(spark, sf):
 
 def loaded_skill_counts(spark, sf):
     """Bridge rows per skill name of all three kinds."""
-    new = extraction.star_tables(extraction.good_rows(_fields(spark, sf)), _empty(spark))
+    new = extraction.star_tables(extraction.good_rows(_fields(spark, sf)), _empty(spark), stage)
     counts = None
     for kind, (bridge, skill_id, _) in schema.SKILL_KINDS.items():
         names = new[kind].select(F.col("id").alias(skill_id), "name")
@@ -77,9 +77,9 @@ def resolved_companies(spark, sf):
 
 def resolved_cities(spark, sf):
     rows = posts(spark, sf).select("city", "state")
-    states = dimensions.get_or_create(spark.createDataFrame([], schema.DIMENSION), dimensions.state_names(rows))
+    states = dimensions.get_or_create(empty_table(spark, "states"), dimensions.state_names(rows))
     cities = dimensions.new_members(
-        spark.createDataFrame([], schema.CITY), dimensions.city_names(rows, states), ("name", "state_id")
+        empty_table(spark, "cities"), dimensions.city_names(rows, states), ("name", "state_id")
     )
     return cities.join(states.select(F.col("id").alias("state_id"), F.col("name").alias("state")), "state_id").select(
         "name", "state"

@@ -11,7 +11,7 @@ from postmill.functions import text, vocab
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array({})".format(", ".join(f"'{v}'" for v in values)))
 
 
 def coverage(canonical_skills: Column, stack: str) -> Column:
@@ -71,10 +71,10 @@ def all_stacks(canonical_skills: Column, cleaned: Column) -> Column:
 
 
 def _components() -> Column:
-    entries = []
-    for stack, parts in vocab.STACKS.items():
-        entries += [F.lit(stack), _strings(parts)]
-    return F.create_map(*entries)
+    entries = ", ".join(
+        "'{}', array({})".format(stack, ", ".join(f"'{p}'" for p in parts)) for stack, parts in vocab.STACKS.items()
+    )
+    return F.expr(f"map({entries})")
 
 
 def stack_skills(names: Column) -> Column:

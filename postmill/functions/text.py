@@ -139,7 +139,9 @@ def technologies(text: Column) -> Column:
 
 
 def _lookup(entries: dict) -> Column:
-    return F.create_map(*[F.lit(v) for pair in entries.items() for v in pair])
+    # one parsed literal instead of a Python call per entry
+    quoted = ", ".join(f"'{v}'" for pair in entries.items() for v in pair)
+    return F.expr(f"map({quoted})")
 
 
 def canonical(name: Column) -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 def checked_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
     """`new`, failing the job if an id would stand for two different keys."""
     keys = [c for c in new.columns if c != "id"]
-    seen = existing.select(*new.columns).unionByName(new)
-    clash = seen.groupBy("id").agg(
-        F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high")
+    tagged = existing.select(*new.columns, F.lit(True).alias("stored")).unionByName(
+        new.withColumn("stored", F.lit(False))
     )
-    fine = clash.select("id", F.assert_true(F.col("low") == F.col("high"), F.lit("id collision")).alias("ok"))
-    return new.join(fine.where(F.col("ok").isNull()).select("id"), "id", "left_semi")
+    per_id = tagged.groupBy("id").agg(
+        F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"), F.max("stored").alias("stored")
+    )
+    clash = F.raise_error(F.lit("one id for two keys")).cast("boolean")
+    return per_id.where(F.when(F.col("low") != F.col("high"), clash).otherwise(~F.col("stored"))).select("id", "low.*")
 
 
 def new_members(existing: DataFrame, wanted: DataFrame, keys=("name",)) -> DataFrame:
@@ -48,10 +50,9 @@ def _company_name(company_id: Column, posted: Column) -> Column:
     return F.substring(F.coalesce(F.when(posted != "", posted), fallback), 1, 255)
 
 
-def post_companies(posts: DataFrame) -> DataFrame:
-    """(post id, company_id) with the generated key of posts that name no company id."""
-    name = _company_name(F.col("company_id"), F.col("career_page_name"))
-    return posts.select("id", F.coalesce("company_id", F.xxhash64(name)).alias("company_id"))
+def company_key(company_id: Column, posted: Column) -> Column:
+    """The company id, or a key generated from the name when the post has none."""
+    return F.coalesce(company_id, F.xxhash64(_company_name(company_id, posted)))
 
 
 def new_companies(existing: DataFrame, posts: DataFrame) -> DataFrame:
@@ -66,7 +67,8 @@ def new_companies(existing: DataFrame, posts: DataFrame) -> DataFrame:
         F.col("id").alias("post_id"),
         _company_name(F.col("company_id"), F.col("career_page_name")).alias("wanted"),
         "company_id",
-    ).withColumn("id", F.coalesce("company_id", F.xxhash64("wanted")))
+        company_key(F.col("company_id"), F.col("career_page_name")).alias("id"),
+    )
     candidates = (
         named.groupBy("id")
         .agg(F.min(F.struct("post_id", "wanted", "company_id")).alias("first"))

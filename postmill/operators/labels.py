@@ -151,10 +151,10 @@ def training_examples(labelled: DataFrame) -> DataFrame:
     described = labelled.where(F.col("description") != "").withColumn(
         "spans", spans("hard_skills", "soft_skills", "salary", "level", "contract_type")
     )
-    tagged = tag_documents(described)
-    return tagged.where(F.exists("ner_tags", lambda t: t != "O")).select(
-        F.col("id").cast("string").alias("id"), "tokens", "ner_tags"
-    )
+    # dropped inside a generator: a filter would be pushed below and tag twice
+    example = F.array(F.struct("tokens", "ner_tags"))
+    kept = F.filter(example, lambda e: F.exists(e["ner_tags"], lambda t: t != "O"))
+    return tag_documents(described).select(F.col("id").cast("string").alias("id"), F.inline(kept))
 
 
 def latest_span_per_token(covered: DataFrame, keys=("doc_id", "pos")) -> DataFrame:
@@ -232,7 +232,7 @@ def entity_spans(tags: Column) -> Column:
 
 def unmasked(tags: Column, mask: Column) -> Column:
     """Tags at the positions whose mask is true."""
-    return F.filter(tags, lambda t, i: F.get(mask, i))
+    return let(mask, lambda m: F.filter(tags, lambda t, i: F.get(m, i)))
 
 
 def entity_scores(tagged: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from postmill import schema
 from postmill.functions import coerce, stacks, text, vocab
 from postmill.operators import dimensions
-from postmill.session import stage
+from postmill.session import spread, stage
 from postmill.sources import deadletter
 from postmill.sources.tables import Store
 
@@ -27,7 +27,8 @@ def pending_posts(posts: DataFrame, jobs: DataFrame, limit: int = None) -> DataF
 def with_text_features(posts: DataFrame, description: str = "description", expand_partial: bool = True) -> DataFrame:
     """Add `features`, the struct of everything read from the description.
 
-    A narrow transformation: no shuffle, one Arrow call for rows with entities.
+    A narrow transformation: no shuffle of a large input, one Arrow call for
+    rows with entities.
     Steps are separate columns so that every regex runs once per row.
     """
     hard_source = text.without_section(F.col("_text"), F.col("_nice_text"))
@@ -42,7 +43,7 @@ def with_text_features(posts: DataFrame, description: str = "description", expan
         ("_canonical", text.canonical_names(F.concat("_hard", "_nice"))),
         ("_stacks", stacks.all_stacks(F.col("_canonical"), F.col("_text"))),
     )
-    frame = posts
+    frame = posts if posts.isStreaming else spread(posts)
     for name, column in steps:
         frame = frame.withColumn(name, column)
     expandable = F.col("_stacks")
@@ -123,35 +124,43 @@ def failed_rows(fields: DataFrame) -> DataFrame:
     )
 
 
-def star_tables(fields: DataFrame, existing: dict) -> dict:
+def star_tables(fields: DataFrame, existing: dict, keep=lambda rows, name: rows) -> dict:
     """New rows of every table for rows that passed validation.
 
-    `existing` maps table names to frames. Returns only what is to be added,
-    lazily; nothing is collected and every join is on a key.
+    `existing` maps table names to frames. Nothing is collected and every join
+    is on a key. `keep` fixes intermediate frames that several tables derive
+    from; a load passes `stage`, so that dimensions are computed once.
     """
     new = {}
-    new["companies"] = dimensions.new_companies(existing["companies"], fields)
-    clashing = dimensions.company_name_clashes(existing["companies"], new["companies"])
-    company_of = dimensions.post_companies(fields).withColumnRenamed("company_id", "company_key")
-    placed = fields.join(company_of, "id").join(
-        clashing.select(F.col("id").alias("company_key")), "company_key", "left_anti"
+    wanted = keep(dimensions.new_companies(existing["companies"], fields), "wanted-companies")
+    clashing = keep(dimensions.company_name_clashes(existing["companies"], wanted), "clashing-companies")
+    new["companies"] = wanted.join(clashing, "id", "left_anti")
+    clashing_keys = clashing.select(F.col("id").alias("company_key"))
+    keyed = fields.withColumn(
+        "company_key", dimensions.company_key(F.col("company_id"), F.col("career_page_name"))
+    )
+    placed = keyed.join(clashing_keys, "company_key", "left_anti")
+    new["rejected_companies"] = keyed.join(clashing_keys, "company_key", "left_semi").select(
+        F.format_string("Failed to process job %d: company name is taken", "id").alias("message"),
+        F.col("description").alias("payload"),
     )
-    new["companies"] = new["companies"].join(clashing, "id", "left_anti")
 
-    new["states"] = dimensions.new_members(existing["states"], dimensions.state_names(placed))
+    new["states"] = keep(dimensions.new_members(existing["states"], dimensions.state_names(placed)), "states")
     states = existing["states"].unionByName(new["states"])
-    new["cities"] = dimensions.new_members(
-        existing["cities"], dimensions.city_names(placed, states), ("name", "state_id")
+    new["cities"] = keep(
+        dimensions.new_members(existing["cities"], dimensions.city_names(placed, states), ("name", "state_id")),
+        "cities",
     )
     cities = existing["cities"].unionByName(new["cities"])
-    new["contract_types"] = dimensions.new_members(
-        existing["contract_types"], placed.select(F.col("contract_type").alias("name"))
+    new["contract_types"] = keep(
+        dimensions.new_members(existing["contract_types"], placed.select(F.col("contract_type").alias("name"))),
+        "contract-types",
     )
     contracts = existing["contract_types"].unionByName(new["contract_types"])
 
     for table, (bridge, skill_id, _) in schema.SKILL_KINDS.items():
         names = placed.select(F.explode(table).alias("name"))
-        new[table] = dimensions.new_members(existing[table], names)
+        new[table] = keep(dimensions.new_members(existing[table], names), table)
         pairs = dimensions.bridge_rows(
             placed.select(F.col("id").alias("job_id"), F.col(table).alias("names")),
             existing[table].unionByName(new[table]),
@@ -176,12 +185,6 @@ def star_tables(fields: DataFrame, existing: dict) -> dict:
             F.col("company_key").alias("company_id"), "contract_type_id", "state_id", "city_id",
         )
     )
-    new["rejected_companies"] = fields.join(company_of, "id").join(
-        clashing.select(F.col("id").alias("company_key")), "company_key", "left_semi"
-    ).select(
-        F.format_string("Failed to process job %d: company name is taken", "id").alias("message"),
-        F.col("description").alias("payload"),
-    )
     return new
 
 
@@ -210,11 +213,9 @@ def extract_and_load(
     featured = with_text_features(pending) if extractor is None else with_custom_features(pending, extractor)
     fields = stage(job_fields(featured, extractor_type), "job-fields")
     existing = {name: store.read(name) for name in WRITE_ORDER}
-    new = star_tables(good_rows(fields), existing)
-    # the tables below are appended to while later ones still read them, so
-    # every addition is fixed before the first append
-    fixed = {name: stage(new[name], name) for name in WRITE_ORDER}
+    new = star_tables(good_rows(fields), existing, stage)
+    # companies are appended to while later steps would still read them
     failures = stage(failed_rows(fields).unionByName(new["rejected_companies"]), "failures")
     for name in WRITE_ORDER:
-        store.append(name, fixed[name])
+        store.append(name, new[name])
     store.append("error_logs", deadletter.error_rows(failures, f"{extractor_type}_extractor"))

@@ -53,3 +53,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cores before costly per-row work.
+
+    A small table is often one file, hence one task. When its estimated size
+    would not fill the cores with scan tasks anyway, moving it costs nothing;
+    a large input is returned as it is and never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    task_bytes = 32 * 1024 * 1024
+    estimated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimated < cores * task_bytes else df

@@ -48,7 +48,8 @@ def _is_bad() -> Column:
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """One row per unusable page: broken JSON, or `data` absent or not a list."""
-    broken = F.col("_corrupt").isNotNull() & F.col("term").isNull() & F.col("page").isNull()
+    # a cut document may still yield its leading fields, so ask a JSON parser
+    broken = F.col("_corrupt").isNotNull() & F.try_parse_json("_corrupt").isNull()
     return pages.where(_is_bad()).select(
         F.when(broken, "invalid JSON in page").otherwise("missing or invalid data list").alias("message"),
         "term",

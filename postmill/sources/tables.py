@@ -6,6 +6,14 @@ from pyspark.sql import functions as F
 from postmill import schema
 
 
+def empty_table(spark: SparkSession, name: str) -> DataFrame:
+    """An empty frame the optimizer knows to be empty, so joins with it vanish."""
+    fields = schema.TABLES[name].fields
+    return spark.range(1).where(F.lit(False)).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    )
+
+
 class Store:
     """Tables of one deployment.
 
@@ -31,7 +39,7 @@ class Store:
     def read(self, name: str) -> DataFrame:
         columns = schema.TABLES[name]
         if not self.exists(name):
-            return self.spark.createDataFrame([], columns)
+            return empty_table(self.spark, name)
         if name in self.VERSIONED:
             versions = self.spark.read.schema(
                 schema.T.StructType(columns.fields + [schema.T.StructField("version", schema.T.LongType())])

@@ -47,6 +47,6 @@ def compare(frame, con, sql):
         return f"columns {sorted(frame.columns)} vs {sorted(names)}"
     if expected == actual:
         return None
-    extra = [r for r in actual if r not in set(expected)][:3]
-    lacking = [r for r in expected if r not in set(actual)][:3]
+    extra = list(set(actual) - set(expected))[:3]
+    lacking = list(set(expected) - set(actual))[:3]
     return f"{len(actual)} vs {len(expected)} rows; only spark: {extra}; only sql: {lacking}"
