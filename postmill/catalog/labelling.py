@@ -68,7 +68,7 @@ def latest_span_per_token(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 3).alias("pos"),
         F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("start"),
-        F.concat(F.lit("B-"), "l_returnflag", F.col("l_partkey").cast("string")).alias("tag"),
+        F.concat(F.lit("B-"), F.col("l_partkey").cast("string")).alias("tag"),
     )
     return labels.latest_span_per_token(lines)
 
@@ -166,13 +166,13 @@ tokens AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS i
   FROM (SELECT doc_id, {_TOKENS_SQL.format(text="text")} AS w FROM documents)),
 kinds AS (SELECT doc_id, i, length(tok) % 5 AS g, (length(tok) + CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END) % 5 AS p
   FROM tokens WHERE i % 11 <> 5),
-both AS (SELECT 'gold' AS side, doc_id, i, g AS k FROM kinds UNION ALL SELECT 'predicted', doc_id, i, p FROM kinds),
+sides AS (SELECT 'gold' AS side, doc_id, i, g AS k FROM kinds UNION ALL SELECT 'predicted', doc_id, i, p FROM kinds),
 named AS (SELECT side, doc_id, row_number() OVER (PARTITION BY side, doc_id ORDER BY i) - 1 AS pos, k = 0 AS b,
-  CASE WHEN k < 2 THEN 'HARD_SKILL' WHEN k = 2 THEN 'SOFT_SKILL' ELSE 'O' END AS label FROM both),
+  CASE WHEN k < 2 THEN 'HARD_SKILL' WHEN k = 2 THEN 'SOFT_SKILL' ELSE 'O' END AS label FROM sides),
 marked AS (SELECT *, CASE WHEN label <> 'O' AND (b OR label <> lag(label, 1, 'O') OVER w) THEN 1 ELSE 0 END AS opens
   FROM named WINDOW w AS (PARTITION BY side, doc_id ORDER BY pos)),
 grouped AS (SELECT *, sum(opens) OVER (PARTITION BY side, doc_id ORDER BY pos) AS entity FROM marked),
-entities AS (SELECT side, doc_id, entity, label, min(pos) AS start, max(pos) AS stop FROM grouped
+entities AS MATERIALIZED (SELECT side, doc_id, entity, label, min(pos) AS start, max(pos) AS stop FROM grouped
   WHERE label <> 'O' GROUP BY 1, 2, 3, 4)"""
 
 QUERIES = [
@@ -194,7 +194,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE replace(text, ',', '')
   AND NOT (doc_id % 4 <> 0 AND doc_id IN (SELECT doc_id FROM spans WHERE lower(txt) IN ('nothing', 'here', 'nothing here')))"""),
     ("latest_span_per_token", latest_span_per_token, """
 SELECT l_orderkey AS doc_id, l_partkey % 3 AS pos,
-       arg_max('B-' || l_returnflag || l_partkey, l_linenumber * 100000000000 + l_partkey) AS tag
+       arg_max('B-' || l_partkey, l_linenumber * 100000000000 + l_partkey) AS tag
 FROM lineitem GROUP BY 1, 2"""),
     ("entity_features", entity_features, """
 WITH e AS (SELECT conv_id, turn, turn % 4 AS k, role || (length(text) % 5) AS word FROM conversations)

@@ -23,8 +23,8 @@ def daily_counts(
     and named afterwards, so no join sees a hot skill.
     """
     recent = posts.where(F.col("published_date").isNotNull() & (F.col("published_date") >= F.lit(since)))
-    if "published_day" in posts.columns:
-        recent = recent.where(F.col("published_day") >= F.lit(since))
+    if "published_month" in posts.columns:
+        recent = recent.where(F.col("published_month") >= F.lit(since.replace(day=1)))
     dated = recent.select(F.col("id").alias("job_id"), F.to_date("published_date").alias("period"))
     named = skills.select(F.col("id").alias("hard_skill_id"), F.col("name").alias("technology"))
     if skill and skill.strip():

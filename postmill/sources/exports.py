@@ -52,7 +52,10 @@ def job_csv_rows(records: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Part files in row order, each with a header; NULL and '' are both empty."""
-    rows.write.csv(path, header=True, escape='"', emptyValue="", nullValue="")
+    rows.write.csv(
+        path, header=True, escape='"', emptyValue="", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def post_records(posts: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 class Store:
     """Tables of one deployment.
 
-    Posts are partitioned by publication day, so date filters prune folders.
+    Posts are partitioned by publication month, so date filters prune folders
+    without leaving a file per day.
     Search terms are small and mutable: every change writes a new version, and
     readers take the newest complete one.
     """
@@ -48,7 +49,7 @@ class Store:
             return versions.where(F.col("version") == newest).drop("version")
         if name == "jobs_posts":
             partitioned = schema.T.StructType(
-                columns.fields + [schema.T.StructField("published_day", schema.T.DateType())]
+                columns.fields + [schema.T.StructField("published_month", schema.T.DateType())]
             )
             return self.spark.read.schema(partitioned).parquet(self.path(name))
         return self.spark.read.schema(columns).parquet(self.path(name))
@@ -57,10 +58,10 @@ class Store:
         columns = [f.name for f in schema.TABLES[name].fields]
         rows = rows.select(*columns)
         if name == "jobs_posts":
-            # one day may hold most rows: let AQE split big days into several files
-            rows.withColumn("published_day", F.to_date("published_date")).hint(
-                "rebalance", "published_day"
-            ).write.mode("append").partitionBy("published_day").parquet(self.path(name))
+            # one month may hold most rows: AQE splits big months into several files
+            rows.withColumn("published_month", F.trunc("published_date", "month")).hint(
+                "rebalance", "published_month"
+            ).write.mode("append").partitionBy("published_month").parquet(self.path(name))
         else:
             rows.write.mode("append").parquet(self.path(name))
 
