@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores when it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 # --- posts -------------------------------------------------------------------
 
 def _case(column: str, values: dict) -> Column:
@@ -140,7 +145,7 @@ def long_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The advert part belongs to the order with the document's number.
     """
     rows = _order_rows(spark, sf_dir)
-    return spread(table(spark, sf_dir, "documents")).join(rows, F.col("doc_id") == F.col("o_orderkey")).select(
+    return text_table(spark, sf_dir, "documents").join(rows, F.col("doc_id") == F.col("o_orderkey")).select(
         F.col("doc_id").alias("id"), advert(F.col("text")).alias("description")
     )
 

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.adapter import table
+from postmill.catalog.adapter import table, text_table
 from postmill.operators import labels, split
 
 
 def document_tokens(spark, sf):
     """Tokens of whole documents with their positions."""
-    tokens = table(spark, sf, "documents").select("doc_id", F.posexplode(labels.tokens(F.col("text"))))
+    tokens = text_table(spark, sf, "documents").select("doc_id", F.posexplode(labels.tokens(F.col("text"))))
     return tokens.groupBy("doc_id").agg(
         F.count("*").alias("tokens"), F.sum(F.length("col") * (F.col("pos") % 97 + 1)).alias("weighted")
     )
@@ -21,7 +21,7 @@ def _labelled(spark, sf):
     case is also a soft skill, so that spans overlap; level is the first word.
     """
     tokens = labels.tokens(F.col("text"))
-    words = table(spark, sf, "documents").withColumn("w", F.transform(tokens, lambda t: F.replace(t, F.lit(","), F.lit(""))))
+    words = text_table(spark, sf, "documents").withColumn("w", F.transform(tokens, lambda t: F.replace(t, F.lit(","), F.lit(""))))
 
     def word(i):
         return F.coalesce(F.get("w", F.lit(i)), F.lit(""))
@@ -89,7 +89,7 @@ def entity_features(spark, sf):
 
 def _tagged(spark, sf):
     """Gold and predicted tags of whole documents, from word lengths."""
-    tokens = table(spark, sf, "documents").select("doc_id", labels.tokens(F.col("text")).alias("w"))
+    tokens = text_table(spark, sf, "documents").select("doc_id", labels.tokens(F.col("text")).alias("w"))
 
     def tag(size, shift):
         kind = (size + shift) % 5

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.adapter import WITH_FEATURES, long_adverts, posts, table
+from postmill.catalog.adapter import WITH_FEATURES, long_adverts, posts, table, text_table
 from postmill.functions import coerce, responses, stacks, text
 from postmill.plans.extraction import with_text_features
 
@@ -14,31 +14,31 @@ def _cleaned_posts(spark, sf):
 # --- whole pages and documents ------------------------------------------------
 
 def clean_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("text"))
+    return text_table(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("text"))
 
 
 def page_hosts(spark, sf):
     """Hosts of page URLs; every seventh URL is cut so that it cannot be parsed."""
-    pages = table(spark, sf, "pages")
+    pages = text_table(spark, sf, "pages")
     url = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("no url "), "url")).otherwise(F.col("url"))
     return pages.select("page_id", coerce.url_host(url).alias("host"))
 
 
 def description_prefixes(spark, sf):
-    documents = table(spark, sf, "documents").where(F.length("text") > 0)
+    documents = text_table(spark, sf, "documents").where(F.length("text") > 0)
     return documents.select("doc_id", text.prefix(F.col("text")).alias("prefix"))
 
 
 def document_technologies(spark, sf):
     """Vocabulary hits in whole documents, counted per display label."""
-    hits = table(spark, sf, "documents").select(
+    hits = text_table(spark, sf, "documents").select(
         F.explode(text.technologies(text.clean(F.col("text")))).alias("name")
     )
     return hits.groupBy(text.label(F.col("name")).alias("technology")).agg(F.count("*").alias("mentions"))
 
 
 def page_technologies(spark, sf):
-    hits = table(spark, sf, "pages").select(
+    hits = text_table(spark, sf, "pages").select(
         F.explode(text.technologies(text.clean(F.col("html")))).alias("name")
     )
     return hits.groupBy(text.canonical(F.col("name")).alias("technology")).agg(F.count("*").alias("mentions"))
@@ -161,7 +161,7 @@ def stack_mentions(spark, sf):
         F.lit("mern T3, next.js  stack; "), "text",
         F.when(F.col("doc_id") % 2 == 0, " JAMstack, Django Stack.").otherwise(" mernx, lamp_stack"),
     )
-    found = table(spark, sf, "documents").select(
+    found = text_table(spark, sf, "documents").select(
         "doc_id", stacks.mentioned_stacks(text.clean(planted)).alias("mentioned")
     )
     return found.select(
@@ -215,7 +215,7 @@ def titles(spark, sf):
     """Extracted title, else posted name, else a constant, cut to 255 characters."""
     extracted = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
     posted = F.when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise("")
-    return table(spark, sf, "documents").select("doc_id", coerce.title(extracted, posted).alias("title"))
+    return text_table(spark, sf, "documents").select("doc_id", coerce.title(extracted, posted).alias("title"))
 
 
 def tidy_lists(spark, sf):

@@ -65,28 +65,36 @@ def span_hits(lowered: Column, span_list: Column) -> Column:
     """
 
     def find(words):
-        def with_spans(parts):
-            openers = F.transform(parts, lambda s: F.get(s["words"], F.lit(0)))
-            marked = F.transform(
-                words, lambda w, i: F.when(F.array_contains(openers, w), i)
+        def matches(span, i):
+            # word by word: `slice` would copy the whole document for every try
+            first = F.get(words, i) == F.get(span["words"], F.lit(0))
+            rest = F.forall(
+                F.transform(span["words"], lambda w, j: F.coalesce(F.get(words, i + j) == w, F.lit(False))),
+                lambda same: same,
             )
+            return first & ((F.size(span["words"]) == 1) | rest)
 
-            def with_starts(starts):
-                def of_span(s):
-                    size = F.size(s["words"])
-                    matching = F.filter(
-                        starts, lambda i: F.slice(words, i + 1, size) == s["words"]
-                    )
-                    return F.transform(
-                        matching,
-                        lambda i: F.struct(
-                            s["ord"].alias("ord"), i.alias("start"), size.alias("size"), s["label"].alias("label")
-                        ),
-                    )
+        def of_spans(parts, starts):
+            def of_span(span):
+                return F.transform(
+                    F.filter(starts, lambda i: matches(span, i)),
+                    lambda i: F.struct(
+                        span["ord"].alias("ord"), i.alias("start"),
+                        F.size(span["words"]).alias("size"), span["label"].alias("label"),
+                    ),
+                )
 
-                return F.flatten(F.transform(parts, of_span))
+            return F.flatten(F.transform(parts, of_span))
 
-            return let(F.array_compact(marked), with_starts)
+        def with_spans(parts):
+            openers = F.transform(parts, lambda s: F.get(s["words"], F.lit(0)))
+            starts = let(
+                openers,
+                lambda first: F.array_compact(
+                    F.transform(words, lambda w, i: F.when(F.array_contains(first, w), i))
+                ),
+            )
+            return let(starts, lambda at: of_spans(parts, at))
 
         return let(_span_tokens(span_list), with_spans)
 
@@ -237,9 +245,12 @@ def unmasked(tags: Column, mask: Column) -> Column:
 
 def entity_scores(tagged: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
     """Micro precision, recall and F1 over exact entities of two tag columns."""
-    found = tagged.select(
-        entity_spans(F.col(gold)).alias("g"), entity_spans(F.col(predicted)).alias("p")
-    )
+
+    def keys(tags):
+        # as text: intersecting arrays of text is hashed, of structs it is pairwise
+        return F.transform(entity_spans(F.col(tags)), lambda e: F.concat_ws(" ", e["start"], e["end"], e["label"]))
+
+    found = tagged.select(keys(gold).alias("g"), keys(predicted).alias("p"))
     counts = found.agg(
         F.coalesce(F.sum(F.size("g")), F.lit(0)).alias("gold"),
         F.coalesce(F.sum(F.size("p")), F.lit(0)).alias("predicted"),

@@ -74,17 +74,20 @@ class Store:
         rows.select(*columns).write.parquet(f"{self.path(name)}/version={version}")
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, key: str, partitions: int, **options) -> DataFrame:
-    """A database table read in parallel ranges of an integer key."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    low, high = (
-        reader.option("query", f"select min({key}) as low, max({key}) as high from {table}").load().first()
-    )
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
-    if low is None:
-        return reader.load()
+def jdbc_table(
+    spark: SparkSession, url: str, table: str, key: str, bounds: tuple, partitions: int, **options
+) -> DataFrame:
+    """A database table read in parallel ranges of an integer key.
+
+    `bounds` only decide how the ranges are cut; rows outside them are read too.
+    """
+    low, high = bounds
     return (
-        reader.option("partitionColumn", key)
+        spark.read.format("jdbc")
+        .options(**options)
+        .option("url", url)
+        .option("dbtable", table)
+        .option("partitionColumn", key)
         .option("lowerBound", low)
         .option("upperBound", high)
         .option("numPartitions", partitions)
