@@ -52,14 +52,23 @@ def _dashed(text: Column) -> Column:
 
 
 def iso_datetime(ts: Column) -> Column:
-    """ISO text of a naive timestamp; the fraction appears only when non-zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(ts, "SSSSSS")
-    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+    """ISO text of a naive timestamp; the fraction appears only when non-zero.
+
+    Goes through the plain text form, which involves no time zone.
+    """
+    written = ts.cast("timestamp_ntz").cast("string")
+    whole = F.replace(F.substring(written, 1, 19), F.lit(" "), F.lit("T"))
+    fraction = F.substring(written, 21, 6)
+    return F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), F.rpad(fraction, 6, "0")))
 
 
 def iso_date(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("date").cast("string")
+
+
+def naive_utc(instant: Column) -> Column:
+    """An instant as naive UTC, whatever the session time zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def truncate(text: Column, size: int) -> Column:

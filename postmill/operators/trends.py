@@ -71,24 +71,22 @@ def packed_series(dense: DataFrame) -> DataFrame:
 
 def summary(dense: DataFrame) -> DataFrame:
     """Window, busiest day (the first one of equals), overall total and peak count."""
-    by_day = dense.groupBy("period").agg(F.sum("count").alias("day_total"))
+    # every day has one row per technology, so the totals of any day are all totals
+    by_day = dense.groupBy("period").agg(
+        F.sum("count").alias("day_total"),
+        F.max("count").alias("day_peak"),
+        F.count("*").alias("series"),
+        F.sum("total").alias("series_total"),
+    )
     busiest = F.max_by("period", F.struct("day_total", (-F.unix_date("period")).alias("earliest")))
-    days = by_day.agg(
+    return by_day.agg(
         F.min("period").alias("first_period"),
         F.max("period").alias("last_period"),
         busiest.alias("busiest_day"),
         F.max("day_total").alias("busiest_total"),
-    )
-    series = dense.groupBy("technology", "total").agg(F.max("count").alias("peak"))
-    overall = series.agg(
-        F.count("*").alias("technologies"), F.sum("total").alias("overall_total"), F.max("peak").alias("peak")
-    )
-    # one row each
-    return days.select(
-        "*",
-        overall.select("technologies").scalar().alias("technologies"),
-        overall.select("overall_total").scalar().alias("overall_total"),
-        F.greatest(F.lit(1), overall.select("peak").scalar()).alias("peak"),
+        F.max("series").alias("technologies"),
+        F.max("series_total").alias("overall_total"),
+        F.greatest(F.lit(1), F.max("day_peak")).alias("peak"),
     )
 
 

@@ -4,11 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill import schema
+from postmill.functions import coerce
 
 
 def now_utc() -> Column:
     """Current time as naive UTC, whatever the session time zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return coerce.naive_utc(F.current_timestamp())
 
 
 def error_rows(failures: DataFrame, source: str, payload: Column = None, created_at: Column = None) -> DataFrame:

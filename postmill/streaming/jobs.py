@@ -7,6 +7,7 @@ and an anti-join against them makes a repeated batch add nothing.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions import coerce
 from postmill.plans.extraction import extract_and_load
 from postmill.plans.ingest import ingest_pages
 from postmill.sources import pages
@@ -52,11 +53,12 @@ def live_daily_counts(mentions: DataFrame, lateness: str = "2 days") -> DataFram
     watermark passes them.
     """
     timed = mentions.where(F.col("published_date").isNotNull()).withColumn(
-        "event_time", F.to_timestamp_ltz(F.date_format("published_date", "yyyy-MM-dd HH:mm:ss"))
+        # naive UTC to an instant: windows are cut at UTC midnight
+        "event_time", F.concat(F.col("published_date").cast("string"), F.lit("+00:00")).cast("timestamp")
     )
     return (
         timed.withWatermark("event_time", lateness)
         .groupBy(F.window("event_time", "1 day"), "technology")
         .agg(F.count("*").alias("count"))
-        .select(F.to_date("window.start").alias("period"), "technology", "count")
+        .select(F.to_date(coerce.naive_utc(F.col("window.start"))).alias("period"), "technology", "count")
     )
