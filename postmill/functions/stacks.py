@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions import text, vocab
+from postmill.functions.binding import let
 
 
 def _strings(values) -> Column:
@@ -26,9 +27,12 @@ def _covered(canonical_skills: Column, accept) -> Column:
         F.struct(F.lit(stack).alias("stack"), _strings(parts).alias("parts"))
         for stack, parts in vocab.STACKS.items()
     ])
-    found = F.filter(
-        catalogue,
-        lambda s: accept(F.size(F.array_intersect(canonical_skills, s["parts"])), F.size(s["parts"])),
+    found = let(
+        canonical_skills,
+        lambda skills: F.filter(
+            catalogue,
+            lambda s: accept(F.size(F.array_intersect(skills, s["parts"])), F.size(s["parts"])),
+        ),
     )
     return F.sort_array(F.transform(found, lambda s: s["stack"]))
 
