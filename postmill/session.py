@@ -1,10 +1,14 @@
 """Session settings and shared scratch space."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: str | None = None
+
 
 def build_session(app: str = "postmill", **options) -> SparkSession:
     """A session with the settings the library is tuned for; `options` win."""
@@ -23,20 +27,36 @@ def build_session(app: str = "postmill", **options) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by the cluster.
-
-    Only a local-mode session without a setting falls back to a temporary folder.
-    """
+    """Folder all executors can reach, as named by spark.checkpoint.dir."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return configured.rstrip("/")
+
+
+def local_scratch(spark: SparkSession) -> SparkSession:
+    """Name a scratch folder for a session of one machine that has none (tests, bench, smoke runs)."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per Spark context."""
+    global _shipped
+    if _shipped != spark.sparkContext.applicationId:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "postmill.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("postmill", os.path.relpath(path, package)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped = spark.sparkContext.applicationId
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -11,6 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 QUERIES = entry_points.queries()
 SQL = entry_points.oracle_sql()
+OWN = sorted(name for module in entry_points._MODULES for name, _, _ in module.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(OWN) <= set(SQL)
 
 
 def test_names_are_unique():
@@ -29,6 +30,6 @@ def test_names_are_unique():
     assert len(names) == len(set(names))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OWN)
 def test_matches_sql(spark, duck, name):
     assert compare(QUERIES[name](spark, SF_DIR), duck, SQL[name]) is None
