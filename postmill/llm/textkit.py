@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN_BYTES = 2 << 20
+RUN_ROWS = 512
 
 _GENERATOR = np.random.Generator(np.random.PCG64(20240607))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -150,8 +151,8 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str, run_bytes: int = RUN_BYTES):
-    """Batches cut into runs of about `run_bytes` of text (at least one row), with their texts."""
+def runs(batches: Iterator[pa.RecordBatch], column: str, run_bytes: int = RUN_BYTES, run_rows: int = RUN_ROWS):
+    """Batches cut into runs of about `run_bytes` of text (one row at least, `run_rows` at most), with their texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -159,7 +160,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, run_bytes: int = RUN_BY
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(whole.offsets, whole.offsets[at] + run_bytes, "right")) - 1
-            end = min(max(end, at + 1), batch.num_rows)
+            end = min(max(end, at + 1), at + run_rows, batch.num_rows)
             lo, hi = whole.offsets[at], whole.offsets[end]
             yield batch.slice(at, end - at), Texts(whole.data[lo:hi], whole.offsets[at : end + 1] - lo)
             at = end
