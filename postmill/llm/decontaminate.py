@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.binding import let
 from postmill.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -31,8 +32,13 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+def text_hashes(text: Column, size: int) -> Column:
+    """Shingle hashes of a text; its words are split once."""
+    return let(words(text), lambda w: shingle_hashes(w, size))
+
+
 def shingle_hashes(w: Column, size: int) -> Column:
-    """Hash of each run of `size` words, in order; none where there are fewer words."""
+    """Hash of each run of `size` words, in order; none where there are fewer words. `w` should be bound."""
     count = F.size(w) - size + 1
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
@@ -40,12 +46,15 @@ def shingle_hashes(w: Column, size: int) -> Column:
 
 def fingerprint(values: Column) -> Column:
     """64-bit SimHash of shingle hashes; a repeated shingle weighs as often as it occurs."""
-    def bit(b: Column) -> Column:
-        ones = F.size(F.filter(values, lambda h: F.getbit(h, b) == 1))
-        return F.when(2 * ones > F.size(values), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    def made(bag: Column) -> Column:
+        def bit(b: Column) -> Column:
+            ones = F.size(F.filter(bag, lambda h: F.getbit(h, b) == 1))
+            return F.when(2 * ones > F.size(bag), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+
+    return let(values, made)
 
 
 def blocks(print64: Column) -> Column:
@@ -59,9 +68,14 @@ def blocks(print64: Column) -> Column:
 
 def overlap(left: Column, right: Column) -> Column:
     """Size of the intersection of two bags of hashes."""
-    common = F.array_intersect(left, right)
-    count = lambda bag, h: F.size(F.filter(bag, lambda x: x == h))
-    return F.aggregate(common, F.lit(0), lambda acc, h: acc + F.least(count(left, h), count(right, h)))
+    def count(bag: Column, h: Column) -> Column:
+        return F.size(F.filter(bag, lambda x: x == h))
+
+    def both(pair: Column) -> Column:
+        common = F.array_intersect(pair.l, pair.r)
+        return F.aggregate(common, F.lit(0), lambda acc, h: acc + F.least(count(pair.l, h), count(pair.r, h)))
+
+    return let(F.struct(left.alias("l"), right.alias("r")), both)
 
 
 def _needed(n: Column) -> Column:
@@ -73,7 +87,7 @@ def item_shingles(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """Items with their shingle size (five words, or all of a shorter item), hashes and rarest probes."""
     base = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates()
     base = base.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
-    hashed = F.coalesce(*(F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)) for k in range(1, SHINGLE + 1)))
+    hashed = F.coalesce(*(F.when(F.col("k") == k, let(F.col("w"), lambda w: shingle_hashes(w, k))) for k in range(1, SHINGLE + 1)))
     items = base.select("item_id", "k", hashed.alias("ih")).withColumn("n", F.size("ih"))
     # A bag that shares 0.8 n shingles misses 0.2 n at most: one of any n - 0.8 n + 1 is in it.
     least = F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)).cast("int")
@@ -108,18 +122,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks_of_size(docs: DataFrame, items: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     probes = items.select("item_id", F.explode("probes").alias("h"))
-    hashed = texts.select("doc_id", F.explode(shingle_hashes(words(F.col("text")), k)).alias("h"))
+    hashed = texts.select("doc_id", F.explode(text_hashes(F.col("text"), k)).alias("h"))
     hits = hashed.join(_sized(probes), "h").select("doc_id", "item_id").distinct()
     hits = scratch.write(hits, f"hits-{k}")
     near = hits.select("doc_id").distinct()
-    near = texts.join(_sized(near), "doc_id", "left_semi").select("doc_id", shingle_hashes(words(F.col("text")), k).alias("h"))
+    near = texts.join(_sized(near), "doc_id", "left_semi").select("doc_id", text_hashes(F.col("text"), k).alias("h"))
     pairs = near.join(_sized(hits), "doc_id").join(_sized(items.select("item_id", "ih", "n")), "item_id")
     windows = pairs.select("doc_id", "item_id", "ih", "h", "n", F.explode(window_starts()).alias("start"))
     windows = windows.select(
         "doc_id", "item_id", "start", "ih", F.slice("h", F.col("start") + 1, F.col("n")).alias("window")
     )
     printed = windows.withColumn("wp", fingerprint(F.col("window"))).withColumn("ip", fingerprint(F.col("ih")))
-    printed = printed.where(F.arrays_overlap(blocks(F.col("wp")), blocks(F.col("ip"))))
+    printed = printed.where(F.arrays_overlap(let(F.col("wp"), blocks), let(F.col("ip"), blocks)))
     near = printed.withColumn("hamming", F.bit_count(F.col("wp").bitwiseXOR(F.col("ip")))).where(F.col("hamming") <= RADIUS)
     shared = near.withColumn("shared", overlap(F.col("window"), F.col("ih")))
     union = F.size("window") + F.size("ih") - F.col("shared")
@@ -139,11 +153,13 @@ def window_starts() -> Column:
     need = F.least(_needed(n), F.ceil(F.lit(SIMILARITY) * n - F.lit(1e-9)).cast("int"))
     at = F.filter(F.transform("h", lambda h, i: F.when(F.array_contains("ih", h), i)), lambda i: i.isNotNull())
     last = F.greatest(size - n, F.lit(0))
-    enough = F.filter(
-        F.transform(at, lambda p, j: F.when(F.get(at, j + need - 1) <= F.least(p, last) + n - 1, F.least(p, last))),
-        lambda p: p.isNotNull(),
-    )
-    return F.array_distinct(enough)
+
+    def enough(places: Column) -> Column:
+        return F.transform(
+            places, lambda p, j: F.when(F.get(places, j + need - 1) <= F.least(p, last) + n - 1, F.least(p, last))
+        )
+
+    return F.array_distinct(F.filter(let(at, enough), lambda p: p.isNotNull()))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
