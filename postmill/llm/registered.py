@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import chat, decontaminate, language, mixing, pii, quality, secrets
+from postmill.llm import chat, decontaminate, jaccard, language, mixing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), jaccard.Rule(size=4, above=85))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    ("op1_ngram_jaccard", op1_ngram_jaccard, None),
     ("op2_quality_rules", op2_quality_rules, None),
     ("op5_secret_scans", op5_secret_scans, None),
     ("op6_chat_formatting", op6_chat_formatting, chat.DIGESTS_SQL),
