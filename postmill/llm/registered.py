@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import chat, decontaminate, jaccard, language, mixing, pii, quality, secrets, suffixes
+from postmill.llm import chat, decontaminate, jaccard, language, linedup, mixing, pii, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     ("op1_ngram_jaccard", op1_ngram_jaccard, None),
     ("op2_quality_rules", op2_quality_rules, None),
+    ("op3_line_dedup", op3_line_dedup, None),
     ("op4_suffix_dedup", op4_suffix_dedup, None),
     ("op5_secret_scans", op5_secret_scans, None),
     ("op6_chat_formatting", op6_chat_formatting, chat.DIGESTS_SQL),
