@@ -9,7 +9,7 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from postmill.session import build_session
+    from postmill.session import build_session, local_scratch, ship
 
     session = build_session(
         "tests",
@@ -21,5 +21,6 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(local_scratch(session))
     yield session
     session.stop()
