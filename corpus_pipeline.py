@@ -16,18 +16,18 @@ from postmill.llm.scratch import Scratch
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.judge(docs, quality.train(docs, labels), keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    judged = quality.judge(docs, quality.train(docs, labels), keep=tuple(docs.columns), prefix="__quality_")
+    return judged.where("__quality_kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents that lose all their words go."""
-    cleaned = linedup.without_repeats(docs)
-    worded = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed_lines") == 0)
+    cleaned = linedup.without_repeats(docs, prefix="__lines_")
+    worded = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("__lines_n_removed_lines") == 0)
     cleaned = cleaned.where(worded)
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, length).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__lines_n_removed_lines") > 0, length).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
 
 

@@ -103,8 +103,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     return later.select(*PLACE, "need")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with every text rid of its repeated lines, and n_lines, n_removed_lines (lines with words).
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
+    """`docs` with every text rid of its repeated lines, and n_lines, n_removed_lines (lines with words), named with `prefix`.
 
     Blank lines stay; a text may become empty. Rows without id or text are
     returned as they are, with no lines counted. Equal rows are one document; rows
@@ -136,9 +136,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 counts.append(len(spoken))
                 removed.append(len(gone))
             columns = [batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed_lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, f"{prefix}n_lines", f"{prefix}n_removed_lines"])
 
-    return joined.mapInArrow(rebuild, f"{fields}, n_lines long, n_removed_lines long")
+    return joined.mapInArrow(rebuild, f"{fields}, {prefix}n_lines long, {prefix}n_removed_lines long")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

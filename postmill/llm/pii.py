@@ -118,8 +118,9 @@ def _overlaps(span: tuple[int, int], others: list[tuple[int, int, int]]) -> bool
 
 def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int = FIT_CANDIDATES) -> Boosted:
     """Fit on candidates of at most `fit_texts` different texts; those that hold a validated span are the positive ones."""
-    texts = docs.where("text is not null").select("text").where("text rlike '[0-9@]'").distinct()
-    sample = texts.orderBy(F.xxhash64("text"), "text").limit(fit_texts)
+    usable = docs.where("text rlike '[0-9@]'").select("doc_id", "text", F.xxhash64("text").alias("__order"))
+    bound = usable.groupBy("__order").agg(F.min("doc_id").alias("doc_id")).orderBy("__order").limit(fit_texts)
+    sample = usable.join(F.broadcast(bound), ["__order", "doc_id"]).select("text")
 
     def rows(batches):
         for batch in batches:

@@ -201,8 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
     return fit(matrix, np.asarray(table.column("quality").to_pylist(), np.int64) > 0)
 
 
-def judge(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = KEEP_FROM) -> DataFrame:
-    """Columns `keep` of every row of `docs` with its counts, probability and verdict.
+def judge(
+    docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = KEEP_FROM, prefix: str = ""
+) -> DataFrame:
+    """Columns `keep` of every row of `docs` with its counts, probability and verdict, whose names start with `prefix`.
 
     A null or empty text has no words, so it fails the base rules. Rows of equal
     id are judged one by one. No row is left out and none is cut.
@@ -210,6 +212,7 @@ def judge(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
     extra = [name for name in keep if name != "text"]
     columns = [*extra, "text"] if "text" not in keep else list(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    verdicts = ", ".join(prefix + field for field in f"{RULES}, kept boolean, quality_chance double".split(", "))
 
     def score(batches):
         for batch, texts in runs(batches, "text"):
@@ -220,10 +223,10 @@ def judge(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
             arrays = [batch.column(batch.schema.get_field_index(name)) for name in keep]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, *(pa.array(v) for v in counts.values()), pa.array(kept), pa.array(chance)],
-                names=[*keep, *counts, "kept", "quality_chance"],
+                names=[*keep, *(prefix + name for name in (*counts, "kept", "quality_chance"))],
             )
 
-    return docs.select(*columns).mapInArrow(score, f"{fields}, {RULES}, kept boolean, quality_chance double")
+    return docs.select(*columns).mapInArrow(score, f"{fields}, {verdicts}")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
