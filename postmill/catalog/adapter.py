@@ -9,7 +9,6 @@ expected features directly and never repeat a pattern.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -22,8 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, spread over the cores when it is small."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts, dealt into the partitions that the session asks for, if it does.
+
+    Tables of one small file are one task; the setting `postmill.partitions`
+    spreads them. Without it the scan's own partitions are kept.
+    """
+    wanted = spark.conf.get("postmill.partitions", None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 # --- posts -------------------------------------------------------------------
@@ -101,7 +106,7 @@ def advert(text_before: Column = None) -> Column:
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     return (
-        spread(table(spark, sf_dir, "orders"))
+        text_table(spark, sf_dir, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -86,6 +86,12 @@ def technology_trends_dense(spark, sf):
     return _trend(spark, sf, days=500, limit=4)
 
 
+def technology_trends_requested(spark, sf):
+    """A request for more than is allowed, brought within its limits first."""
+    days, limit = trends.requested(days=500, limit=50)
+    return _trend(spark, sf, days=days, limit=limit)
+
+
 def technology_trends_packed(spark, sf):
     packed = trends.packed_series(_trend(spark, sf, days=90, limit=4))
     return packed.select("technology", "total", F.array_join("counts", ",").alias("counts"))
@@ -111,22 +117,25 @@ def event_trends(spark, sf):
     return technology_trends(posts, posts, mentions, kinds, EVENTS_AS_OF, days=7, limit=3)
 
 
-_DAILY_SQL = f"""
+def _daily_sql(since=SINCE_SQL):
+    return f"""
 daily AS (
   SELECT CAST(o_orderdate AS DATE) AS period, p_name AS technology, count(*) AS count
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
-  WHERE o_orderstatus <> 'P' AND o_orderdate >= {SINCE_SQL}
+  WHERE o_orderstatus <> 'P' AND o_orderdate >= {since}
   GROUP BY 1, 2
 )"""
 
-_TREND_SQL = f"""
-{_DAILY_SQL},
+
+def _trend_sql(since=SINCE_SQL, limit=4):
+    return f"""
+{_daily_sql(since)},
 kept AS (
   SELECT technology, CAST(sum(count) AS BIGINT) AS total FROM daily
-  GROUP BY 1 ORDER BY total DESC, technology LIMIT 4
+  GROUP BY 1 ORDER BY total DESC, technology LIMIT {limit}
 ),
 days AS (
-  SELECT CAST(d AS DATE) AS period FROM generate_series({SINCE_SQL}, DATE '2001-08-01', INTERVAL 1 DAY) t(d)
+  SELECT CAST(d AS DATE) AS period FROM generate_series({since}, DATE '2001-08-01', INTERVAL 1 DAY) t(d)
 ),
 dense AS (
   SELECT k.technology, k.total, days.period, coalesce(daily.count, 0) AS count
@@ -134,6 +143,9 @@ dense AS (
        LEFT JOIN daily ON daily.technology = k.technology AND daily.period = days.period
 )"""
 
+
+_DAILY_SQL, _TREND_SQL = _daily_sql(), _trend_sql()
+
 QUERIES = [
     ("table_counts", table_counts, """
 SELECT (SELECT count(*) FROM orders) AS total_jobs,
@@ -160,11 +172,12 @@ WITH {STAR_SQL} SELECT seniority AS name, count(*) AS count FROM jobs WHERE seni
      f"WITH {_DAILY_SQL} SELECT * FROM daily WHERE technology = 'small ring'"),
     ("technology_totals", technology_totals, f"""
 WITH {_DAILY_SQL} SELECT technology, CAST(sum(count) AS BIGINT) AS total FROM daily
-GROUP BY 1 ORDER BY total DESC, technology LIMIT 10"""),
+GROUP BY 1 ORDER BY total DESC, technology LIMIT 50"""),
     ("requested_technology_total", requested_technology_total, f"""
 WITH {_DAILY_SQL} SELECT technology, CAST(sum(count) AS BIGINT) AS total FROM daily
 WHERE technology = 'red widget' GROUP BY 1"""),
-    ("technology_trends_dense", technology_trends_dense, f"WITH {_TREND_SQL} SELECT * FROM dense"),
+    ("technology_trends_dense", technology_trends_dense, f"WITH {_trend_sql("DATE '2000-03-20'")} SELECT * FROM dense"),
+    ("technology_trends_requested", technology_trends_requested, f"WITH {_trend_sql(limit=10)} SELECT * FROM dense"),
     ("technology_trends_packed", technology_trends_packed, f"""
 WITH {_TREND_SQL} SELECT technology, total, string_agg(CAST(count AS VARCHAR), ',' ORDER BY period) AS counts
 FROM dense GROUP BY 1, 2"""),

@@ -1,6 +1,7 @@
 """Registered exports: files are written to the shared folder and read back as text."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from postmill.catalog import labelling, listings
 from postmill.catalog.adapter import POSTS_SQL, STAR_SQL, posts, table
@@ -14,11 +15,18 @@ def _lines(spark, path):
 
 
 def post_csv(spark, sf):
-    """Exported posts as CSV lines, one header per part file removed."""
+    """Exported posts as CSV lines in file order, one header per part file removed."""
     path = scratch_path(spark, "posts-csv")
     rows = posts(spark, sf).withColumn("description", F.concat(F.lit('a "quoted", '), "name"))
     exports.write_csv(exports.post_csv_rows(rows), path)
-    return _lines(spark, path).where(~F.col("line").startswith("id,company_id"))
+    lines = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "line")
+    ).where(~F.col("line").startswith("id,company_id") & (F.col("line") != ""))
+    # one small row for each file gives its first line number
+    counts = lines.groupBy("file").agg(F.count("*").alias("lines"))
+    before = counts.select("file", (F.sum("lines").over(Window.orderBy("file")) - F.col("lines")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("place"))
+    return lines.withColumn("place", place).join(before, "file").select((F.col("before") + F.col("place")).alias("n"), "line")
 
 
 def job_csv(spark, sf):
@@ -61,7 +69,7 @@ def dead_letters(spark, sf):
     )
     path = scratch_path(spark, "errors")
     deadletter.error_rows(failures, "scraper", created_at=F.col("ts")).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("id")
 
 
 def record_documents(spark, sf):
@@ -73,7 +81,7 @@ def record_documents(spark, sf):
 QUERIES = [
     ("post_csv", post_csv, f"""
 WITH {POSTS_SQL}
-SELECT p.id || ',' || company_id || ',' || name || ',"a ""quoted"", ' || name || '",' || career_page_name ||
+SELECT row_number() OVER (ORDER BY published_date DESC NULLS FIRST, p.id DESC) AS n, p.id || ',' || company_id || ',' || name || ',"a ""quoted"", ' || name || '",' || career_page_name ||
   ',https://jobs.example.com/' || company_id || ',' || o_orderstatus || ',' ||
   strftime(published_date, '%Y-%m-%dT%H:%M:%S') || ',' || strftime(CAST(published_date AS DATE) + 30, '%Y-%m-%d') || ',' ||
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'True' ELSE 'False' END || ',' || coalesce(city, '') || ',' ||

@@ -27,7 +27,14 @@ def post_page_newest(spark, sf):
 
 
 def post_page_by_workplace(spark, sf):
-    return listing.page_of(_posts(spark, sf), listing.post_ordering("workplace_type", "ASC"), page=130, page_size=500)
+    """A request for more rows than are allowed, brought within its limits first."""
+    page, size = listing.page_arguments(130, 500)
+    return listing.page_of(_posts(spark, sf), listing.post_ordering("workplace_type", "ASC"), page, size)
+
+
+def post_page_of_any_size(spark, sf):
+    """The operator itself gives pages of the size it is asked for."""
+    return listing.page_of(_posts(spark, sf), listing.post_ordering("workplace_type", "ASC"), 2, 500)
 
 
 def post_page_after_key(spark, sf):
@@ -49,11 +56,25 @@ def _named(spark, sf):
     return listing.with_location_names(s["jobs"], s["companies"], s["cities"], s["states"])
 
 
+_NEEDLES = ("-medium", "customer#00000001", "cidade 8", "frica")
 _JOB = ("id", "job_title", "salary", "company", "city", "state")
 
 
 def job_search(spark, sf):
-    return listing.filter_jobs(_named(spark, sf), search="CIDADE 3", location=" america ").select(*_JOB)
+    return listing.filter_jobs(_named(spark, sf), search="CIDADE 6", location=" america ").select(*_JOB)
+
+
+def job_search_by_column(spark, sf):
+    """Texts that occur in one column each: title, company, city, state."""
+    found = None
+    for needle in _NEEDLES:
+        rows = listing.filter_jobs(_named(spark, sf), search=needle).select(F.lit(needle).alias("needle"), *_JOB)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def job_location(spark, sf):
+    return listing.filter_jobs(_named(spark, sf), location=" eUrOpE ").select(*_JOB)
 
 
 def job_page_by_location(spark, sf):
@@ -155,6 +176,9 @@ ORDER BY published_date DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100"""),
     ("post_page_by_workplace", post_page_by_workplace, f"""
 WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts
 ORDER BY workplace_type ASC NULLS LAST, id ASC LIMIT 100 OFFSET 12900"""),
+    ("post_page_of_any_size", post_page_of_any_size, f"""
+WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts
+ORDER BY workplace_type ASC NULLS LAST, id ASC LIMIT 500 OFFSET 500"""),
     ("post_page_after_key", post_page_after_key, f"""
 WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts WHERE name > 'Vaga 40' ORDER BY name, id LIMIT 25"""),
     ("post_page_metadata", post_page_metadata, f"""
@@ -164,7 +188,13 @@ SELECT 2 AS page, 30 AS page_size, n AS total_items, greatest(1, (n + 29) // 30)
     ("post_lookup", post_lookup, f"WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts WHERE id = 17"),
     ("job_search", job_search, f"""
 WITH {STAR_SQL} SELECT {_JOB_COLUMNS} FROM named
-WHERE city = 'Cidade 3' AND (city ILIKE '%america%' OR state ILIKE '%america%')"""),
+WHERE city = 'Cidade 6' AND (city ILIKE '%america%' OR state ILIKE '%america%')"""),
+    ("job_search_by_column", job_search_by_column, f"""
+WITH {STAR_SQL} SELECT needle, {_JOB_COLUMNS} FROM named, (VALUES {", ".join(f"('{n}')" for n in _NEEDLES)}) t(needle)
+WHERE job_title ILIKE '%' || needle || '%' OR company ILIKE '%' || needle || '%'
+   OR city ILIKE '%' || needle || '%' OR state ILIKE '%' || needle || '%'"""),
+    ("job_location", job_location, f"""
+WITH {STAR_SQL} SELECT {_JOB_COLUMNS} FROM named WHERE state = 'EUROPE'"""),
     ("job_page_by_location", job_page_by_location, f"""
 WITH {STAR_SQL} SELECT {_JOB_COLUMNS} FROM named ORDER BY city ASC NULLS LAST, id ASC LIMIT 40 OFFSET 40"""),
     ("job_page_by_salary", job_page_by_salary, f"""

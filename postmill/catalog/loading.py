@@ -107,21 +107,60 @@ def bridge_rows(spark, sf):
     return dimensions.bridge_rows(lists, names, "hard_skill_id")
 
 
-def failed_rows(spark, sf):
-    """Posts whose salary does not fit the stored type, next to sound ones."""
-    dear = F.col("o_orderkey") % 4 == 0
+def dear_salaries(spark, sf):
+    """Salaries beyond 32 bits are stored like others."""
     rows = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.lit(1).cast("bigint").alias("company_id"),
-        F.lit("Acme").alias("career_page_name"),
-        F.lit("Vaga").alias("name"),
-        F.lit(None).cast("string").alias("state"),
-        F.lit(None).cast("string").alias("city"),
-        F.concat(F.lit("Oferta R$ "), F.when(dear, "9.999.").otherwise(""), F.floor("o_totalprice"),
-                 F.when(dear, "000").otherwise("")).alias("description"),
+        F.col("o_orderkey").alias("id"), F.lit(1).cast("bigint").alias("company_id"), F.lit("Acme").alias("career_page_name"),
+        F.repeat(F.lit("Vaga "), F.lit(60)).alias("name"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("city"),
+        F.concat(F.lit("Oferta R$ 9.999."), F.floor("o_totalprice"), F.lit("000")).alias("description"),
+    )
+    fields = extraction.good_rows(extraction.job_fields(extraction.with_text_features(rows), "regex"))
+    return fields.select("id", "salary")
+
+
+_RESULT = T.StructType([T.StructField("job_title", T.StringType()), T.StructField("years_experience", T.IntegerType())])
+
+
+def _counted_words(description: pd.Series) -> pd.DataFrame:
+    """A user's extractor that gives up on texts with a bar."""
+    if description.str.contains("|", regex=False).any():
+        raise ValueError("bars are not supported")
+    words = description.str.split()
+    return pd.DataFrame({"job_title": words.map(lambda w: w[0] if w else "none"), "years_experience": words.map(len).astype("int32")})
+
+
+def _described(spark, sf):
+    """Documents as posts; every 17th has no description."""
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.lit(1).cast("bigint").alias("company_id"), F.lit("Acme").alias("career_page_name"),
+        F.lit("Vaga").alias("name"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("city"),
+        F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("description"),
+    )
+
+
+def failed_rows(spark, sf):
+    """Error rows of an extractor that raises: one for each failing document, with its text."""
+    featured = extraction.with_custom_features(_described(spark, sf), extraction.guarded(_counted_words, _RESULT))
+    failures = extraction.failed_rows(extraction.job_fields(featured, "custom"))
+    return failures.select("message", F.md5("payload").alias("digest"))
+
+
+def failing_extractor(spark, sf):
+    """Jobs and logged errors after two loads with an extractor that raises."""
+    store = _store(spark)
+    columns = [f.name for f in schema.POST.fields]
+    rows = _described(spark, sf)
+    store.append("jobs_posts", rows.select(*[
+        F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.POST.fields
+    ]).select(*columns))
+    for _ in range(2):
+        extraction.extract_and_load(store, extraction.guarded(_counted_words, _RESULT), "custom")
+    loaded = store.read("jobs").select(F.lit("job").alias("kind"), "id", "job_title", "years_experience")
+    errors = store.read("error_logs").select(
+        F.lit("error").alias("kind"), F.regexp_extract("message", r"job (\d+)", 1).cast("bigint").alias("id"),
+        F.col("source").alias("job_title"), F.length("payload").alias("years_experience"),
     )
-    fields = extraction.job_fields(extraction.with_text_features(rows), "regex")
-    return extraction.failed_rows(fields)
+    return loaded.unionByName(errors)
 
 
 def custom_column_extractor(spark, sf):
@@ -194,10 +233,10 @@ def seeded_terms(spark, sf):
 
 
 def _changes(spark, sf):
-    """Events as changes to customers used as terms; several per term, some unknown."""
-    events = table(spark, sf, "events").where("event_type in ('click', 'error', 'signup')")
-    op = F.when(F.col("event_type") == "click", "update").when(F.col("event_type") == "error", "delete").otherwise("add")
-    return events.select(
+    """All events as changes to customers used as terms: several per term, many after a deletion, some unknown."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("click", "view"), "update").when(kind == "error", "delete").otherwise("add")
+    return table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), op.alias("op"),
         (F.col("user_id") * 20).alias("id"),
         F.when(op == "add", F.concat(F.lit("novo "), F.col("user_id"))).alias("term"),
@@ -218,9 +257,8 @@ def changed_terms(spark, sf):
 
 
 def rejected_changes(spark, sf):
-    """Changes of unknown terms when additions are left out."""
-    changes = _changes(spark, sf).where("op <> 'add'")
-    return dimensions.rejected_changes(_terms(spark, sf), changes)
+    """Every change that could not apply when its turn came."""
+    return dimensions.rejected_changes(_terms(spark, sf), _changes(spark, sf))
 
 
 def advanced_watermarks(spark, sf):
@@ -239,14 +277,24 @@ _JOB_SQL = f"""
 {WITH_FEATURES}, {_COMPANIES_SQL.format(where="")},
 companies AS (SELECT id, CASE WHEN n = 1 THEN wanted ELSE wanted || ' (' || id || ')' END AS name FROM ranked)"""
 
-_NET_SQL = """
-changes AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'add' END AS op,
-  user_id * 20 AS id, CASE WHEN event_type = 'signup' THEN 'novo ' || user_id END AS term,
-  CASE WHEN event_type = 'click' THEN value > 10 END AS is_active
-  FROM events WHERE event_type IN ('click', 'error', 'signup')),
-net AS (SELECT c.id, c.op, c.is_active, a.term FROM changes c
-  JOIN (SELECT id, max(seq) AS seq FROM changes GROUP BY 1) l ON l.id = c.id AND l.seq = c.seq
-  LEFT JOIN (SELECT DISTINCT id, term FROM changes WHERE op = 'add') a ON a.id = c.id)"""
+_FOLD_SQL = """
+RECURSIVE changes AS (
+  SELECT event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'update' WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS op,
+    user_id * 20 AS id, CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'novo ' || user_id END AS term,
+    value > 10 AS is_active, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+  FROM events),
+fold AS (
+  SELECT i.id, 0 AS n, c_custkey IS NOT NULL AS alive, c_name AS term, c_acctbal > 0 AS active,
+         NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS given, NULL::VARCHAR AS failure
+  FROM (SELECT DISTINCT id FROM changes) i LEFT JOIN customer ON c_custkey = i.id
+  UNION ALL
+  SELECT f.id, f.n + 1, CASE c.op WHEN 'add' THEN true WHEN 'delete' THEN false ELSE alive END,
+         CASE WHEN c.op = 'add' AND NOT alive THEN c.term ELSE f.term END,
+         CASE WHEN c.op = 'add' AND NOT alive THEN true WHEN c.op = 'update' AND alive THEN c.is_active ELSE active END,
+         c.seq, c.op, c.term,
+         CASE WHEN c.op = 'add' AND alive THEN 'Search term already stored'
+              WHEN c.op <> 'add' AND NOT alive THEN 'Search term not found' END
+  FROM fold f JOIN changes c ON c.id = f.id AND c.n = f.n + 1)"""
 
 QUERIES = [
     ("pending_posts", pending_posts, f"WITH {POSTS_SQL} SELECT id, name FROM posts WHERE o_orderstatus <> 'F'"),
@@ -254,7 +302,7 @@ QUERIES = [
      f"WITH {POSTS_SQL} SELECT id, name FROM posts WHERE o_orderstatus <> 'F' ORDER BY id LIMIT 100"),
     ("loaded_jobs", loaded_jobs, f"""
 {_JOB_SQL}
-SELECT f.id, f.name AS job_title, 'regex' AS extractor_type, CAST(amount AS INTEGER) AS salary, seniority,
+SELECT f.id, f.name AS job_title, 'regex' AS extractor_type, CAST(amount AS BIGINT) AS salary, seniority,
        CAST(years_experience AS INTEGER) AS years_experience,
        array_to_string(CASE WHEN len(stacks) > 0 THEN stacks ELSE hard END, ', ') AS tech_stack, company_id,
        c.name AS company, contract_type, state, CASE WHEN state IS NOT NULL THEN city END AS city
@@ -277,10 +325,17 @@ SELECT p_name AS name, min(p_partkey) FILTER (WHERE p_size > 25) AS stored_id FR
 WITH names AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1)
 SELECT DISTINCT l_orderkey AS job_id, id AS hard_skill_id
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN names USING (p_name)"""),
+    ("dear_salaries", dear_salaries, """
+SELECT o_orderkey AS id, CAST('9999' || CAST(floor(o_totalprice) AS BIGINT) || '000' AS BIGINT) AS salary FROM orders"""),
     ("failed_rows", failed_rows, """
-SELECT 'Failed to process job ' || o_orderkey || ': salary is out of range' AS message,
-       'Oferta R$ 9.999.' || CAST(floor(o_totalprice) AS BIGINT) || '000' AS payload
-FROM orders WHERE o_orderkey % 4 = 0"""),
+SELECT 'Failed to process job ' || doc_id || ': ValueError: bars are not supported' AS message, md5(text) AS digest
+FROM documents WHERE doc_id % 17 <> 0 AND contains(text, '|')"""),
+    ("failing_extractor", failing_extractor, r"""
+SELECT 'job' AS kind, doc_id AS id, coalesce(w[1], 'none') AS job_title, CAST(len(w) AS INTEGER) AS years_experience
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN text ELSE '' END AS text FROM documents) WHERE NOT contains(text, '|'))
+UNION ALL SELECT 'error', doc_id, 'custom_extractor', CAST(length(text) AS INTEGER)
+FROM documents WHERE doc_id % 17 <> 0 AND contains(text, '|')"""),
     ("custom_column_extractor", custom_column_extractor, """
 SELECT o_orderkey AS id, 'Dev' AS job_title, 'llm' AS extractor_type,
        CAST(length('Vaga ' || o_orderkey) % 9 AS INTEGER) AS years_experience, 'CLT' AS contract_type,
@@ -308,18 +363,14 @@ SELECT CASE WHEN c_custkey % 100 = 1 THEN 'SRE ' || c_custkey WHEN c_custkey = 0
        c_acctbal > 0 AS is_active FROM customer
 UNION ALL SELECT term, true FROM (VALUES {", ".join(f"('{t}')" for t in vocab.SEED_TERMS if t != "DevOps")}) t(term)"""),
     ("changed_terms", changed_terms, f"""
-WITH {_NET_SQL}
-SELECT c_custkey AS id, c_name AS term, CASE WHEN op = 'update' THEN net.is_active ELSE c_acctbal > 0 END AS is_active
-FROM customer LEFT JOIN net ON net.id = c_custkey WHERE op IS NULL OR op <> 'delete'
-UNION ALL
-SELECT id, term, coalesce(is_active, true) FROM net
-WHERE term IS NOT NULL AND op <> 'delete' AND id NOT IN (SELECT c_custkey FROM customer)"""),
-    ("rejected_changes", rejected_changes, """
-WITH changes AS (SELECT user_id * 20 AS id, event_id AS seq,
-  CASE event_type WHEN 'click' THEN 'update' ELSE 'delete' END AS op FROM events WHERE event_type IN ('click', 'error'))
-SELECT 'Search term not found' AS message, CAST(NULL AS VARCHAR) AS term,
-       '{"op":"' || arg_max(op, seq) || '","id":' || id || '}' AS payload
-FROM changes WHERE id NOT IN (SELECT c_custkey FROM customer) GROUP BY id"""),
+WITH {_FOLD_SQL},
+state AS (SELECT id, arg_max(alive, n) AS alive, arg_max(term, n) AS term, arg_max(active, n) AS active FROM fold GROUP BY 1)
+SELECT c_custkey AS id, c_name AS term, c_acctbal > 0 AS is_active FROM customer WHERE c_custkey NOT IN (SELECT id FROM state)
+UNION ALL SELECT id, term, active FROM state WHERE alive"""),
+    ("rejected_changes", rejected_changes, f"""
+WITH {_FOLD_SQL}
+SELECT failure AS message, given AS term, '{{"op":"' || op || '","id":' || id || ',"seq":' || seq || '}}' AS payload
+FROM fold WHERE failure IS NOT NULL"""),
     ("advanced_watermarks", advanced_watermarks, """
 SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
   THEN TIMESTAMP '2024-02-01 12:00:00' END AS last_scraped_at FROM customer"""),

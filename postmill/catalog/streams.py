@@ -4,24 +4,37 @@ from pyspark.sql import functions as F
 
 from postmill.catalog import ingesting
 from postmill.catalog.adapter import WITH_FEATURES, posts, table
+from postmill.plans.ingest import close_run
 from postmill.session import scratch_path
 from postmill.sources.tables import Store
 from postmill.streaming import jobs
 
 
-def streamed_ingest(spark, sf):
-    """Landed pages through the ingest stream, started twice: the second run adds nothing."""
+def _ingested(spark, sf, files, files_per_batch):
+    """Posts stored from landed pages; the run is drained and closed twice, the second time to no effect."""
     landing = scratch_path(spark, "landing")
-    ingesting.page_documents(spark, sf).write.text(landing)
+    lines = ingesting.page_documents(spark, sf)
+    (lines.repartition(files, F.xxhash64("value")) if files else lines).write.text(landing)
     store = Store(spark, scratch_path(spark, "store"))
-    terms = ingesting._terms(spark, sf).withColumn("is_active", F.lit(True))
-    store.replace("search_terms", terms)
-    for run in ("first", "second"):
-        # another checkpoint folder: the same files are read again
-        query = jobs.ingest_stream(store, landing, scratch_path(spark, f"checkpoint-{run}"))
-        query.awaitTermination()
-    stored = store.read("jobs_posts").select("id", "name", "published_date")
-    return stored
+    store.replace("search_terms", ingesting._terms(spark, sf).withColumn("is_active", F.lit(True)))
+    checkpoint = scratch_path(spark, "checkpoint")
+    for _ in range(2):
+        jobs.ingest_stream(store, landing, checkpoint, "first", files_per_batch).awaitTermination()
+    close_run(store, "first")
+    # another checkpoint folder: the same files are read again
+    jobs.ingest_stream(store, landing, scratch_path(spark, "checkpoint"), "second").awaitTermination()
+    close_run(store, "second")
+    return store.read("jobs_posts").select("id", "name", "published_date")
+
+
+def streamed_ingest(spark, sf):
+    """Landed pages through the ingest stream."""
+    return _ingested(spark, sf, None, 1000)
+
+
+def streamed_ingest_small_batches(spark, sf):
+    """Pages of one term scattered over files in no order, one file for each micro-batch."""
+    return _ingested(spark, sf, 8, 1)
 
 
 def streamed_extraction(spark, sf):
@@ -36,34 +49,33 @@ def streamed_extraction(spark, sf):
 
 
 def streamed_daily_counts(spark, sf):
-    """Event types as technologies, counted per day by the stream; the last update of a key counts."""
-    source = scratch_path(spark, "mentions")
-    table(spark, sf, "events").select(
+    """Event types as technologies, newest first in five batches, of which one is repeated."""
+    source, counts = scratch_path(spark, "mentions"), scratch_path(spark, "daily")
+    events = table(spark, sf, "events").select(
         F.col("ts").alias("published_date"), F.col("event_type").alias("technology"), "event_id"
-    ).write.parquet(source)
-    sink, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "checkpoint")
-    stream = spark.readStream.schema("published_date timestamp_ntz, technology string, event_id bigint").parquet(source)
-
-    def save(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
-
-    query = (
-        jobs.live_daily_counts(stream).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
-    return spark.read.parquet(sink).groupBy("period", "technology").agg(F.max_by("count", "batch_id").alias("count"))
+    age = F.floor((events.agg(F.max("event_id")).scalar() - F.col("event_id")) * 5 / (events.agg(F.max("event_id")).scalar() + 1))
+    checkpoint, schema = scratch_path(spark, "checkpoint"), "published_date timestamp_ntz, technology string, event_id bigint"
+    for part in range(5):
+        events.where(age == part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.daily_count_stream(stream, counts, checkpoint).awaitTermination()
+    jobs.add_daily_counts(events.where(age == 2), counts, 2)
+    return jobs.live_daily_counts(spark, counts)
 
 
-QUERIES = [
-    ("streamed_ingest", streamed_ingest, f"""
+_INGESTED_SQL = f"""
 WITH {ingesting._GOOD_SQL},
 terms(term, mark) AS (VALUES ('click', TIMESTAMP '2024-01-11 06:00:00'), ('error', TIMESTAMP '2024-01-20 18:30:00'),
   ('view', TIMESTAMP '2024-01-29 00:00:00'), ('signup', TIMESTAMP '2025-01-01 00:00:00'), ('purchase', NULL)),
 sound AS (SELECT g.*, max(CASE WHEN ts <= mark THEN 1 ELSE 0 END)
   OVER (PARTITION BY term ORDER BY page, position ROWS UNBOUNDED PRECEDING) AS reached
   FROM good g JOIN terms USING (term) WHERE event_id % 50 <> 7 AND event_id % 40 <> 3)
-SELECT event_id AS id, 'Vaga ' || event_id AS name, ts AS published_date FROM sound WHERE reached = 0"""),
+SELECT event_id AS id, 'Vaga ' || event_id AS name, ts AS published_date FROM sound WHERE reached = 0"""
+
+QUERIES = [
+    ("streamed_ingest", streamed_ingest, _INGESTED_SQL),
+    ("streamed_ingest_small_batches", streamed_ingest_small_batches, _INGESTED_SQL),
     ("streamed_extraction", streamed_extraction, f"""
 {WITH_FEATURES} SELECT contract_type AS name, count(*) AS n, CAST(sum(amount) AS BIGINT) AS salary FROM features GROUP BY 1"""),
     ("streamed_daily_counts", streamed_daily_counts, """

@@ -6,6 +6,7 @@ no coordination between tasks.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def checked_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -105,55 +106,88 @@ def bridge_rows(skill_lists: DataFrame, dimension: DataFrame, skill_id: str) ->
     return exploded.join(dimension.select(F.col("id").alias(skill_id), "name"), "name").select("job_id", skill_id)
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys=("term",)) -> DataFrame:
-    """Existing rows plus the new rows whose key is not stored yet."""
-    fresh = new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys=("term",), order=("term",)) -> DataFrame:
+    """Existing rows plus the new rows whose key is not stored yet; of new rows with one key the first by `order`."""
+    keys = list(keys)
+    row = F.struct(*[F.col(c) for c in new.columns])
+    first = new.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(row, F.struct(*order, row)).alias("_row"))
+    fresh = first.select("_row.*").join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
-def _net_changes(changes: DataFrame) -> DataFrame:
-    """The effect of a change set on every id: last operation and added term."""
-    is_add = F.col("op") == "add"
-    return changes.groupBy("id").agg(
-        F.max_by(F.struct("op", "is_active"), "seq").alias("last"),
-        F.max_by(F.when(is_add, F.col("term")), F.when(is_add, F.col("seq"))).alias("added_term"),
-    ).select(
-        "id", F.col("last.op").alias("op"), F.col("last.is_active").alias("new_active"), "added_term"
+def _told(terms: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes with `verdict`: what applying them one after the other in `seq` order makes of each.
+
+    An id is alive after an addition and gone after a deletion, else as stored.
+    Additions of a term hold it until their id is deleted; one is refused while
+    another row holds the term, and what follows for its id is refused with it.
+    """
+    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    alive_by_op = F.when(F.col("op") == "add", True).when(F.col("op") == "delete", False)
+    stored = terms.select("id", F.lit(True).alias("_stored"), F.col("term").alias("_stored_term"))
+    placed = changes.join(stored, "id", "left").withColumn(
+        "_alive", F.coalesce(F.last(alive_by_op, True).over(before), "_stored", F.lit(False))
+    )
+    # the life an operation belongs to: 0 is the stored row's, others start with an accepted addition
+    starts = (F.col("op") == "add") & ~F.col("_alive")
+    placed = placed.withColumn("_life", F.coalesce(F.max(F.when(starts, F.col("seq"))).over(upto), F.lit(-1)))
+    ends = placed.where((F.col("op") == "delete") & F.col("_alive")).select("id", "_life", F.col("seq").alias("_end"))
+    added = placed.where(starts).select("id", "_life", "term").join(ends, ["id", "_life"], "left")
+    held = terms.select("id", "term", F.lit(-1).cast("bigint").alias("_life")).join(
+        ends.where("_life = -1"), ["id", "_life"], "left"
+    )
+    lives = added.unionByName(held.select(*added.columns)).withColumn("_end", F.coalesce("_end", F.lit(2**62)))
+    accepted = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("_life", "id", "_end"))),
+        F.struct(F.lit(-2).cast("bigint").alias("until"), F.array().cast("array<struct<id:bigint,_life:bigint>>").alias("refused")),
+        lambda acc, life: F.when(
+            (life["_life"] == -1) | (life["_life"] > acc["until"]),
+            F.struct(F.greatest(acc["until"], life["_end"]).alias("until"), acc["refused"].alias("refused")),
+        ).otherwise(F.struct(
+            acc["until"].alias("until"),
+            F.concat(acc["refused"], F.array(F.struct(life["id"].alias("id"), life["_life"].alias("_life")))).alias("refused"),
+        )),
+    )
+    refused = lives.groupBy("term").agg(accepted.alias("_fold")).select(F.explode("_fold.refused").alias("_r")).select(
+        "_r.*", F.lit(True).alias("_refused")
+    )
+    judged = placed.join(refused, ["id", "_life"], "left")
+    wrong_add = (F.col("op") == "add") & (F.col("_alive") | F.col("_refused").isNotNull())
+    unknown = (F.col("op") != "add") & (~F.col("_alive") | F.col("_refused").isNotNull())
+    return judged.withColumn(
+        "verdict", F.when(wrong_add, "taken").when(unknown, "unknown").otherwise("applied")
     )
 
 
 def apply_changes(terms: DataFrame, changes: DataFrame) -> DataFrame:
-    """Terms after a change set of `add`, `update` and `delete`.
+    """Terms after a change set of `add`, `update` and `delete`, applied one after the other.
 
-    `changes` has (seq, op, id, term, is_active) and is applied in `seq` order
-    per id. Changes that cannot apply are left to `rejected_changes`.
+    `changes` has (seq, op, id, term, is_active) with unique `seq`. Changes that
+    cannot apply are left to `rejected_changes`.
     """
-    net = _net_changes(changes)
-    deleted = net.where("op = 'delete'").select("id")
-    updated = net.where("op = 'update'").select("id", "new_active")
-    kept = (
-        terms.join(deleted, "id", "left_anti")
-        .join(updated, "id", "left")
-        .withColumn("is_active", F.coalesce("new_active", "is_active"))
-        .select(*terms.columns)
+    applied = _told(terms, changes).where("verdict = 'applied'")
+    last = applied.groupBy("id").agg(
+        F.max_by("op", "seq").alias("_op"),
+        F.max_by(F.when(F.col("op") == "add", F.col("term")), F.when(F.col("op") == "add", F.col("seq"))).alias("_added"),
+        F.max(F.when(F.col("op") == "add", F.col("seq"))).alias("_at"),
+    )
+    active = (
+        applied.join(last.select("id", "_at"), "id")
+        .where((F.col("op") == "update") & (F.col("_at").isNull() | (F.col("seq") > F.col("_at"))))
+        .groupBy("id").agg(F.max_by("is_active", "seq").alias("_active"))
+    )
+    state = last.join(active, "id", "left")
+    kept = terms.join(state, "id", "left").where("_op is null or (_op <> 'delete' and _added is null)")
+    kept = kept.withColumn("is_active", F.coalesce("_active", "is_active")).select(*terms.columns)
+    added = state.where("_added is not null and _op <> 'delete'").select(
+        "id", F.col("_added").alias("term"), F.coalesce("_active", F.lit(True)).alias("is_active")
     )
-    added = net.where("added_term is not null and op <> 'delete'").select(
-        "id", F.col("added_term").alias("term"), F.coalesce("new_active", F.lit(True)).alias("is_active")
-    ).join(terms.select("id"), "id", "left_anti")
-    return insert_if_absent(kept, added)
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def rejected_changes(terms: DataFrame, changes: DataFrame) -> DataFrame:
-    """Failures: updates and deletes of unknown ids, additions of stored terms."""
-    net = _net_changes(changes)
-    unknown = (
-        net.where("op in ('update', 'delete') and added_term is null")
-        .join(terms.select("id"), "id", "left_anti")
-        .select(F.lit("Search term not found").alias("message"), F.lit(None).cast("string").alias("term"), "id", "op")
-    )
-    taken = (
-        net.where("added_term is not null and op <> 'delete'")
-        .join(terms.select(F.col("term").alias("added_term")), "added_term", "left_semi")
-        .select(F.lit("Search term already stored").alias("message"), F.col("added_term").alias("term"), "id", "op")
-    )
-    return unknown.unionByName(taken).select("message", "term", F.to_json(F.struct("op", "id")).alias("payload"))
+    """One failure per change that could not apply: unknown ids, and additions of what is there."""
+    failed = _told(terms, changes).where("verdict <> 'applied'")
+    message = F.when(F.col("verdict") == "taken", "Search term already stored").otherwise("Search term not found")
+    return failed.select(message.alias("message"), "term", F.to_json(F.struct("op", "id", "seq")).alias("payload"))

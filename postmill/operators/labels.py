@@ -204,7 +204,7 @@ def entity_spans(tags: Column) -> Column:
 
     def walk(seq):
         def kind(tag):
-            return F.substring(tag, 3, 1000)
+            return F.substr(tag, F.lit(3))
 
         def opens(tag, i):
             before = F.coalesce(F.get(seq, i - 1), F.lit("O"))

@@ -35,7 +35,7 @@ def clamp(value, default: int, low: int = 1, high: int = None) -> int:
 
 
 def page_arguments(page=None, page_size=None):
-    """Page number from 1 up (no upper bound) and a page size of 1..100."""
+    """A request's page number, from 1 up, and page size, kept within 1..100. The operators take any size."""
     return clamp(page, 1), clamp(page_size, 20, high=100)
 
 
@@ -166,15 +166,16 @@ def term_ordering():
     return [F.col("id").desc()]
 
 
-def page_of(rows: DataFrame, order_by, page=None, page_size=None) -> DataFrame:
-    """One page by offset: a distributed top-n that keeps offset + size rows per task."""
-    page, size = page_arguments(page, page_size)
-    return rows.orderBy(*order_by).offset((page - 1) * size).limit(size)
+def page_of(rows: DataFrame, order_by, page: int = 1, page_size: int = 20) -> DataFrame:
+    """One page by offset, of exactly the size asked for: a distributed top-n of offset + size rows.
 
+    For deep pages use `page_after`, whose cost does not grow with depth.
+    """
+    return rows.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
 
-def page_after(rows: DataFrame, column: str, last_value, last_id: int, order: str = "desc", page_size=None) -> DataFrame:
+
+def page_after(rows: DataFrame, column: str, last_value, last_id: int, order: str = "desc", page_size: int = 20) -> DataFrame:
     """The page after a known row. Cost does not grow with depth, unlike an offset."""
-    _, size = page_arguments(None, page_size)
     key, ident = F.col(column), F.col("id")
     ascending = sort_direction(order) == "asc"
     later_id = ident > last_id if ascending else ident < last_id
@@ -189,17 +190,16 @@ def page_after(rows: DataFrame, column: str, last_value, last_id: int, order: st
     order_by = (
         [key.asc_nulls_last(), ident.asc()] if ascending else [key.desc_nulls_last(), ident.desc()]
     )
-    return rows.where(rest).orderBy(*order_by).limit(size)
+    return rows.where(rest).orderBy(*order_by).limit(page_size)
 
 
-def page_info(rows: DataFrame, page=None, page_size=None) -> DataFrame:
+def page_info(rows: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     """One row of paging metadata for a filtered frame."""
-    page, size = page_arguments(page, page_size)
     counted = rows.agg(F.count("*").alias("total_items"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total_items") / size)).cast("bigint")
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total_items") / page_size)).cast("bigint")
     return counted.select(
         F.lit(page).alias("page"),
-        F.lit(size).alias("page_size"),
+        F.lit(page_size).alias("page_size"),
         "total_items",
         pages.alias("total_pages"),
         (F.lit(page) < pages).alias("has_next"),

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from postmill.operators.listing import clamp
 
 
-def window_of(as_of: date, days=30):
-    """First and last day of the trend window; its length is kept within 7..90."""
-    days = clamp(days, 30, 7, 90)
+def requested(days=None, limit=None):
+    """A request's window length, kept within 7..90 days, and number of technologies, within 1..10.
+
+    The operators themselves do what they are asked.
+    """
+    return clamp(days, 30, 7, 90), clamp(limit, 5, 1, 10)
+
+
+def window_of(as_of: date, days: int = 30):
+    """First and last day of a trend window of `days` days."""
     return as_of - timedelta(days=days - 1), as_of
 
 
@@ -43,12 +50,12 @@ def daily_counts(
     )
 
 
-def totals(daily: DataFrame, limit=5, skill: str = None) -> DataFrame:
+def totals(daily: DataFrame, limit: int = 5, skill: str = None) -> DataFrame:
     """Totals of the technologies to show: the largest few, or all of a requested skill."""
     summed = daily.groupBy("technology").agg(F.sum("count").alias("total"))
     if skill and skill.strip():
         return summed.orderBy("technology")
-    return summed.orderBy(F.desc("total"), "technology").limit(clamp(limit, 5, 1, 10))
+    return summed.orderBy(F.desc("total"), "technology").limit(limit)
 
 
 def dense_series(daily: DataFrame, kept: DataFrame, since: date, as_of: date) -> DataFrame:
@@ -62,7 +69,7 @@ def dense_series(daily: DataFrame, kept: DataFrame, since: date, as_of: date) ->
 
 
 def packed_series(dense: DataFrame) -> DataFrame:
-    """One row per technology with the counts in day order (90 at most)."""
+    """One row per technology with the counts in day order."""
     ordered = F.sort_array(F.collect_list(F.struct("period", "count")))
     return dense.groupBy("technology", "total").agg(
         F.transform(ordered, lambda d: d["count"]).alias("counts")

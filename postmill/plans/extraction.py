@@ -1,17 +1,17 @@
 """From raw posts to the star schema: extract features, resolve keys, load."""
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill import schema
 from postmill.functions import coerce, stacks, text, vocab
 from postmill.operators import dimensions
-from postmill.session import spread, stage
+from postmill.session import staging
 from postmill.sources import deadletter
 from postmill.sources.tables import Store
 
-INT_MAX = 2**31 - 1
-
 FEATURE_FIELDS = (
     "hard_skills", "soft_skills", "nice_to_have", "years_experience",
     "seniority", "salary", "contract_type", "tech_stack",
@@ -24,12 +24,15 @@ def pending_posts(posts: DataFrame, jobs: DataFrame, limit: int = None) -> DataF
     return pending if limit is None else pending.orderBy("id").limit(limit)
 
 
-def with_text_features(posts: DataFrame, description: str = "description", expand_partial: bool = True) -> DataFrame:
+def with_text_features(
+    posts: DataFrame, description: str = "description", expand_partial: bool = True, partitions: int = None
+) -> DataFrame:
     """Add `features`, the struct of everything read from the description.
 
     A narrow transformation: no shuffle of a large input, one Arrow call for
     rows with entities.
-    Steps are separate columns so that every regex runs once per row.
+    Steps are separate columns so that every regex runs once per row. `partitions`
+    deals the rows anew first, for inputs of few files.
     """
     hard_source = text.without_section(F.col("_text"), F.col("_nice_text"))
     steps = (
@@ -43,7 +46,7 @@ def with_text_features(posts: DataFrame, description: str = "description", expan
         ("_canonical", text.canonical_names(F.concat("_hard", "_nice"))),
         ("_stacks", stacks.all_stacks(F.col("_canonical"), F.col("_text"))),
     )
-    frame = posts if posts.isStreaming else spread(posts)
+    frame = posts.repartition(partitions) if partitions else posts
     for name, column in steps:
         frame = frame.withColumn(name, column)
     expandable = F.col("_stacks")
@@ -64,18 +67,55 @@ def with_text_features(posts: DataFrame, description: str = "description", expan
     return frame.withColumn("features", features).drop(*{name for name, _ in steps})
 
 
+def guarded(function, result: T.StructType):
+    """A pandas extractor for `with_custom_features` whose failures cost single rows.
+
+    `function` takes a pandas Series of descriptions and returns a DataFrame with
+    the fields of `result`. A batch that raises is tried again row by row, and the
+    rows that raise again carry the message in `error`.
+    """
+    names = result.fieldNames()
+    fields = [f for f in result.fields if f.name != "error"] + [T.StructField("error", T.StringType())]
+
+    def isolated(description: pd.Series) -> pd.DataFrame:
+        try:
+            return function(description)[names].assign(error=None)
+        except Exception:
+            rows = []
+            for value in description:
+                try:
+                    rows.append(function(pd.Series([value]))[names].iloc[0].to_dict() | {"error": None})
+                except Exception as failure:
+                    rows.append(dict.fromkeys(names) | {"error": f"{type(failure).__name__}: {failure}"})
+            return pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+
+    return F.pandas_udf(isolated, T.StructType(fields))
+
+
 def with_custom_features(posts: DataFrame, extractor, description: str = "description") -> DataFrame:
-    """Features from a user function `Column -> Column` (built-ins or a pandas UDF).
+    """Features from a user function `Column -> Column` (built-ins, a pandas UDF, or `guarded`).
 
-    The function returns a struct; fields it leaves out are NULL.
+    The function gets '' for a NULL description and returns a struct; fields it
+    leaves out are NULL. A field `error` tells why a row failed: it has no
+    features then, and goes to the error log with its description.
     """
-    given = posts.withColumn("_features", extractor(F.col(description)))
+    given = posts.withColumn("_features", extractor(F.coalesce(description, F.lit(""))))
     have = set(given.schema["_features"].dataType.fieldNames())
+    failure = F.col("_features.error") if "error" in have else F.lit(None).cast("string")
     fields = [
         (F.col(f"_features.{f.name}") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.FEATURES.fields
     ]
-    return given.withColumn("features", F.when(F.col("_features").isNotNull(), F.struct(*fields))).drop("_features")
+    sound = F.col("_features").isNotNull() & failure.isNull()
+    return given.withColumn("features", F.when(sound, F.struct(*fields))).withColumn(
+        "extractor_error", failure
+    ).drop("_features")
+
+
+def _reasons(featured: DataFrame) -> Column:
+    """Why a row has no features: the message of the extractor, if it gave one."""
+    failure = F.col("extractor_error") if "extractor_error" in featured.columns else F.lit(None).cast("string")
+    return F.array_compact(F.array(failure))
 
 
 def job_fields(featured: DataFrame, extractor_type: str) -> DataFrame:
@@ -87,7 +127,7 @@ def job_fields(featured: DataFrame, extractor_type: str) -> DataFrame:
 
     amount = coerce.salary_amount(F.get(feature("salary"), F.lit(0)))
     stack = F.when(F.size(feature("tech_stack")) > 0, feature("tech_stack")).otherwise(feature("hard_skills"))
-    return featured.where(F.col("features").isNotNull()).select(
+    return featured.where(F.col("features").isNotNull() | (F.size(_reasons(featured)) > 0)).select(
         "id",
         "company_id",
         "career_page_name",
@@ -96,19 +136,13 @@ def job_fields(featured: DataFrame, extractor_type: str) -> DataFrame:
         coerce.blank_to_null(F.substring("city", 1, 150)).alias("city"),
         coerce.title(feature("job_title"), F.col("name")).alias("job_title"),
         F.lit(extractor_type).alias("extractor_type"),
-        amount.alias("amount"),
-        amount.try_cast("int").alias("salary"),
+        amount.cast("bigint").alias("salary"),
         feature("seniority").alias("seniority"),
         feature("years_experience").alias("years_experience"),
         text.skill_names(stack).alias("tech_stack"),
         coerce.first_contract(feature("contract_type")).alias("contract_type"),
         *[text.skill_names(feature(field)).alias(name) for name, (_, _, field) in schema.SKILL_KINDS.items()],
-    ).withColumn(
-        "reasons",
-        F.array_compact(F.array(
-            F.when(F.col("amount") > INT_MAX, "salary is out of range"),
-            F.when(F.length("seniority") > 50, "seniority is longer than 50"),
-        )),
+        _reasons(featured).alias("reasons"),
     )
 
 
@@ -211,11 +245,12 @@ def extract_and_load(
     )
     pending = pending_posts(needed, store.read("jobs"), limit)
     featured = with_text_features(pending) if extractor is None else with_custom_features(pending, extractor)
-    fields = stage(job_fields(featured, extractor_type), "job-fields")
-    existing = {name: store.read(name) for name in WRITE_ORDER}
-    new = star_tables(good_rows(fields), existing, stage)
-    # companies are appended to while later steps would still read them
-    failures = stage(failed_rows(fields).unionByName(new["rejected_companies"]), "failures")
-    for name in WRITE_ORDER:
-        store.append(name, new[name])
-    store.append("error_logs", deadletter.error_rows(failures, f"{extractor_type}_extractor"))
+    with staging(store.spark) as stage:
+        fields = stage(job_fields(featured, extractor_type), "job-fields")
+        existing = {name: store.read(name) for name in WRITE_ORDER}
+        new = star_tables(good_rows(fields), existing, stage)
+        # companies are appended to while later steps would still read them
+        failures = stage(failed_rows(fields).unionByName(new["rejected_companies"]), "failures")
+        for name in WRITE_ORDER:
+            store.append(name, new[name])
+        store.log(deadletter.error_rows(failures, f"{extractor_type}_extractor"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators import ingest
-from postmill.session import stage
+from postmill.session import staging
 from postmill.sources import deadletter, pages
 from postmill.sources.tables import Store
 
@@ -15,23 +15,45 @@ def new_posts(rows: DataFrame, terms: DataFrame, stored: DataFrame) -> DataFrame
     return ingest.without_stored(kept, stored)
 
 
-def ingest_pages(store: Store, landed: DataFrame, run_at=None, strict: bool = True, full: bool = False) -> None:
-    """Store the new posts of landed pages.
+def ingest_pages(
+    store: Store, landed: DataFrame, run_at=None, strict: bool = True, full: bool = False, run: str = ""
+) -> None:
+    """Store the new posts of the landed pages of one run.
 
-    `full` ignores the watermarks (first population). Re-running the same pages
-    adds nothing, since stored ids are skipped.
+    A run is all pages fetched between two moves of the watermarks: those are read
+    before its first page counts and moved after its last. `full` ignores the
+    watermarks (first population). Re-running the same pages adds nothing:
+    stored ids are skipped, and errors are known by content and `run`.
     """
     run_at = deadletter.now_utc() if run_at is None else run_at
     terms = store.read("search_terms").where("is_active")
     marks = terms.withColumn("last_scraped_at", F.lit(None).cast("timestamp_ntz")) if full else terms
-    landed = stage(landed, "pages")
-    posts = pages.to_posts(pages.explode_pages(landed), strict)
-    rows = pages.usable(posts)
-    fresh = stage(new_posts(rows, marks, store.read("jobs_posts")), "new-posts")
-    page_failures = pages.page_errors(landed)
-    failures = page_failures.unionByName(pages.rejected(posts))
-    finished = stage(ingest.finished_terms(landed, page_failures), "finished-terms")
-
-    store.append("jobs_posts", fresh)
-    store.append("error_logs", deadletter.error_rows(failures, "ingest"))
-    store.replace("search_terms", ingest.advance_watermarks(store.read("search_terms"), finished, run_at))
+    with staging(store.spark) as stage:
+        landed = stage(landed, "pages")
+        posts = pages.to_posts(pages.explode_pages(landed), strict)
+        rows = pages.usable(posts)
+        fresh = stage(new_posts(rows, marks, store.read("jobs_posts")), "new-posts")
+        page_failures = pages.page_errors(landed)
+        failures = page_failures.unionByName(pages.rejected(posts))
+        finished = stage(ingest.finished_terms(landed, page_failures), "finished-terms")
+
+        store.append("jobs_posts", fresh)
+        store.log(deadletter.error_rows(failures, "ingest", run=run))
+        store.replace("search_terms", ingest.advance_watermarks(store.read("search_terms"), finished, run_at))
+
+
+def run_path(store: Store, run: str) -> str:
+    return f"{store.path('ingest_runs')}/run={run}"
+
+
+def close_run(store: Store, run: str, run_at=None, strict: bool = True, full: bool = False) -> None:
+    """Store the posts of an open run and move the watermarks, once its last page has landed.
+
+    The outcome is that of one batch over all its pages, however many batches
+    brought them and in whatever order. Closing again after a failure is safe.
+    """
+    landed = store.rows_below(run_path(store, run), pages.RAW_PAGE)
+    if landed is None:
+        return
+    ingest_pages(store, landed, run_at, strict, full, run)
+    store.spark.createDataFrame([], pages.RAW_PAGE).write.mode("overwrite").parquet(run_path(store, run))

@@ -85,22 +85,11 @@ POST = T.StructType([
     T.StructField("badges", T.StringType()),
 ])
 
-# widest value each stored text column accepts (characters)
-POST_LIMITS = {
-    "name": 255,
-    "career_page_name": 255,
-    "job_type": 100,
-    "city": 120,
-    "state": 120,
-    "country": 120,
-    "workplace_type": 80,
-}
-
 JOB = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("job_title", T.StringType()),
     T.StructField("extractor_type", T.StringType()),
-    T.StructField("salary", T.IntegerType()),
+    T.StructField("salary", T.LongType()),
     T.StructField("seniority", T.StringType()),
     T.StructField("years_experience", T.IntegerType()),
     T.StructField("tech_stack", T.ArrayType(T.StringType())),
@@ -129,6 +118,7 @@ SEARCH_TERM = T.StructType([
 ])
 
 ERROR = T.StructType([
+    T.StructField("id", T.LongType()),
     T.StructField("source", T.StringType()),
     T.StructField("message", T.StringType()),
     T.StructField("term", T.StringType()),
@@ -176,6 +166,8 @@ SKILL_KINDS = {
     "nice_to_have_skills": ("job_nice_to_have_skills", "nice_to_have_skill_id", "nice_to_have"),
 }
 
+VERSION = T.StructType([T.StructField("version", T.LongType())])
+
 TABLES = {
     "jobs_posts": POST,
     "jobs": JOB,

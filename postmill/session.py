@@ -4,6 +4,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def staging(spark: SparkSession):
+    """Staged tables that are emptied at the end: yields a function like `stage`."""
+    paths = []
+
+    def staged(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    yield staged
+    for path in paths:
+        spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage and keeps column pruning.
 
@@ -73,17 +90,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores before costly per-row work.
-
-    A small table is often one file, hence one task. When its estimated size
-    would not fill the cores with scan tasks anyway, moving it costs nothing;
-    a large input is returned as it is and never shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    task_bytes = 32 * 1024 * 1024
-    estimated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if estimated < cores * task_bytes else df

@@ -12,10 +12,13 @@ def now_utc() -> Column:
     return coerce.naive_utc(F.current_timestamp())
 
 
-def error_rows(failures: DataFrame, source: str, payload: Column = None, created_at: Column = None) -> DataFrame:
+def error_rows(
+    failures: DataFrame, source: str, payload: Column = None, created_at: Column = None, run: str = ""
+) -> DataFrame:
     """Failures (with at least `message`) as error-log rows.
 
-    Text payloads are stored as given, anything else as JSON.
+    Text payloads are stored as given, anything else as JSON. The id is a hash of
+    the content and the run, so a repeated run logs nothing twice.
     """
     present = set(failures.columns)
 
@@ -24,18 +27,19 @@ def error_rows(failures: DataFrame, source: str, payload: Column = None, created
 
     if payload is None:
         payload = F.col("payload") if "payload" in present else F.lit(None).cast("string")
-    return failures.select(
+    stamp = (now_utc() if created_at is None else created_at).cast("timestamp_ntz").alias("created_at")
+    content = failures.select(
         F.lit(source).alias("source"),
         F.col("message").cast("string").alias("message"),
         optional("term", "string"),
         optional("page", "int"),
         optional("request_limit", "int"),
         payload.cast("string").alias("payload"),
-        (now_utc() if created_at is None else created_at).cast("timestamp_ntz").alias("created_at"),
+        stamp,
     )
+    return content.select(F.xxhash64(F.lit(run), *content.columns[:-1]).alias("id"), *content.columns)
 
 
-def with_ids(errors: DataFrame) -> DataFrame:
-    """Errors with a stable id derived from their content."""
-    columns = [f.name for f in schema.ERROR.fields]
-    return errors.withColumn("id", F.xxhash64(*columns))
+def unlogged(errors: DataFrame, logged: DataFrame) -> DataFrame:
+    """Error rows whose id is not logged yet, each once."""
+    return errors.dropDuplicates(["id"]).join(logged.select("id"), "id", "left_anti")

@@ -29,14 +29,14 @@ def _spelled(flag: str) -> Column:
 
 
 def post_csv_rows(posts: DataFrame) -> DataFrame:
-    """The 18 exported columns of a post, newest first (undated posts lead)."""
+    """The 18 exported columns of a post, newest first (undated posts lead); equal dates by falling id."""
     special = {
         "published_date": coerce.iso_datetime(F.col("published_date")).alias("published_date"),
         "application_deadline": coerce.iso_date(F.col("application_deadline")).alias("application_deadline"),
         "is_remote_work": _spelled("is_remote_work"),
         "disabilities": _spelled("disabilities"),
     }
-    ordered = posts.orderBy(F.col("published_date").desc_nulls_first())
+    ordered = posts.orderBy(F.col("published_date").desc_nulls_first(), F.col("id").desc())
     return ordered.select(*[special.get(c, F.col(c)) for c in POST_CSV_COLUMNS])
 
 

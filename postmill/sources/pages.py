@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from postmill import schema
 from postmill.functions import coerce
 
-_RAW_PAGE = T.StructType([
+RAW_PAGE = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("page", T.IntegerType()),
     T.StructField("data", T.ArrayType(T.StringType())),
@@ -28,7 +28,7 @@ STRICT_KEYS = (
 
 def _options(reader):
     return (
-        reader.schema(_RAW_PAGE)
+        reader.schema(RAW_PAGE)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
     )
@@ -39,6 +39,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Pages as they land, at most `files_per_batch` files in a micro-batch."""
     return _options(spark.readStream).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
@@ -102,8 +103,6 @@ def _reasons(strict: bool) -> Column:
         F.when(F.col("id").isNull(), "id is null"),
         F.when(F.col("name").isNull(), "name is null"),
     ]
-    for name, limit in schema.POST_LIMITS.items():
-        checks.append(F.when(F.length(name) > limit, f"{name} is longer than {limit}"))
     return F.array_compact(F.array(*checks))
 
 

@@ -1,9 +1,11 @@
 """The table store: parquet folders under one root, or tables over JDBC."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import schema
+from postmill.sources import deadletter
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
@@ -32,27 +34,31 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(path)
+    def rows_below(self, path: str, columns: schema.T.StructType) -> DataFrame | None:
+        """Rows below a path, or None where nothing was written."""
+        try:
+            return self.spark.read.schema(columns).parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _version(self, name: str) -> int:
+        """The newest complete version: published ones are listed, with or without rows."""
+        listed = self.rows_below(self.path(f"{name}_versions"), schema.VERSION)
+        return 0 if listed is None else listed.agg(F.max("version")).first()[0] or 0
 
     def read(self, name: str) -> DataFrame:
         columns = schema.TABLES[name]
-        if not self.exists(name):
-            return empty_table(self.spark, name)
+        path = self.path(name)
         if name in self.VERSIONED:
-            versions = self.spark.read.schema(
-                schema.T.StructType(columns.fields + [schema.T.StructField("version", schema.T.LongType())])
-            ).parquet(self.path(name))
-            newest = versions.agg(F.max("version")).scalar()
-            return versions.where(F.col("version") == newest).drop("version")
-        if name == "jobs_posts":
-            partitioned = schema.T.StructType(
+            path = f"{path}/version={self._version(name)}"
+        elif name == "jobs_posts":
+            columns = schema.T.StructType(
                 columns.fields + [schema.T.StructField("published_month", schema.T.DateType())]
             )
-            return self.spark.read.schema(partitioned).parquet(self.path(name))
-        return self.spark.read.schema(columns).parquet(self.path(name))
+        stored = self.rows_below(path, columns)
+        return empty_table(self.spark, name) if stored is None else stored
 
     def append(self, name: str, rows: DataFrame) -> None:
         columns = [f.name for f in schema.TABLES[name].fields]
@@ -65,13 +71,20 @@ class Store:
         else:
             rows.write.mode("append").parquet(self.path(name))
 
+    def log(self, errors: DataFrame) -> None:
+        """Append error rows that are not logged yet."""
+        self.append("error_logs", deadletter.unlogged(errors, self.read("error_logs")))
+
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Publish a new version of a small mutable table."""
+        """Publish a new version of a small mutable table.
+
+        The version is listed once its rows are complete; what a failed attempt left is overwritten.
+        """
         columns = [f.name for f in schema.TABLES[name].fields]
-        version = 1
-        if self.exists(name):
-            version += self.spark.read.parquet(self.path(name)).agg(F.max("version")).first()[0]
-        rows.select(*columns).write.parquet(f"{self.path(name)}/version={version}")
+        version = self._version(name) + 1
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path(name)}/version={version}")
+        listed = self.spark.createDataFrame([(version,)], schema.VERSION)
+        listed.coalesce(1).write.mode("append").parquet(self.path(f"{name}_versions"))
 
 
 def jdbc_table(

@@ -1,26 +1,30 @@
 """Continuous ingest, incremental extraction and live daily counts.
 
-Ingest and extraction keep no operator state: the stored tables are the state,
-and an anti-join against them makes a repeated batch add nothing.
+No stream keeps operator state: the stored tables are the state, and a repeated
+batch replaces itself or is dropped by an anti-join.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions import coerce
 from postmill.plans.extraction import extract_and_load
-from postmill.plans.ingest import ingest_pages
+from postmill.plans.ingest import run_path
 from postmill.sources import pages
 from postmill.sources.tables import Store
 
 
-def ingest_stream(store: Store, landing: str, checkpoint: str, strict: bool = True, **trigger):
-    """Start ingesting pages as they land; `availableNow=True` drains and stops."""
+def ingest_stream(store: Store, landing: str, checkpoint: str, run: str, files_per_batch: int = 1000, **trigger):
+    """Collect pages of a run as they land; `availableNow=True` drains and stops.
+
+    Micro-batches only add their pages to the run, under their batch id, so a
+    repeated batch replaces itself. `close_run` then cuts, de-duplicates and
+    stores over the whole run: batch sizes have no influence on what is stored.
+    """
 
     def batch(landed: DataFrame, batch_id: int) -> None:
-        ingest_pages(store, landed, strict=strict)
+        landed.write.mode("overwrite").parquet(f"{run_path(store, run)}/batch={batch_id}")
 
-    landed = pages.stream_pages(store.spark, landing)
+    landed = pages.stream_pages(store.spark, landing, files_per_batch)
     return (
         landed.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
@@ -46,19 +50,29 @@ def extraction_stream(store: Store, checkpoint: str, extractor=None, extractor_t
     )
 
 
-def live_daily_counts(mentions: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Jobs per day and technology over a stream of (published_date, technology).
+def daily_count_stream(mentions: DataFrame, counts: str, checkpoint: str, **trigger):
+    """Count jobs per day and technology over a stream of (published_date, technology).
 
-    State is one count per open day and technology; days close once the
-    watermark passes them.
+    Every micro-batch adds its own small counts under its batch id; a repeated
+    batch replaces itself. No day is ever closed: back-filled posts count too.
     """
-    timed = mentions.where(F.col("published_date").isNotNull()).withColumn(
-        # naive UTC to an instant: windows are cut at UTC midnight
-        "event_time", F.concat(F.col("published_date").cast("string"), F.lit("+00:00")).cast("timestamp")
-    )
+
     return (
-        timed.withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", "1 day"), "technology")
-        .agg(F.count("*").alias("count"))
-        .select(F.to_date(coerce.naive_utc(F.col("window.start"))).alias("period"), "technology", "count")
+        mentions.writeStream.foreachBatch(lambda new, batch_id: add_daily_counts(new, counts, batch_id))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
+
+
+def add_daily_counts(new: DataFrame, counts: str, batch_id: int) -> None:
+    """Write the counts of one batch in place of what the batch wrote before."""
+    dated = new.where(F.col("published_date").isNotNull())
+    added = dated.groupBy(F.to_date("published_date").alias("period"), "technology").agg(F.count("*").alias("count"))
+    added.write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+
+
+def live_daily_counts(spark: SparkSession, counts: str) -> DataFrame:
+    """The counts so far: one row per day and technology."""
+    added = spark.read.schema("period date, technology string, count bigint").parquet(counts)
+    return added.groupBy("period", "technology").agg(F.sum("count").alias("count"))

@@ -17,6 +17,7 @@ def spark():
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "postmill.partitions": "8",
             "spark.driver.memory": "8g",
         },
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill import schema
 from postmill.operators import analytics, dimensions, ingest, labels, listing, split
 from postmill.plans.extraction import extract_and_load
-from postmill.plans.ingest import ingest_pages
+from postmill.plans.ingest import close_run, ingest_pages
 from postmill.session import scratch_path
 from postmill.sources import exports
 from postmill.sources.tables import Store, empty_table, jdbc_table
@@ -208,32 +208,36 @@ def test_ingest_then_extract_then_repeat(spark):
         '{"term": "bad", "page": 1}',
     ])
     run_at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    streams.ingest_stream(store, landing, scratch_path(spark, "checkpoint")).awaitTermination()
+    streams.ingest_stream(store, landing, scratch_path(spark, "checkpoint"), "one").awaitTermination()
+    assert store.read("jobs_posts").count() == 0
+    close_run(store, "one")
+    close_run(store, "one")
     posts = store.read("jobs_posts")
-    assert sorted(r.id for r in posts.collect()) == [1, 2, 5, 6]
+    assert sorted(r.id for r in posts.collect()) == [1, 2, 5, 6, 31]
     assert {r.skills for r in posts.collect()} == {'{"k":"ção"}'}
-    assert store.read("error_logs").count() == 4
+    assert store.read("error_logs").count() == 3
+    assert store.read("error_logs").select("id").distinct().count() == 3
     marks = {r.term: r.last_scraped_at for r in store.read("search_terms").collect()}
     assert marks["off"] is None and marks["bad"] is None and marks["dev"] > datetime(2024, 1, 5)
 
     ingest_pages(store, spark.read.schema(_schema()).json(landing), run_at, full=True)
-    assert sorted(r.id for r in store.read("jobs_posts").collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.id for r in store.read("jobs_posts").collect()) == [1, 2, 3, 4, 5, 6, 31]
 
     extract_and_load(store, limit=2)
     assert sorted(r.id for r in store.read("jobs").collect()) == [1, 2]
     streams.extraction_stream(store, scratch_path(spark, "checkpoint")).awaitTermination()
     jobs = store.read("jobs")
-    assert sorted(r.id for r in jobs.collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.id for r in jobs.collect()) == [1, 2, 3, 4, 5, 6, 31]
     assert {r.id for r in jobs.where("city_id is null").collect()} == {6}
     assert [r.name for r in store.read("hard_skills").orderBy("name").collect()] == ["Django", "Python"]
-    assert store.read("job_hard_skills").count() == 12
+    assert store.read("job_hard_skills").count() == 14
     assert [r.name for r in store.read("companies").collect()] == ["Acme"]
 
 
 def _schema():
     from postmill.sources import pages
 
-    return pages._RAW_PAGE
+    return pages.RAW_PAGE
 
 
 def test_csv_bytes(spark):
@@ -265,3 +269,60 @@ def test_jdbc_source(spark):
     read = jdbc_table(spark, url, "companies", "id", (10, 60), 4, **options)
     assert read.rdd.getNumPartitions() == 4
     assert read.count() == 100
+
+
+def _fold(terms, changes):
+    """Changes applied one after the other to a plain dictionary."""
+    rows, failures = {t[0]: (t[1], t[2]) for t in terms}, []
+    for seq, op, ident, term, active in sorted(changes):
+        if op == "add":
+            if ident in rows or term in {t for t, _ in rows.values()}:
+                failures.append(("Search term already stored", seq))
+            else:
+                rows[ident] = (term, True)
+        elif ident not in rows:
+            failures.append(("Search term not found", seq))
+        elif op == "update":
+            rows[ident] = (rows[ident][0], active)
+        else:
+            del rows[ident]
+    return {(i, t, a) for i, (t, a) in rows.items()}, set(failures)
+
+
+@pytest.mark.parametrize("changes", [
+    [(1, "delete", 1, None, None), (2, "update", 1, None, False)],
+    [(1, "delete", 1, None, None), (2, "add", 1, "new", None), (3, "update", 1, None, False)],
+    [(1, "delete", 1, None, None), (2, "delete", 1, None, None)],
+    [(1, "add", 7, "x", None), (2, "add", 8, "x", None), (3, "update", 8, None, False)],
+    [(1, "add", 7, "one", None), (2, "delete", 1, None, None), (3, "add", 8, "one", None), (4, "update", 8, None, False)],
+    [(1, "add", 7, "x", None), (2, "delete", 7, None, None), (3, "add", 8, "x", None), (4, "add", 7, "x", None)],
+    [(1, "update", 2, None, True), (2, "update", 2, None, False), (3, "add", 2, "y", None), (4, "update", 5, None, True)],
+])
+def test_changes_apply_one_after_the_other(spark, changes):
+    stored = [(1, "one", True, None), (2, "two", True, None)]
+    terms = spark.createDataFrame(stored, schema.SEARCH_TERM)
+    frame = spark.createDataFrame(changes, "seq long, op string, id long, term string, is_active boolean")
+    rows, failures = _fold(stored, changes)
+    assert {(r.id, r.term, r.is_active) for r in dimensions.apply_changes(terms, frame).collect()} == rows
+    found = dimensions.rejected_changes(terms, frame).collect()
+    assert {(r.message, json.loads(r.payload)["seq"]) for r in found} == failures
+
+
+def test_new_rows_with_one_key_leave_the_first(spark):
+    stored = spark.createDataFrame([(1, "a", True)], "id long, term string, is_active boolean")
+    new = spark.createDataFrame([(9, "b", True), (5, "b", False), (6, "a", False)], "id long, term string, is_active boolean")
+    merged = dimensions.insert_if_absent(stored, new, order=("id",))
+    assert {tuple(r) for r in merged.collect()} == {(1, "a", True), (5, "b", False)}
+
+
+def test_a_version_without_rows_is_the_newest(spark):
+    store = Store(spark, scratch_path(spark, "store"))
+    terms = spark.createDataFrame([(1, "dev", True, None)], schema.SEARCH_TERM)
+    store.replace("search_terms", terms)
+    store.replace("search_terms", terms.where("false"))
+    assert store.read("search_terms").count() == 0
+    # left by an attempt that failed before it was published
+    terms.write.parquet(f"{store.path('search_terms')}/version=3")
+    assert store.read("search_terms").count() == 0
+    store.replace("search_terms", terms.withColumn("term", F.lit("data")))
+    assert [r.term for r in store.read("search_terms").collect()] == ["data"]
