@@ -79,8 +79,8 @@ def test_secret_rows(spark):
 
 
 def personal(count):
-    mails = [(i, f"{prose(i, 8)} call +1 (4{i % 10}9) 555-{1000 + i} or mail user{i}@host{i % 7}.example.com {prose(i + 500, 5)}", "en", "a") for i in range(count)]
-    return mails + [(1000 + i, f"{prose(i, 6)} item {i}{i * 37 % 97}00 of 12345{i} {prose(i, 3)}", "en", "a") for i in range(count)]
+    mails = [(3000 + i, f"{prose(i, 8)} call +1 (4{i % 10}9) 555-{1000 + i} or mail user{i}@host{i % 7}.example.com {prose(i + 500, 5)}", "en", "a") for i in range(count)]
+    return mails + [(4000 + i, f"{prose(i, 6)} item {i}{i * 37 % 97}00 of 12345{i} {prose(i, 3)}", "en", "a") for i in range(count)]
 
 
 def test_pii_rows_and_redaction(spark):
@@ -98,7 +98,7 @@ def test_pii_rows_and_redaction(spark):
             assert r.spans.startswith(pii.joined(base))
     redacted = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert redacted[5] is None and redacted[0] == by_id[0]
-    assert "[phone]" in redacted[39]
+    assert "[phone]" in redacted[3039]
     assert "@host" not in "".join(t or "" for t in redacted.values())
     assert pii.pii_spans(documents(spark, [])).collect() == []
 
