@@ -28,6 +28,8 @@ ORDER_HINT = 200_000
 CELL = 512
 #: Members compared with one copy of a leader.
 STAR = 2000
+#: Bits of a parity sketch: the next power of two of the set's size, within these.
+SKETCH_BITS = (256, 4096)
 #: Ids that are broadcast, at most; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -72,8 +74,39 @@ def _key_column(keys: np.ndarray) -> pa.Array:
     return binaries(np.frombuffer(keys.tobytes(), np.uint8), np.arange(len(keys) + 1) * 16)
 
 
+def _sketch(values: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each of some hash buckets.
+
+    Two sketches differ in no more bits than the sets have tokens apart, so pairs
+    whose sketches differ too much are not similar: a bound, not an estimate.
+    """
+    width = min(max(1 << max(len(values) - 1, 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = np.bincount((values >> np.uint64(40)).astype(np.int64) % width, minlength=width)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def _bits_apart(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of each pair differ; the wider one is folded to the width of the other."""
+    sizes = np.array([len(s) for s in sketches])
+    least = np.minimum(sizes[left], sizes[right])
+    out = np.zeros(len(left), np.int64)
+    for width in np.unique(least):
+        rows = np.flatnonzero(sizes >= width)
+        place = np.full(len(sketches), -1)
+        place[rows] = np.arange(len(rows))
+        folded = np.zeros((len(rows), width // 8), np.uint64)
+        for row, at in zip(rows, range(len(rows))):
+            folded[at] = np.bitwise_xor.reduce(np.frombuffer(sketches[row], np.uint64).reshape(-1, width // 8), axis=0)
+        chosen = np.flatnonzero(least == width)
+        for lo in range(0, len(chosen), 20_000):
+            part = chosen[lo : lo + 20_000]
+            apart = folded[place[left[part]]] ^ folded[place[right[part]]]
+            out[part] = np.bitwise_count(apart).sum(axis=1)
+    return out
+
+
 def _features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Class key and size of every document; the first row of a run carries its frequent tokens."""
+    """Class key, size and sketch of every document; the first row of a run carries its frequent tokens."""
 
     def scan(batches):
         for batch, texts in runs(batches, "text"):
@@ -84,11 +117,13 @@ def _features(docs: DataFrame, rule: Rule) -> DataFrame:
             hints = [[] for _ in sets]
             hints[0] = np.stack([signed(common), counts[counts >= FREQUENT_IN_RUN]], axis=1).ravel().tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys["n"].astype(np.int64)), _key_column(keys), pa.array(hints, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "frequent"],
+                [batch.column(0), pa.array(keys["n"].astype(np.int64)), _key_column(keys), pa.array(hints, pa.list_(pa.int64())),
+                 pa.array([_sketch(values) for values in sets], pa.binary())],
+                names=["doc_id", "n", "key", "frequent", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, key binary, frequent array<long>")
+    fields = "doc_id long, n long, key binary, frequent array<long>, sketch binary"
+    return docs.select("doc_id", "text").mapInArrow(scan, fields)
 
 
 def _order_hint(features: DataFrame) -> np.ndarray:
@@ -245,8 +280,8 @@ def _packed_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Dat
     return rows.select("doc_id", "text", "key").mapInArrow(pack, "key binary, packed binary")
 
 
-def _open_pairs(near: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of classes of one list and two components that the leaders' answers leave open, or link.
+def _open_pairs(near: DataFrame, classes: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of classes of one list and two components that the leaders' answers and sketches leave open, or link.
 
     A list of one component is skipped whole. In others the rows of the largest
     component meet only the other rows; cells hold about CELL rows of each side.
@@ -265,7 +300,6 @@ def _open_pairs(near: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rul
     a = F.ceil(F.col("most") / F.lit(CELL)).cast("int")
     b = F.ceil((F.col("rows") - F.col("most")) / F.lit(CELL)).cast("int")
     mine = F.pmod(F.xxhash64("key"), F.when(F.col("root") == F.col("main"), a).otherwise(b)).cast("int")
-    side = F.when(F.col("root") == F.col("main"), 0).otherwise(1)
 
     def cell(i, j, kind):
         return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -279,15 +313,13 @@ def _open_pairs(near: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rul
             F.transform(last_b, lambda j: cell(F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), 2)),
         ))
     )
-    dealt = open_rows.withColumn("mine", mine).withColumn("side", side).select(
-        "token", F.explode(cells).alias("cell"), "key", "n", "place", "root", "leader", "leader_n", "shared", "side"
-    )
+    dealt = open_rows.join(classes.select("key", "sketch"), "key").withColumn("mine", mine).select(
+        F.explode(cells).alias("cell"), "token", "key", "n", "place", "root", "leader", "leader_n", "shared", "sketch"
+    ).select("token", "cell.*", "key", "n", "place", "root", "leader", "leader_n", "shared", "sketch")
     parts = shuffle_partitions(near.sparkSession)
-    dealt = dealt.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "root", "n")
-    compare_cells = _cell_scan(rule)
-    pairs = dealt.select("token", F.to_json("cell").alias("cell"), "key", "n", "place", "root", "leader", "leader_n", "shared").mapInArrow(
-        compare_cells, "left binary, right binary, linked boolean"
-    )
+    cell_key = ("token", "kind", "i", "j")
+    dealt = dealt.repartition(parts, *cell_key).sortWithinPartitions(*cell_key, "root", "n")
+    pairs = dealt.mapInArrow(_cell_scan(rule), "left binary, right binary, linked boolean")
     return pairs.groupBy("left", "right").agg(F.max("linked").alias("linked"))
 
 
@@ -296,13 +328,15 @@ def _cell_scan(rule: Rule):
         held: list[pa.RecordBatch] = []
         current = None
         for batch in batches:
-            ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if ids[lo] != current and held:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                if held and tuple(ids[lo]) != current:
                     yield from _cell_pairs(held, rule)
                     held = []
-                current = ids[lo]
+                current = tuple(ids[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from _cell_pairs(held, rule)
@@ -313,6 +347,9 @@ def _cell_scan(rule: Rule):
 def _cell_pairs(held: list[pa.RecordBatch], rule: Rule):
     """Open and derived pairs of one cell, 128 rows against all at a time."""
     table = pa.Table.from_batches(held)
+    if table.num_rows < 2:
+        return
+    sketches = table.column("sketch").to_pylist()
     key = np.array(table.column("key").to_pylist(), object)
     n, place, leader_n, shared = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "leader_n", "shared"))
     _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
@@ -334,11 +371,13 @@ def _cell_pairs(held: list[pa.RecordBatch], rule: Rule):
         wide &= ~told | (most >= need)
         linked = told & (shared[rows, None] + shared[None, :] - leader_n[None, :] >= need)
         i, j = np.nonzero(wide)
-        linked = linked[i, j]
+        linked, most_apart = linked[i, j], n[i + at] + n[j] - 2 * need[i, j]
         i = i + at
-        upper = key[i] < key[j]
+        upper = np.flatnonzero(key[i] < key[j]) if len(i) else i
+        i, j, linked, most_apart = i[upper], j[upper], linked[upper], most_apart[upper]
         if len(i):
-            i, j, linked = i[upper], j[upper], linked[upper]
+            near = linked | (_bits_apart(sketches, i, j) <= most_apart)
+            i, j, linked = i[near], j[near], linked[near]
         if len(i):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[i].tolist(), pa.binary()), pa.array(key[j].tolist(), pa.binary()), pa.array(linked)],
@@ -361,7 +400,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     features = scratch.write(_features(docs, rule), "features")
     usable = docs.where("doc_id is not null and text is not null")
     hint = _order_hint(features)
-    classes = scratch.write(features.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "classes")
+    classes = scratch.write(features.where("n > 0 and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.min_by("sketch", "doc_id").alias("sketch")
+    ), "classes")
     near = scratch.write(_index(usable, rule, hint), "near")
 
     need = F.ceil(rule.above * (F.col("n") + F.col("leader_n")) / F.lit(rule.above + rule.below))
@@ -374,7 +415,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     edges = answers.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
     roots = scratch.write(components(edges, scratch, "first-stars"), "first-roots")
 
-    second = scratch.write(_open_pairs(near, roots, answers, rule), "second")
+    second = scratch.write(_open_pairs(near, classes, roots, answers, rule), "second")
     open_pairs = second.where("not linked").select("left", "right")
     asked = answers.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
     open_pairs = scratch.write(open_pairs.join(asked, ["left", "right"], "left_anti"), "open")
