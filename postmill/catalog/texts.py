@@ -72,6 +72,34 @@ def technology_spellings(spark, sf):
     )
 
 
+# A spelling of every soft-skill pattern, and of every seniority word with the label it stands for.
+_SOFT_SPELLINGS = (
+    "comunicação clara", "liderança", "trabalho em equipe", "autonomia", "proatividade", "proativo", "organização", "criatividade",
+    "inovação", "gestão do tempo", "flexibilidade", "empatia", "adaptabilidade", "colaboração", "mentoria", "resolução de problemas",
+    "pensamento crítico", "inteligência emocional", "bom humor", "protagonismo", "senso de dono", "perfil analítico",
+)
+_SENIORITY_SPELLINGS = (
+    ("Estagiário", "Estagiário"), ("Júnior", "Júnior"), ("junior", "Júnior"), ("Jr", "Júnior"), ("Pleno", "Pleno"), ("Pl", "Pleno"),
+    ("SÊNIOR", "Sênior"), ("Sr.", "Sênior"), ("especialista", "Especialista"), ("Consultor", "Consultor"), ("Liderança", "Liderança"),
+    ("gerente", "Gerente"), ("Diretor", "Diretor"),
+)
+
+
+def _planted(spark, sf, spellings):
+    """Sentences about parts, each with one of the spellings in turn."""
+    chosen = F.get(F.array(*[F.lit(s) for s in spellings]), (F.col("p_partkey") % len(spellings)).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("Busca-se: "), chosen, F.lit(", para "), "p_name", F.lit(".")).alias("text"))
+
+
+def planted_soft_skills(spark, sf):
+    found = text.soft_skills(F.col("text"))
+    return _planted(spark, sf, _SOFT_SPELLINGS).select("p_partkey", F.array_join(found, ", ").alias("soft"))
+
+
+def planted_seniorities(spark, sf):
+    return _planted(spark, sf, [s for s, _ in _SENIORITY_SPELLINGS]).select("p_partkey", text.seniority(F.col("text")).alias("seniority"))
+
+
 def nice_to_have(spark, sf):
     cleaned = _cleaned_posts(spark, sf).withColumn("nice", text.nice_section(F.col("text")))
     found = cleaned.select(
@@ -340,6 +368,11 @@ SELECT id, array_to_string(hits, ', ') AS hits, array_to_string(list_sort(list_d
 FROM hits"""),
     ("nice_to_have", nice_to_have, f"{WITH_FEATURES} SELECT id, array_to_string(nice, ', ') AS nice FROM features"),
     ("soft_skills", soft_skills, f"{WITH_FEATURES} SELECT id, array_to_string(soft, ', ') AS soft FROM features"),
+    ("planted_soft_skills", planted_soft_skills, f"""
+SELECT p_partkey, ([{", ".join(f"'{s}'" for s in _SOFT_SPELLINGS)}])[p_partkey % {len(_SOFT_SPELLINGS)} + 1] AS soft FROM part"""),
+    ("planted_seniorities", planted_seniorities, f"""
+SELECT p_partkey, ([{", ".join(f"'{s}'" for _, s in _SENIORITY_SPELLINGS)}])[p_partkey % {len(_SENIORITY_SPELLINGS)} + 1] AS seniority
+FROM part"""),
     ("years_experience", years_experience, f"{WITH_FEATURES} SELECT id, years_experience FROM features"),
     ("salaries", salaries, f"{WITH_FEATURES} SELECT id, salary, amount FROM features"),
     ("contracts", contracts, f"{WITH_FEATURES} SELECT id, contract, contract_type FROM features"),

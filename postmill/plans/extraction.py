@@ -18,10 +18,15 @@ FEATURE_FIELDS = (
 )
 
 
+def pending_ids(posts: DataFrame, jobs: DataFrame, limit: int = None) -> DataFrame:
+    """Ids of posts that have no job yet, optionally the first few. Only ids are read and exchanged."""
+    pending = posts.select("id").join(jobs.select("id"), "id", "left_anti")
+    return pending if limit is None else pending.distinct().orderBy("id").limit(limit)
+
+
 def pending_posts(posts: DataFrame, jobs: DataFrame, limit: int = None) -> DataFrame:
     """Posts that have no job yet, optionally the first few by id."""
-    pending = posts.join(jobs.select("id"), "id", "left_anti")
-    return pending if limit is None else pending.orderBy("id").limit(limit)
+    return posts.join(pending_ids(posts, jobs, limit), "id", "left_semi")
 
 
 def with_text_features(
@@ -243,9 +248,11 @@ def extract_and_load(
     needed = posts.select(
         "id", "name", "description", "company_id", "career_page_name", "state", "city"
     )
-    pending = pending_posts(needed, store.read("jobs"), limit)
-    featured = with_text_features(pending) if extractor is None else with_custom_features(pending, extractor)
     with staging(store.spark) as stage:
+        # written first: few pending ids are then broadcast, and texts of posts long stored are not moved
+        ids = stage(pending_ids(needed, store.read("jobs"), limit), "pending-ids")
+        pending = needed.join(ids, "id", "left_semi")
+        featured = with_text_features(pending) if extractor is None else with_custom_features(pending, extractor)
         fields = stage(job_fields(featured, extractor_type), "job-fields")
         existing = {name: store.read(name) for name in WRITE_ORDER}
         new = star_tables(good_rows(fields), existing, stage)

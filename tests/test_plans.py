@@ -6,6 +6,7 @@ import pytest
 
 from postmill.catalog import analytics, ingesting, listings, texts
 from postmill.operators import trends
+from postmill.plans import extraction
 from postmill.session import scratch_path
 from postmill.sources.tables import Store, empty_table
 
@@ -52,3 +53,17 @@ def test_trend_window_prunes_month_folders(spark):
     recent = store.read("jobs_posts").where("published_month >= date '2024-04-01'")
     assert daily.count() == 0
     assert "PartitionFilters: [isnotnull(published_month" in plan(recent)
+
+
+def test_pending_posts_exchange_ids_only(spark):
+    store = Store(spark, scratch_path(spark, "store"))
+    posts = empty_table(spark, "jobs_posts").unionByName(
+        spark.range(50).selectExpr("id", "repeat('text ', 100) as description"), allowMissingColumns=True
+    )
+    store.append("jobs_posts", posts)
+    stored = spark.range(20).write.mode("append")
+    stored.parquet(store.path("known"))
+    known = spark.read.parquet(store.path("known"))
+    text = plan(extraction.pending_ids(store.read("jobs_posts"), known))
+    assert "description" not in text
+    assert extraction.pending_posts(store.read("jobs_posts"), known).count() == 30

@@ -21,6 +21,13 @@ def duck():
     con.close()
 
 
+@pytest.fixture(scope="module")
+def larger():
+    con = connect("/root/testdata/sf0.01")
+    yield con
+    con.close()
+
+
 def test_every_query_has_sql():
     assert set(OWN) <= set(SQL)
 
@@ -30,6 +37,12 @@ def test_names_are_unique():
     assert len(names) == len(set(names))
 
 
+@pytest.mark.parametrize("name", OWN)
+def test_finds_something(name, larger):
+    """A result without rows would prove nothing."""
+    assert larger.execute(SQL[name]).fetchall()
+
+
 @pytest.mark.parametrize("name", OWN)
 def test_matches_sql(spark, duck, name):
     assert compare(QUERIES[name](spark, SF_DIR), duck, SQL[name]) is None
