@@ -163,6 +163,10 @@ def failed_rows(fields: DataFrame) -> DataFrame:
     )
 
 
+def _members(kind: str, names: Column) -> Column:
+    return F.transform(names, lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+
 def star_tables(fields: DataFrame, existing: dict, keep=lambda rows, name: rows) -> dict:
     """New rows of every table for rows that passed validation.
 
@@ -184,22 +188,29 @@ def star_tables(fields: DataFrame, existing: dict, keep=lambda rows, name: rows)
         F.col("description").alias("payload"),
     )
 
-    new["states"] = keep(dimensions.new_members(existing["states"], dimensions.state_names(placed)), "states")
+    # one pass over the rows names the members of every plain dimension
+    kinds = ("states", "contract_types", *schema.SKILL_KINDS)
+    named = [_members("states", F.array("state")), _members("contract_types", F.array("contract_type"))]
+    named += [_members(kind, F.coalesce(kind, F.array().cast("array<string>"))) for kind in schema.SKILL_KINDS]
+    names = placed.select(F.explode(F.concat(*named)).alias("m")).select("m.kind", "m.name").where("name is not null")
+    names = keep(names.distinct(), "names")
+    members = None
+    for kind in kinds:
+        own = dimensions.new_members(existing[kind], names.where(F.col("kind") == kind).select("name"))
+        own = own.select(F.lit(kind).alias("kind"), "id", "name")
+        members = own if members is None else members.unionByName(own)
+    members = keep(members, "members")
+    for kind in kinds:
+        new[kind] = members.where(F.col("kind") == kind).drop("kind")
     states = existing["states"].unionByName(new["states"])
     new["cities"] = keep(
         dimensions.new_members(existing["cities"], dimensions.city_names(placed, states), ("name", "state_id")),
         "cities",
     )
     cities = existing["cities"].unionByName(new["cities"])
-    new["contract_types"] = keep(
-        dimensions.new_members(existing["contract_types"], placed.select(F.col("contract_type").alias("name"))),
-        "contract-types",
-    )
     contracts = existing["contract_types"].unionByName(new["contract_types"])
 
     for table, (bridge, skill_id, _) in schema.SKILL_KINDS.items():
-        names = placed.select(F.explode(table).alias("name"))
-        new[table] = keep(dimensions.new_members(existing[table], names), table)
         pairs = dimensions.bridge_rows(
             placed.select(F.col("id").alias("job_id"), F.col(table).alias("names")),
             existing[table].unionByName(new[table]),

@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 def local_scratch(spark: SparkSession) -> SparkSession:
     """Name a scratch folder for a session of one machine that has none (tests, bench, smoke runs)."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
     return spark
