@@ -280,7 +280,9 @@ def _packed_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Dat
     return rows.select("doc_id", "text", "key").mapInArrow(pack, "key binary, packed binary")
 
 
-def _open_pairs(near: DataFrame, classes: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule) -> DataFrame:
+def _open_pairs(
+    near: DataFrame, classes: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule, forest: bool
+) -> DataFrame:
     """Pairs of classes of one list and two components that the leaders' answers and sketches leave open, or link.
 
     A list of one component is skipped whole. In others the rows of the largest
@@ -319,70 +321,100 @@ def _open_pairs(near: DataFrame, classes: DataFrame, roots: DataFrame, answers:
     parts = shuffle_partitions(near.sparkSession)
     cell_key = ("token", "kind", "i", "j")
     dealt = dealt.repartition(parts, *cell_key).sortWithinPartitions(*cell_key, "root", "n")
-    pairs = dealt.mapInArrow(_cell_scan(rule), "left binary, right binary, linked boolean")
+    pairs = dealt.mapInArrow(_cell_scan(rule, forest), "left binary, right binary, linked boolean")
     return pairs.groupBy("left", "right").agg(F.max("linked").alias("linked"))
 
 
-def _cell_scan(rule: Rule):
+def _cell_scan(rule: Rule, forest: bool):
     def scan(batches):
-        held: list[pa.RecordBatch] = []
-        current = None
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-                if held and tuple(ids[lo]) != current:
-                    yield from _cell_pairs(held, rule)
-                    held = []
-                current = tuple(ids[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from _cell_pairs(held, rule)
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            cuts = _cell_cuts(table)
+            held = table.slice(cuts[-2])
+            yield from _scan_cells(table.slice(0, cuts[-2]), cuts[:-1], rule, forest)
+        if held is not None and held.num_rows:
+            yield from _scan_cells(held, _cell_cuts(held), rule, forest)
 
     return scan
 
 
-def _cell_pairs(held: list[pa.RecordBatch], rule: Rule):
-    """Open and derived pairs of one cell, 128 rows against all at a time."""
-    table = pa.Table.from_batches(held)
+def _cell_cuts(table: pa.Table) -> list[int]:
+    """Where the cells of sorted rows start, and the end."""
+    ids = np.stack([table.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+    starts = (np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()
+    return [0, *starts, len(ids)]
+
+
+def _scan_cells(table: pa.Table, cuts: list[int], rule: Rule, forest: bool):
+    """Pairs of whole cells, as one batch."""
     if table.num_rows < 2:
         return
-    sketches = table.column("sketch").to_pylist()
-    key = np.array(table.column("key").to_pylist(), object)
-    n, place, leader_n, shared = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "leader_n", "shared"))
-    _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
-    _, leader = np.unique(np.array(table.column("leader").to_pylist(), object), return_inverse=True)
-    for at in range(0, len(key), 128):
+    table = table.combine_chunks()
+    keys, sketches = table.column("key").to_pylist(), table.column("sketch").to_pylist()
+    sets = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "leader_n", "shared")])
+    root, leader = (
+        table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("root", "leader")
+    )
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = root[lo:hi]
+        if hi - lo > 1 and (own != own[0]).any():
+            i, j, linked = _cell_pairs(keys[lo:hi], sketches[lo:hi], sets[:, lo:hi], own, leader[lo:hi], rule, forest)
+            if len(i):
+                found.append((i + lo, j + lo, linked))
+    if found:
+        i, j, linked = (np.concatenate(c) for c in zip(*found))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([keys[k] for k in i], pa.binary()), pa.array([keys[k] for k in j], pa.binary()), pa.array(linked)],
+            names=["left", "right", "linked"],
+        )
+
+
+def _cell_pairs(keys, sketches, sets, root, leader, rule: Rule, forest: bool):
+    """Open and derived pairs of one cell, 128 rows against all at a time.
+
+    Derived links are told by a forest of them, and pairs that it connects are
+    open no more. With `forest` the open ones are cut to a forest as well, of pairs
+    with the nearest sketches: the fewest that could connect the cell.
+    """
+    n, place, leader_n, shared = sets
+    parts: list[tuple] = []
+    for at in range(0, len(keys), 128):
         rows = slice(at, at + 128)
-        lowest = -(-rule.above * n[rows].min() // rule.below)
-        if root[rows].min() == root.min() and root[rows].max() == root.max() and root.min() == root.max():
-            continue
-        if lowest > n.max():
-            continue
         need = rule.needed(n[rows, None], n[None, :])
         rest = np.minimum(n[rows, None] - place[rows, None], n[None, :] - place[None, :])
         wide = (root[rows, None] != root[None, :]) & (np.minimum(n[rows, None], n[None, :]) >= need) & (rest >= need)
-        told = (leader[rows, None] == leader[None, :]) & (shared[rows, None] >= 0) & (shared[None, :] >= 0)
-        most = np.minimum(shared[rows, None], shared[None, :]) + np.minimum(
-            n[rows, None] - shared[rows, None], n[None, :] - shared[None, :]
-        )
-        wide &= ~told | (most >= need)
-        linked = told & (shared[rows, None] + shared[None, :] - leader_n[None, :] >= need)
         i, j = np.nonzero(wide)
-        linked, most_apart = linked[i, j], n[i + at] + n[j] - 2 * need[i, j]
-        i = i + at
-        upper = np.flatnonzero(key[i] < key[j]) if len(i) else i
-        i, j, linked, most_apart = i[upper], j[upper], linked[upper], most_apart[upper]
-        if len(i):
-            near = linked | (_bits_apart(sketches, i, j) <= most_apart)
-            i, j, linked = i[near], j[near], linked[near]
-        if len(i):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[i].tolist(), pa.binary()), pa.array(key[j].tolist(), pa.binary()), pa.array(linked)],
-                names=["left", "right", "linked"],
-            )
+        need, i = need[i, j], i + at
+        upper = np.flatnonzero([keys[a] < keys[b] for a, b in zip(i.tolist(), j.tolist())])
+        i, j, need = i[upper], j[upper], need[upper]
+        told = (leader[i] == leader[j]) & (shared[i] >= 0) & (shared[j] >= 0)
+        most = np.minimum(shared[i], shared[j]) + np.minimum(n[i] - shared[i], n[j] - shared[j])
+        linked = told & (shared[i] + shared[j] - leader_n[j] >= need)
+        apart = _bits_apart(sketches, i, j)
+        keep = linked | ((~told | (most >= need)) & (apart <= n[i] + n[j] - 2 * need))
+        parts.append((i[keep], j[keep], linked[keep], apart[keep]))
+    i, j, linked, apart = (np.concatenate(c) for c in zip(*parts))
+    if not len(i):
+        return i, j, linked
+    joined = {r: r for r in np.unique(root).tolist()}
+
+    def find(r: int) -> int:
+        while joined[r] != r:
+            joined[r] = joined[joined[r]]
+            r = joined[r]
+        return r
+
+    keep = np.zeros(len(i), bool)
+    for at in np.lexsort((apart, ~linked)).tolist():
+        a, b = find(int(root[i[at]])), find(int(root[j[at]]))
+        if a != b:
+            keep[at] = True
+            if linked[at] or forest:
+                joined[a] = b
+    return i[keep], j[keep], linked[keep]
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -412,24 +444,28 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sides = first.select(F.col("left").alias("key")).union(first.select(F.col("right").alias("key"))).distinct()
     texts = scratch.write(_packed_texts(docs, classes, sides), "texts")
     answers = scratch.write(_compare(first, texts, rule), "answers")
+    scratch.release("texts")
     edges = answers.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
     roots = scratch.write(components(edges, scratch, "first-stars"), "first-roots")
 
-    second = scratch.write(_open_pairs(near, classes, roots, answers, rule), "second")
-    open_pairs = second.where("not linked").select("left", "right")
     asked = answers.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
-    open_pairs = scratch.write(open_pairs.join(asked, ["left", "right"], "left_anti"), "open")
-    scratch.release("near", "texts")
-    more = open_pairs.select(F.col("left").alias("key")).union(open_pairs.select(F.col("right").alias("key"))).distinct()
-    more_texts = scratch.write(_packed_texts(docs, classes, more), "more-texts")
-    verified = _compare(open_pairs, more_texts, rule).where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
-    derived = second.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
-    late = scratch.write(verified.union(derived), "late")
-    scratch.release("more-texts", "second", "open")
-    if late.isEmpty():
-        final = roots
-    else:
-        final = scratch.write(components(edges.union(late), scratch, "last-stars"), "last-roots")
+    # Pairs that could connect the lists come first; after their links few lists are still open, and those are searched whole.
+    for turn, forest in (("second", True), ("third", False)):
+        found = scratch.write(_open_pairs(near, classes, roots, answers, rule, forest), turn)
+        open_pairs = scratch.write(
+            found.where("not linked").select("left", "right").join(asked, ["left", "right"], "left_anti"), f"{turn}-open"
+        )
+        sides = open_pairs.select(F.col("left").alias("key")).union(open_pairs.select(F.col("right").alias("key"))).distinct()
+        texts = scratch.write(_packed_texts(docs, classes, sides), f"{turn}-texts")
+        verified = scratch.write(_compare(open_pairs, texts, rule), f"{turn}-answers")
+        late = verified.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
+        late = scratch.write(late.union(found.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))), f"{turn}-late")
+        asked = asked.union(open_pairs)
+        scratch.release(f"{turn}-texts", turn)
+        if not late.isEmpty():
+            edges = edges.union(late)
+            roots = scratch.write(components(edges, scratch, f"{turn}-stars"), f"{turn}-roots")
+    final = roots
     named = classes.join(final, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = scratch.write(named.join(ids, "root").select("key", F.col("least").alias("class_id"), "component_id"), "ids")

@@ -35,8 +35,3 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def whole_texts(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra ones never clash with an operator's own."""
-    return docs.select(*columns)
