@@ -5,8 +5,10 @@ the runs of 1, 2, 4, ... lines that start at each place, in sorted order, from
 the names of their halves; places of one name form an interval of the suffix
 array whose common prefix has that length. A run counts as repeated when its
 first lines, as many as hold MIN_WORDS words, share such an interval with an
-earlier place; overlapping ones make up the maximal repeated runs, and all but
-the first copies are deleted.
+earlier place. It is then followed line by line to the end of the common prefix
+with an earlier place, as long as no run that starts one line later reaches as
+far with MIN_WORDS words of its own; so all lines of the maximal repeated runs
+are met, and all but the first copies are deleted.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.scratch import Scratch
-from postmill.llm.textkit import hashes, owners, runs, signed
+from postmill.llm.textkit import hashes, mix, owners, runs, signed
 
 #: Words that a run of lines has at least.
 MIN_WORDS = 10
@@ -30,9 +32,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__t", F.xxhash64("text"))
 
 
+def _chains(line: np.ndarray, size: np.ndarray, after: np.ndarray, more: np.ndarray) -> pa.ListArray:
+    """Hashes of the first 1, 2, ... `more` lines from `after` on, of each place."""
+    offsets = np.concatenate([[0], np.cumsum(more)])
+    out, chain = np.zeros(offsets[-1], np.uint64), np.zeros(len(more), np.uint64)
+    for k in range(more.max(initial=0)):
+        on = np.flatnonzero(more > k)
+        at = after[on] + k
+        chain[on] = mix(mix(chain[on] + line[at]) + size[at].astype(np.uint64))
+        out[offsets[on] + k] = chain[on]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(out)))
+
+
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines with words: their place among those of the document, 64-bit hash and length, and `need`,
-    the number of lines from there on that hold `min_words` words (null if the rest holds fewer)."""
+    """Lines with words: their place among those of the document, 64-bit hash and length, `need`, the number
+    of lines from there on that hold `min_words` words (null if the rest holds fewer), and `more`, a hash for each
+    further line of all lines after the `need` ones up to it, while those after the place's own hold fewer words."""
 
     def split(batches):
         for batch, texts in runs(batches, "text"):
@@ -47,19 +62,23 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cuts = np.searchsorted(text, np.arange(len(texts) + 1))
             last = cuts[text + 1] - 1
             reach = np.searchsorted(upto, before + min_words)
-            need = np.where(reach <= last, reach - np.arange(len(text)) + 1, 0)
+            at = np.arange(len(text))
+            need = np.where(reach <= last, reach - at + 1, 0)
+            stop = np.minimum(np.searchsorted(upto, upto + min_words), last + 1)
+            more = np.where(need > 0, np.maximum(stop - at - need, 0), 0)
+            line, size = hashes(texts.sums(), starts, ends), ends - starts
             whole = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(whole), batch.column(1).take(whole), pa.array((np.arange(len(text)) - cuts[text]).astype(np.int32)),
-                    pa.array(need.astype(np.int32), mask=need == 0), pa.array(signed(hashes(texts.sums(), starts, ends))),
-                    pa.array((ends - starts).astype(np.int32)),
+                    batch.column(0).take(whole), batch.column(1).take(whole), pa.array((at - cuts[text]).astype(np.int32)),
+                    pa.array(need.astype(np.int32), mask=need == 0), pa.array(signed(line)), pa.array(size.astype(np.int32)),
+                    _chains(line, size, at + need, more),
                 ],
-                names=[*PLACE, "need", "line", "size"],
+                names=[*PLACE, "need", "line", "size", "more"],
             )
 
     rows = _keyed(docs).where("doc_id is not null and text is not null").select("doc_id", F.col("__t").alias("t"), "text")
-    return rows.mapInArrow(split, "doc_id long, t long, pos int, need int, line long, size int")
+    return rows.mapInArrow(split, "doc_id long, t long, pos int, need int, line long, size int, more array<long>")
 
 
 def _named(pairs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -76,31 +95,35 @@ def _ahead(places: DataFrame, steps) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, t, pos, need): places whose run of `need` lines, `min_words` words, also starts at an earlier place.
+    """(doc_id, t, pos, need): places whose run of `need` lines, `min_words` words or more, also starts at an earlier place.
 
-    Earlier is a smaller doc_id, or a smaller place of the same text. Doubling ends
+    Each place comes with the shortest such run and with the longer ones that no
+    run from the next place reaches the end of; together they cover the maximal ones. Earlier is a smaller doc_id, or a smaller place of the same text. Doubling ends
     when no place needs longer names: a run has a word in each line, so names of
     `min_words` lines are the longest. Names that occur once are dropped at once.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     singles = lines(docs, min_words).withColumnRenamed("line", "x").withColumnRenamed("size", "y")
     places = scratch.write(_named(singles, scratch, "1").distinct(), "places-1")
-    found = places.where("need = 1").select(*PLACE, "need", F.col("name").alias("x"), F.col("name").alias("y"))
+    found = places.where("need = 1").select(*PLACE, "need", "more", F.col("name").alias("x"), F.col("name").alias("y"))
     length = 1
     while places.where(F.col("need") > length).limit(1).count():
         inner = places.where((F.col("need") > length) & (F.col("need") <= 2 * length))
         there = places.select("doc_id", "t", F.col("pos").alias("at"), F.col("name").alias("y"))
         ends = inner.withColumn("at", F.col("pos") + F.col("need") - length).join(there, [*ROW, "at"])
-        found = found.unionByName(ends.select(*PLACE, "need", F.col("name").alias("x"), "y"))
+        found = found.unionByName(ends.select(*PLACE, "need", "more", F.col("name").alias("x"), "y"))
         if not places.where(F.col("need") > 2 * length).limit(1).count():
             break
         doubled = _ahead(places, length).withColumnRenamed("name", "x")
         length *= 2
         places = scratch.write(_named(doubled, scratch, str(length)), f"places-{length}")
     found = scratch.write(found, "found")
-    first = found.groupBy("need", "x", "y").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first, ["need", "x", "y"]).where(F.struct(*PLACE) > F.col("first"))
-    return later.select(*PLACE, "need")
+    reach = F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "more")).alias("further", "chain")
+    found = found.select(*PLACE, "need", "x", "y", reach)
+    run = ["need", "x", "y", "further", "chain"]
+    first = found.groupBy(*run).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = found.join(first, run).where(F.struct(*PLACE) > F.col("first"))
+    return later.select(*PLACE, (F.col("need") + F.col("further")).alias("need"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:

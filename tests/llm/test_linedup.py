@@ -1,3 +1,4 @@
+import random
 import re
 
 from cases import documents, identified, prose, texts
@@ -59,3 +60,46 @@ def test_rows_without_id_or_text_are_left(spark):
 
 def test_empty_table(spark):
     assert linedup.line_dedup(documents(spark, [])).collect() == []
+
+
+def maximal(by_id, least=linedup.MIN_WORDS):
+    """Texts without the lines of every common run of a place and an earlier one that holds `least` words."""
+    out, seen = {}, []
+    for doc, text in sorted(by_id.items()):
+        parts = text.split("\n")
+        spoken = [i for i, p in enumerate(parts) if p.strip(BLANK)]
+        said = [parts[i] for i in spoken]
+        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in said]
+        seen.append(said)
+        gone = set()
+        for k in range(len(said)):
+            for there in seen:
+                for q in range(k if there is said else len(there)):
+                    both = zip(said[k:], there[q:])
+                    n = next((m for m, (a, b) in enumerate(both) if a != b), min(len(said) - k, len(there) - q))
+                    gone |= set(spoken[k : k + n]) if sum(counts[k : k + n]) >= least else set()
+        out[doc] = (len(spoken), len(gone), "\n".join(p for i, p in enumerate(parts) if i not in gone))
+    return out
+
+
+def test_short_last_lines_of_repeated_runs_go(spark):
+    """A copy of a long line and a short one goes whole, also if copies differ in how far they agree."""
+    long, tail = prose(1, 12).replace("\n", " "), ["Bye now", "so long", "and thanks"]
+    rows = [
+        (0, "\n".join([long, *tail])), (1, "\n".join([long, *tail])), (2, "\n".join([long, tail[0], "else"])),
+        (3, "\n".join([long, tail[1]])), (4, "\n".join([long, "", tail[1], tail[2]])), (5, "\n".join([*tail, long, tail[0]] * 2)),
+        (6, "\n".join([*tail, *tail])), (7, "\n".join([*tail, *tail, "else"])),
+    ]
+    got = result(linedup.without_repeats(documents(spark, [(*r, "en", "a") for r in rows])))
+    assert got == maximal(dict(rows))
+    assert got[1] == (4, 4, "") and got[2][2] == "else"
+
+
+def test_matches_brute_force_of_maximal_runs(spark):
+    pick = random.Random(5)
+    pool = [" ".join(prose(s, s % 13 + 1).split()) for s in range(8)]
+    rows = [(i, "\n".join(pick.choice(pool) for _ in range(pick.randint(0, 14)))) for i in range(60)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:20])]
+    want = maximal(dict(rows))
+    assert result(linedup.without_repeats(documents(spark, [(*r, "en", "a") for r in rows]))) == want
+    assert sum(v[1] for v in want.values()) > 100
