@@ -17,8 +17,6 @@ from postmill.llm.textkit import Texts, owners, runs
 
 SLOTS = 8192
 PROFILE = 300
-#: At most this many labelled rows are learnt from.
-FIT_ROWS = 6000
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -80,14 +78,10 @@ class Profiles:
         return best, 1 - away.min(axis=0) / most
 
 
-def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
-    """Profiles from `text` and non-null `lang` of at most `fit_rows` different texts, those of smallest hash."""
-    usable = labelled.where("lang is not null and text is not null")
-    bound = (
-        usable.groupBy(F.xxhash64("text").alias("__order"), "lang").agg(F.min("doc_id").alias("doc_id"))
-        .orderBy("__order", "lang").limit(fit_rows)
-    )
-    sample = usable.join(F.broadcast(bound.select("doc_id", "lang")), ["doc_id", "lang"])
+def learn(labelled: DataFrame) -> Profiles:
+    """Profiles from `text` and non-null `lang` of all different texts."""
+    usable = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("__text"))
+    sample = usable.dropDuplicates(["__text", "lang"])
 
     def count(batches):
         for batch, texts in runs(batches, "text"):

@@ -142,6 +142,20 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert {r.lang_pred for r in language.language_id(documents(spark, rows)).collect()} == {"en"}
 
 
+def test_a_rare_language_has_a_profile(spark):
+    """Two labelled texts among 8,000 of another language are learnt from, whatever their hashes."""
+    train = [i for i in range(12000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    words = spoken("en", 1).split()
+    rows = [(i, f"{words[i % 40]} {words[i // 40 % 40]} {words[i // 1600]}", "en", "b") for i in train[:8000]]
+    spare = [(spoken("de", 1000 + k),) for k in range(20)]
+    rare = spark.createDataFrame(spare, "text string").selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()
+    rows += [(train[8000 + k], r.text, "de", "b") for k, r in enumerate(rare[-2:])]
+    docs = documents(spark, [*rows, (90001, spoken("de", 5), None, "b")])
+    learnt = language.learn(docs)
+    assert learnt.languages == ["de", "en"]
+    assert language.identify(docs.where("doc_id = 90001"), learnt).first().lang_pred == "de"
+
+
 def test_nothing_learnt_is_unknown(spark):
     assert [r.lang_pred for r in language.language_id(documents(spark, [(0, "some words", None, "a")])).collect()] == ["und"]
     assert language.language_id(documents(spark, [])).collect() == []
