@@ -2,11 +2,14 @@
 
 Tokens are counted by cell (source, language, topic). Raking scales the cells
 until their sums meet the targets of each source, language and topic; documents
-are then sampled by the probabilities that give those sums.
+are then sampled by the probabilities that give those sums. No cell gives more
+than its tokens; sums that cannot be met are told by `marginals` and logged.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,14 @@ DIMENSIONS = ("source", "lang", "topic")
 BUDGET = 0.6
 #: Targets are the shares of what is there to this power, so that rare values gain.
 TEMPER = 0.7
-ROUNDS = 12
 TOLERANCE = 1e-3
+#: Rounds that must bring the worst sum nearer by a hundredth at least.
+PATIENCE = 10
 SCALES = 64
+#: Goals that are named in a message.
+LOGGED = 20
+
+log = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -53,57 +61,109 @@ def _targets(table: DataFrame, dimension: str, total: float, temper: float) -> D
     return raised.select(dimension, (F.col("goal") * F.lit(total / norm)).alias("goal"))
 
 
-def rake(table: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`table` (cells with n) with `weight`, whose sums meet `goals` of every dimension.
+def _reachable(table: DataFrame, dimension: str, goal: DataFrame, total: float) -> DataFrame:
+    """`goal` that adds up to `total`, with no value over its tokens: the others share what it lacks, in proportion."""
+    held = table.groupBy(dimension).agg(F.sum("n").cast("double").alias("n")).join(goal, dimension)
+    over, tokens, norm = held.agg(F.max(F.col("goal") > F.col("n")), F.sum("n"), F.sum("goal")).first()
+    if not norm or not over and abs(norm - total) <= TOLERANCE * TOLERANCE * total:
+        return goal
+    scale = _scale(held, F.col("goal") * F.lit(total / norm), F.col("n"), min(total, tokens))
+    return held.select(dimension, F.least("n", F.col("goal") * F.lit(total / norm * scale)).alias("goal"))
+
+
+def rake(table: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, rounds: int | None = None, tolerance: float = TOLERANCE, bounded: bool = False) -> DataFrame:
+    """`table` (cells with n) with `weight`, whose sums meet `goals` of every dimension; if `bounded`, the sums of least(n, weight).
 
     Each round is one written table. Sums are partial in each task and joined
-    back as one row for each value; no cells are gathered. Rounds end when no
-    sum is off by more than `tolerance` of its goal.
+    back as one row for each value; no cells are gathered. If bounded, a cell whose
+    weight is n or more counts as n, and the others of its value share what is missing. Rounds
+    end when no sum is off by more than `tolerance` of its goal, or when the worst
+    one came no nearer for PATIENCE rounds, as where goals contradict each other.
     """
     current = table.withColumn("weight", F.col("n").cast("double"))
-    for turn in range(rounds):
+    worst: list[float] = []
+    while rounds is None or len(worst) < rounds:
+        turn = len(worst)
         for place, (dimension, goal) in enumerate(goals.items()):
-            sums = current.groupBy(dimension).agg(F.sum("weight").alias("__sum")).join(goal, dimension)
-            factor = F.when(F.col("__sum") > 0, F.col("goal") / F.col("__sum")).otherwise(0.0)
-            off = F.abs(factor - 1) if place == 0 else F.greatest("__off", F.abs(factor - 1))
+            full = F.lit(bounded) & (F.col("weight") >= F.col("n"))
+            sums = current.groupBy(dimension).agg(
+                F.sum(F.when(full, F.col("n").cast("double")).otherwise(0.0)).alias("__full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("__free")
+            ).join(goal, dimension)
+            have = F.col("__full") + F.col("__free")
+            factor = (
+                F.when((have < F.col("goal")) & (F.col("__free") > 0), (F.col("goal") - F.col("__full")) / F.col("__free"))
+                .when(have < F.col("goal"), 1.0).when(have > 0, F.col("goal") / have).otherwise(0.0)
+            )
+            off = F.when(F.col("goal") > 0, F.abs(have / F.col("goal") - 1)).otherwise(0.0)
+            off = off if place == 0 else F.greatest("__off", off)
             current = current.join(sums, dimension).select(
                 *DIMENSIONS, "n", (F.col("weight") * factor).alias("weight"), off.alias("__off")
             )
         current = scratch.write(current, f"round-{turn}")
         if turn:
             scratch.release(f"round-{turn - 1}")
-        worst = current.where("n > 0").agg(F.max("__off").alias("off")).first().off
+        worst.append(current.where("n > 0").agg(F.max("__off").alias("off")).first().off or 0.0)
         current = current.drop("__off")
-        if (worst or 0.0) <= tolerance:
+        if worst[-1] <= tolerance or turn >= PATIENCE and min(worst[-PATIENCE:]) > 0.99 * min(worst[:-PATIENCE]):
             break
     return current
 
 
-def calibrate(table: DataFrame, total: float) -> DataFrame:
-    """`table` with `probability`: weights a token, scaled so that `total` tokens are expected; none over 1.
+def _scale(table: DataFrame, value: Column, bound: Column, total: float) -> float:
+    """The factor of `value`, none over `bound`, at which they add up to `total`.
 
-    The scale is searched on a grid, three times finer each time; one sum is read back for each point.
+    It is searched on a grid, SCALES times finer each time; one sum is read back for each point.
     """
-    ratio = F.when(F.col("n") > 0, F.col("weight") / F.col("n")).otherwise(0.0)
-    table = table.withColumn("__ratio", ratio)
     low, high = -20.0, 40.0
-    for _ in range(3):
+    for _ in range(4):
         points = [low + (high - low) * k / SCALES for k in range(SCALES + 1)]
-        sums = table.agg(*(F.sum(F.least(F.lit(1.0), F.col("__ratio") * F.lit(2.0**p)) * F.col("n")).alias(f"at{k}") for k, p in enumerate(points))).first()
+        sums = table.agg(*(F.sum(F.least(bound, value * F.lit(2.0**p))).alias(f"at{k}") for k, p in enumerate(points))).first()
         reached = next((k for k in range(SCALES + 1) if (sums[k] or 0.0) >= total * (1 - 1e-9)), SCALES)
         low, high = points[max(reached - 1, 0)], points[reached]
-    chance = F.least(F.lit(1.0), F.col("__ratio") * F.lit(2.0**high))
+    return 2.0**high
+
+
+def calibrate(table: DataFrame, total: float) -> DataFrame:
+    """`table` with `probability`: weights a token, scaled so that `total` tokens are expected; none over 1."""
+    scale = _scale(table, F.col("weight"), F.col("n").cast("double"), total)
+    chance = F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("n"))
     return table.select(*DIMENSIONS, F.when(F.col("n") > 0, chance).otherwise(F.lit(1.0)).alias("probability"))
 
 
+def marginals(table: DataFrame, goals: dict[str, DataFrame], chances: DataFrame, tolerance: float = 2 * TOLERANCE) -> DataFrame:
+    """dimension, value, n, goal and expected tokens of every value of `goals`, and whether it is `met`."""
+    both = table.join(chances, list(DIMENSIONS))
+    out = None
+    for dimension, goal in goals.items():
+        sums = both.groupBy(dimension).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("probability")).alias("expected"))
+        rows = goal.join(sums, dimension, "left").select(
+            F.lit(dimension).alias("dimension"), F.col(dimension).alias("value"), F.coalesce("n", F.lit(0)).alias("n"),
+            "goal", F.coalesce("expected", F.lit(0.0)).alias("expected"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("met", F.abs(F.col("expected") - F.col("goal")) <= F.col("goal") * F.lit(tolerance))
+
+
 def probabilities(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, goals: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Probability of each cell. `goals` (value, goal in tokens) by dimension replace the tempered shares."""
+    """Probability of each cell. `goals` (value, goal in tokens) by dimension replace the tempered shares.
+
+    What a value lacks for its goal goes to the others of its dimension. Goals
+    that are not met are logged with their number and the furthest ones.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     table = scratch.write(cells(docs), "cells")
     total = budget * float(table.agg(F.sum("n").alias("n")).first().n or 0)
     wanted = {d: (goals or {}).get(d) for d in DIMENSIONS}
     wanted = {d: goal if goal is not None else scratch.write(_targets(table, d, total, temper), f"goal-{d}") for d, goal in wanted.items()}
-    return scratch.write(calibrate(rake(table, wanted, scratch), total), "probabilities")
+    within = {d: scratch.write(_reachable(table, d, goal, total), f"within-{d}") for d, goal in wanted.items()}
+    chances = scratch.write(calibrate(rake(table, within, scratch, bounded=True), total), "probabilities")
+    missed = scratch.write(marginals(table, wanted, chances).where("not met"), "missed")
+    count = missed.count()
+    if count:
+        furthest = missed.orderBy(F.abs(F.col("expected") - F.col("goal")).desc()).limit(LOGGED).collect()
+        told = "; ".join(f"{r.dimension} {r.value!r}: {r.expected:.0f} of {r.goal:.0f}, has {r.n}" for r in furthest)
+        log.warning("%d goals of the mix are not met, furthest (expected tokens): %s", count, told)
+    return chances
 
 
 def uniform(seed: int = 0) -> Column:

@@ -82,3 +82,52 @@ def test_awkward_rows(spark):
     assert mixing.mix_report(documents(spark, [])).collect() == []
     given = docs.withColumn("topic", F.lit("news"))
     assert {r.topic for r in mixing.probabilities(given).collect()} == {"news"}
+
+
+def mixed_sums(table, chances, dimension):
+    rows = table.join(chances, list(mixing.DIMENSIONS)).groupBy(dimension).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("probability")).alias("t"))
+    return {r[0]: (r.n, r.t) for r in rows.collect()}
+
+
+def test_what_a_rare_language_lacks_leaves_other_dimensions_right(spark, caplog):
+    """3 % of the tokens want 1.6 times what there is: all are taken, the other language gets the rest, sources and topics meet their goals."""
+    rows = []
+    for k, (source, lang, count) in enumerate((("a", "en", 150), ("b", "en", 44), ("a", "fi", 1), ("b", "fi", 5))):
+        rows += [(1000 * k + i, " ".join(["word"] * 50) if i % 3 else "word | " * 25, lang, source) for i in range(count)]
+    docs = documents(spark, rows)
+    table = mixing.cells(docs)
+    total = 0.6 * table.agg(F.sum("n")).first()[0]
+    with caplog.at_level("WARNING"):
+        chances = mixing.probabilities(docs)
+    for dimension in ("source", "topic"):
+        goals = {r[0]: r.goal for r in mixing._targets(table, dimension, total, mixing.TEMPER).collect()}
+        for value, (_, t) in mixed_sums(table, chances, dimension).items():
+            assert t == pytest.approx(goals[value], rel=3e-3), (dimension, value)
+    langs = mixed_sums(table, chances, "lang")
+    assert langs["fi"][1] == pytest.approx(langs["fi"][0], rel=3e-3)
+    assert langs["en"][1] == pytest.approx(total - langs["fi"][0], rel=3e-3)
+    assert "lang 'fi'" in caplog.text and "source" not in caplog.text
+
+
+def test_rounds_go_on_until_the_tolerance(spark):
+    """Nearly empty cells converge slowly: 12 rounds leave the sums off."""
+    table = spark.createDataFrame([("a", "x", "p", 1000), ("a", "y", "p", 1000), ("b", "x", "p", 6), ("b", "y", "p", 1000)], "source string, lang string, topic string, n long")
+    goals = {
+        "source": spark.createDataFrame([("a", 500.0), ("b", 500.0)], "source string, goal double"),
+        "lang": spark.createDataFrame([("x", 450.0), ("y", 550.0)], "lang string, goal double"),
+    }
+    raked = mixing.rake(table, goals, Scratch(spark, "test"), bounded=True).collect()
+    for at, dimension in enumerate(("source", "lang")):
+        for value, goal in goals[dimension].collect():
+            assert sum(min(r.n, r.weight) for r in raked if r[at] == value) == pytest.approx(goal, rel=2e-3)
+
+
+def test_goals_that_contradict_each_other_end(spark):
+    table = spark.createDataFrame([("a", "x", "p", 100), ("b", "y", "p", 100)], "source string, lang string, topic string, n long")
+    goals = {
+        "source": spark.createDataFrame([("a", 20.0), ("b", 80.0)], "source string, goal double"),
+        "lang": spark.createDataFrame([("x", 70.0), ("y", 30.0)], "lang string, goal double"),
+    }
+    raked = mixing.rake(table, goals, Scratch(spark, "test"), bounded=True)
+    told = mixing.marginals(table, goals, mixing.calibrate(raked, 100.0)).collect()
+    assert len(told) == 4 and not all(r.met for r in told)
