@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import chat, decontaminate, jaccard, language, linedup, mixing, pii, quality, secrets, suffixes
+from postmill.llm import audit, chat, decontaminate, jaccard, language, linedup, mixing, pii, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     ("op1_ngram_jaccard", op1_ngram_jaccard, None),
     ("op2_quality_rules", op2_quality_rules, None),
@@ -62,4 +66,5 @@ QUERIES = (
     ("op8_pii", op8_pii, None),
     ("op9_language_id", op9_language_id, None),
     ("op10_decontamination", op10_decontamination, None),
+    ("op11_filter_audit", op11_filter_audit, audit.AUDIT_SQL),
 )
