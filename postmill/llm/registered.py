@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import audit, chat, decontaminate, jaccard, language, linedup, mixing, pii, quality, secrets, suffixes
+from postmill.llm import audit, automaton, chat, decontaminate, jaccard, language, linedup, mixing, pii, quality, secrets, suffixes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     ("op1_ngram_jaccard", op1_ngram_jaccard, None),
     ("op2_quality_rules", op2_quality_rules, None),
@@ -67,4 +75,6 @@ QUERIES = (
     ("op9_language_id", op9_language_id, None),
     ("op10_decontamination", op10_decontamination, None),
     ("op11_filter_audit", op11_filter_audit, audit.AUDIT_SQL),
+    ("op12_lm_scoring", op12_lm_scoring, automaton.SCORES_SQL),
+    ("op13_whitening", op13_whitening, None),
 )
