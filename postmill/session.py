@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: str | None = None
+#: Scratch folders of sessions on one machine that name none, by application.
+_own: dict[str, str] = {}
 
 
 def build_session(app: str = "postmill", **options) -> SparkSession:
@@ -29,19 +31,23 @@ def build_session(app: str = "postmill", **options) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by spark.checkpoint.dir."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return configured.rstrip("/")
 
 
 def local_scratch(spark: SparkSession) -> SparkSession:
-    """Name a scratch folder for a session of one machine that has none (tests, bench, smoke runs)."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    """Have a scratch folder for a session of one machine that names none (tests, bench, smoke runs).
+
+    The setting cannot be changed in a running session, so the folder is kept here.
+    """
+    application = spark.sparkContext.applicationId
+    if not spark.conf.get("spark.checkpoint.dir", None) and application not in _own:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        _own[application] = tempfile.mkdtemp(prefix="spark-")
     return spark
 
 
@@ -76,9 +82,11 @@ def staging(spark: SparkSession):
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    yield staged
-    for path in paths:
-        spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+    try:
+        yield staged
+    finally:
+        for path in paths:
+            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
