@@ -328,9 +328,9 @@ WITH texts AS (
     SELECT row_number() OVER () AS row, doc_id,
            coalesce(xor(list_reduce(
                list_prepend(4294967295::BIGINT, flatten(list_transform(
-                   string_split(doc_id::VARCHAR, ''), c -> [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+                   string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
                ))),
-               (c, o) -> CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END
+               lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END
            ), 4294967295::BIGINT) % 10 = 0, false) AS held_out,
            list_append(regexp_extract_all(
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'

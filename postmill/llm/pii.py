@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,16 @@ FIT_TEXTS, FIT_CANDIDATES = 1500, 8000
 REDACT_FROM = 0.8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_SPELLED = _LOCAL - {"%", "+"}
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_GENERATORS = (
-    re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]"),
-    re.compile(r"[^\s@]+@[^\s@]+"),
-    re.compile(r"\b[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9.-]+\b"),
-)
+_NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]")
+_SOLID = re.compile(r"\S+")
+_AT = re.compile(r"\(at\)|\[at\]")
+_SPELLED_START = re.compile(r"\b[A-Za-z0-9._-]")
+_SPELLED_HOST = re.compile(r" ?[A-Za-z0-9.-]+\b")
 _CONTEXT = re.compile(r"phone|call|tel|mobile|fax|mail|contact|card|iban|account|ssn|address|\bip\b", re.I)
 
 
@@ -87,13 +89,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of other characters than blanks and @ on both sides of an @, from left to right without overlaps."""
+    for solid in _SOLID.finditer(text):
+        start, end = solid.span()
+        at = text.find("@", start, end)
+        while at >= 0:
+            following = text.find("@", at + 1, end)
+            stop = end if following < 0 else following
+            if at > start and stop > at + 1:
+                yield start, stop
+                start = stop
+            else:
+                start = at + 1
+            at = following
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a written (at) or [at], found from that mark outwards, without overlaps."""
+    done = 0
+    for mark in _AT.finditer(text):
+        end = mark.start() - (text[mark.start() - 1 : mark.start()] == " ")
+        start = end
+        while start > done and text[start - 1] in _SPELLED:
+            start -= 1
+        first = _SPELLED_START.search(text, start, end) if start < end else None
+        host = _SPELLED_HOST.match(text, mark.end()) if first else None
+        if host:
+            yield first.start(), host.end()
+            done = host.end()
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Overlapping spans that may be personal data."""
-    spans = {found.span() for found in _GENERATORS[0].finditer(text)}
+    spans = {found.span() for found in _NUMBERS.finditer(text)}
     if "@" in text:
-        spans |= {found.span() for found in _GENERATORS[1].finditer(text)}
+        spans.update(_addresses(text))
     if "at)" in text or "at]" in text:
-        spans |= {found.span() for found in _GENERATORS[2].finditer(text)}
+        spans.update(_spelled(text))
     return sorted(spans)
 
 
@@ -112,12 +145,39 @@ def describe(text: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _overlaps(span: tuple[int, int], others: list[tuple[int, int, int]]) -> bool:
-    return any(span[0] < end and start < span[1] for _, start, end in others)
+class _Covered:
+    """Spans that others can be held against; each question takes logarithmic time."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, span: tuple[int, int]) -> bool:
+        before = bisect_left(self.starts, span[1])
+        return before > 0 and self.ends[before - 1] > span[0]
+
+    def add(self, span: tuple[int, int]) -> None:
+        """Add a span that overlaps none."""
+        place = bisect_left(self.starts, span[0])
+        self.starts.insert(place, span[0])
+        self.ends.insert(place, span[1])
+
+
+def _covered(known: list[tuple[int, int, int]]) -> _Covered:
+    return _Covered((start, end) for _, start, end in known)
 
 
 def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int = FIT_CANDIDATES) -> Boosted:
-    """Fit on candidates of at most `fit_texts` different texts; those that hold a validated span are the positive ones."""
+    """Fit on at most `fit_candidates` candidates of at most `fit_texts` different texts, chosen by hash.
+
+    Those that hold a part of a validated span are the positive ones.
+    """
     usable = docs.where("text rlike '[0-9@]'").select("doc_id", "text", F.xxhash64("text").alias("__order"))
     bound = usable.groupBy("__order").agg(F.min("doc_id").alias("doc_id")).orderBy("__order").limit(fit_texts)
     sample = usable.join(F.broadcast(bound), ["__order", "doc_id"]).select("text")
@@ -125,16 +185,16 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int = FIT
     def rows(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                known = base_spans(text)
-                lines = [describe(text, *span) + [float(_overlaps(span, known))] for span in candidates(text)]
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.float64()))], names=["line"])
+                known = _covered(base_spans(text))
+                lines = [describe(text, *span) + [float(known.overlaps(span))] for span in candidates(text)]
+                for at in range(0, len(lines), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(lines[at : at + 4096], pa.list_(pa.float64()))], names=["line"])
 
-    lines = sample.mapInArrow(rows, "line array<double>").orderBy("line").toArrow().column(0).to_pylist()
+    lines = sample.mapInArrow(rows, "line array<double>").orderBy(F.xxhash64("line"), "line").limit(fit_candidates)
+    lines = sorted(lines.toArrow().column(0).to_pylist())
     if not lines:
         return Boosted(start=-30.0)
-    step = max(1, -(-len(lines) // fit_candidates))
-    table = np.array(lines[::step])
+    table = np.array(lines)
     table = table[np.random.Generator(np.random.PCG64(5)).permutation(len(table))]
     return boost(table[:, :-1], table[:, -1] > 0)
 
@@ -142,13 +202,16 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_candidates: int = FIT
 def find(texts: list[str], model: Boosted, threshold: float = REDACT_FROM):
     """Validated spans and chosen candidates of each text."""
     known = [base_spans(text) for text in texts]
-    proposed = [(row, span) for row, text in enumerate(texts) for span in candidates(text) if not _overlaps(span, known[row])]
+    covered = [_covered(spans) for spans in known]
+    proposed = [(row, span) for row, text in enumerate(texts) for span in candidates(text) if not covered[row].overlaps(span)]
     chosen: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if proposed:
+        taken = [_Covered() for _ in texts]
         chance = model.probability(np.array([describe(texts[row], *span) for row, span in proposed]))
         for at in np.lexsort((np.arange(len(proposed)), -chance)):
             row, span = proposed[at]
-            if chance[at] >= threshold and not _overlaps(span, chosen[row]):
+            if chance[at] >= threshold and not taken[row].overlaps(span):
+                taken[row].add(span)
                 chosen[row].append((len(KINDS), *span))
     return known, [sorted(spans) for spans in chosen]
 

@@ -1,8 +1,8 @@
 """Secrets in text: known shapes, and literals bound to sensitive names.
 
-A small lexer reads name-literal pairs of source and configuration syntax,
-carries constants from name to name, and scores each literal by the names that
-it ends up in.
+A lexer reads name-literal pairs of source and configuration syntax; constants are
+carried from name to name, and each literal is scored by the names that it ends
+up in, those of the maps around it included.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from postmill.llm.lexer import bindings
 from postmill.llm.textkit import runs
 
 KINDS = ("assign", "access", "hex")
@@ -22,21 +25,20 @@ KINDS = ("assign", "access", "hex")
 ADDED = "literal"
 #: A literal is reported from this score on.
 REPORT_FROM = 0.6
+#: Share of the weight of the names of the maps around a literal that it takes on.
+INHERITED = 0.75
+#: Words longer than this are literals, not names of constants.
+LONGEST_NAME = 256
 
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_BIND = re.compile(r"""["']?[ \t]*(?:=>|:=|==?|:)[ \t]*(?="|'|[A-Za-z0-9_$])""")
-_PIECE = re.compile(r"""[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=$-]+))""")
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)(?=[ \t]*[\"'A-Za-z_])")
-_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-$")
-_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 #: How far a part of a name speaks for a secret.
 WEIGHTS = {
-    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
-    "key": 0.5, "private": 0.5, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "access": 0.4, "bearer": 0.9,
+    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+    "key": 0.5, "private": 0.5, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "access": 0.4, "bearer": 0.9,
     "signature": 0.5, "salt": 0.6, "cert": 0.4, "api": 0.4,
 }
 
@@ -56,30 +58,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def bindings(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Name and pieces of each binding, in order: quoted or bare values, joined by plus signs."""
-    out, done = [], 0
-    while found := _BIND.search(text, done):
-        done = found.end()
-        start = found.start()
-        while start and text[start - 1] in _NAME_CHARS:
-            start -= 1
-        name = text[start : found.start()].strip(".-")
-        piece = _PIECE.match(text, done)
-        if not name or not piece:
-            continue
-        pieces = []
-        while piece:
-            group = piece.lastindex
-            kind = "bare" if group == 3 else "quoted"
-            pieces.append((kind, piece.start(group), piece.end(group)))
-            done = piece.end()
-            plus = _PLUS.match(text, done)
-            piece = _PIECE.match(text, plus.end()) if plus else None
-        out.append((name, pieces))
-    return out
-
-
 def name_weight(name: str) -> float:
     """How sensitive a name is: the heaviest of its parts, with a little for each other one."""
     parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
@@ -104,23 +82,33 @@ def literal_spans(text: str, known: list[tuple[int, int, int]], threshold: float
     """
     if ":" not in text and "=" not in text:
         return []
-    values: dict[str, tuple[tuple[int, int], ...]] = {}
-    weight: dict[tuple[int, int], float] = {}
-    for name, pieces in bindings(text):
-        literals: list[tuple[int, int]] = []
-        for kind, start, end in pieces:
-            body = text[start:end]
-            if kind == "bare" and body in values:
-                literals += values[body]
-            elif kind == "quoted" or not _IDENTIFIER.match(body) or any(c.isdigit() for c in body):
+    # each value as its weight, the literals in it and the earlier values that it takes over by name
+    values: list[tuple[float, list[tuple[int, int]], list[int]]] = []
+    current: dict[str, int] = {}
+    for name, around, pieces in bindings(text, name_weight):
+        literals, taken = [], []
+        for literal, start, end in pieces:
+            earlier = current.get(text[start:end]) if end - start <= LONGEST_NAME else None
+            if earlier is not None:
+                taken.append(earlier)
+            elif literal:
                 literals.append((start, end))
-        values[name] = tuple(dict.fromkeys(literals))
-        heavy = name_weight(name)
-        for literal in values[name]:
-            weight[literal] = max(weight.get(literal, 0.0), heavy)
+        current[name] = len(values)
+        values.append((min(1.0, name_weight(name) + INHERITED * around), literals, taken))
+    weight: dict[tuple[int, int], float] = {}
+    reached = [heavy for heavy, _, _ in values]
+    for at in range(len(values) - 1, -1, -1):
+        _, literals, taken = values[at]
+        for earlier in taken:
+            reached[earlier] = max(reached[earlier], reached[at])
+        for literal in literals:
+            weight[literal] = max(weight.get(literal, 0.0), reached[at])
+    starts = [start for start, _, _ in known]
+    reach = list(accumulate((end for _, _, end in known), max))
     found = []
     for (start, end), heavy in weight.items():
-        if heavy * strength(text[start:end]) >= threshold and not any(s < end and start < e for s, _, e in known):
+        before = bisect_left(starts, end)
+        if heavy and heavy * strength(text[start:end]) >= threshold and not (before and reach[before - 1] > start):
             found.append((start, len(KINDS), end))
     return sorted(found)
 
