@@ -71,9 +71,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever one that is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def staging(spark: SparkSession):
-    """Staged tables that are emptied at the end: yields a function like `stage`."""
+    """Staged tables that are deleted at the end: yields a function like `stage`."""
     paths = []
 
     def staged(df: DataFrame, label: str) -> DataFrame:
@@ -86,7 +92,7 @@ def staging(spark: SparkSession):
         yield staged
     finally:
         for path in paths:
-            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+            delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
