@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.exchange import BUCKET_KEYS, answers, asked_fields, cuts, pack, questions, rows_of, unpack
 from postmill.llm.scratch import Scratch, shuffle_partitions
 from postmill.llm.textkit import FOLDED, PLACES, hashes, mix, runs
 
@@ -26,27 +27,16 @@ from postmill.llm.textkit import FOLDED, PLACES, hashes, mix, runs
 FLOOR = 0.1
 #: Tokens' worth of trust in the root: p(w | h) = (c(hw) + TRUST p(w)) / (c(h) + TRUST).
 TRUST = 8.0
-RUN_BYTES, RUN_ROWS = 8 << 20, 1 << 16
-#: Tokens whose n-grams one bucket of the counts holds, about; runs that one task scores, about.
-BUCKET_TOKENS, TASK_RUNS = 2_000_000, 8
+RUN_BYTES, RUN_ROWS = 6 << 20, 1 << 16
+#: Runs that one task scores, about.
+TASK_RUNS = 8
+SECTIONS = ("words", "pairs")
 #: Tokens that one lane of the traversal reads.
 LANE = 256
 
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers of one length, by planes of bytes, compressed."""
-    planes = np.concatenate([np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel() for c in columns])
-    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def unpack(body: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(body[:8], "little")
-    planes = np.frombuffer(pa.decompress(body[8:], 64 * n * columns // 8, "zstd"), np.uint8).reshape(columns, 8, n)
-    return [np.ascontiguousarray(plane.T).reshape(-1).view(np.uint64) for plane in planes]
-
-
 def _word_keys(vocabulary: np.ndarray) -> np.ndarray:
     return mix(vocabulary * PLACES[2] + PLACES[3])
 
@@ -81,12 +71,6 @@ class Run:
         ]
         self.orders = [np.argsort(values) for values, _ in self.asked]
 
-    def buckets(self, count: int):
-        """For each section its places in order of hash, cut by bucket: hashes of one bucket lie side by side."""
-        for (values, _), order in zip(self.asked, self.orders):
-            bucket = ((values[order] >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            yield order, np.searchsorted(bucket, np.arange(count + 1, dtype=np.uint64))
-
 
 def encoded(docs: DataFrame) -> DataFrame:
     """One row for each run of whole texts: their ids, held-out marks, token counts, vocabulary and tokens."""
@@ -129,74 +113,17 @@ def _run(row: dict) -> Run:
     return Run(vocabulary, ids, unpack(row["counts"], 1)[0].astype(np.int64), unpack(row["held"], 1)[0].astype(bool))
 
 
-def _rows(batches):
-    for batch in batches:
-        for at in range(batch.num_rows):
-            yield {name: batch.column(k)[at].as_py() for k, name in enumerate(batch.schema.names)}
-
-
-def summed(table: DataFrame, buckets: int) -> DataFrame:
-    """For each run and bucket the training counts over all runs of what the run asked for, in its order.
-
-    `known` of the rows adds up to the number of different training tokens.
-    """
+def counted(table: DataFrame, buckets: int) -> DataFrame:
+    """For each run and bucket the training counts over all runs of what the run asks for."""
 
     def ask(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             run = _run(row)
-            cuts = list(run.buckets(buckets))
-            sections = [[], []]
-            for section, (order, cut), (values, counts) in zip(sections, cuts, run.asked):
-                values, counts = values[order], counts[order]
-                for a, b in zip(cut[:-1], cut[1:]):
-                    section.append(pack(np.diff(values[a:b], prepend=np.uint64(0)), counts[a:b]) if b > a else None)
-            filled = [k for k in range(buckets) if sections[0][k] or sections[1][k]]
-            for at in range(0, len(filled), 512):
-                some = filled[at : at + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["run"]] * len(some)), pa.array(some, pa.int32()), *(pa.array([s[k] for k in some], pa.binary()) for s in sections)],
-                    names=["run", "bucket", "words", "pairs"],
-                )
-
-    def answer(batches):
-        held: list[dict] = []
-        for row in _rows(batches):
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield from _answers(held)
-                held = []
-            held.append(row)
-        if held:
-            yield from _answers(held)
-
-    asked = table.select("run", "held", "counts", "vocabulary", "ids").mapInArrow(ask, "run string, bucket int, words binary, pairs binary")
-    dealt = asked.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(answer, "run string, bucket int, words binary, pairs binary, known long")
-
-
-def _answers(rows: list[dict]):
-    """Sums of one bucket, given back to each row that asked."""
-    known, given = 0, []
-    for section in ("words", "pairs"):
-        parts = [unpack(row[section], 2) if row[section] else [np.zeros(0, np.uint64)] * 2 for row in rows]
-        values = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        order = np.argsort(values)
-        ranked = values[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-        totals = np.add.reduceat(counts[order], first) if len(first) else counts
-        if section == "words":
-            known = int(((totals > 0) & (ranked[first] != _word_keys(np.array([START]))[0])).sum())
-        spread = np.empty(len(values), np.uint64)
-        spread[order] = np.repeat(totals, np.diff(np.append(first, len(ranked))))
-        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        given.append([pack(spread[a:b]) if b > a else None for a, b in zip(cuts[:-1], cuts[1:])])
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([row["run"] for row in rows]), pa.array([row["bucket"] for row in rows], pa.int32()),
-            *(pa.array(bodies, pa.binary()) for bodies in given), pa.array([known] + [0] * (len(rows) - 1), pa.int64()),
-        ],
-        names=["run", "bucket", "words", "pairs", "known"],
-    )
+            sections = [(keys[order], counts[order]) for (keys, counts), order in zip(run.asked, run.orders)]
+            yield from questions(row["run"], sections, SECTIONS, buckets)
+
+    asked = table.select("run", "held", "counts", "vocabulary", "ids").mapInArrow(ask, asked_fields(SECTIONS))
+    return answers(asked, SECTIONS, buckets)
 
 
 class Automaton:
@@ -293,29 +220,31 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     if not count:
         return spark.createDataFrame([], fields)
     parts = shuffle_partitions(spark)
-    buckets = max(parts, -(-tokens // BUCKET_TOKENS))
-    answers = scratch.write(summed(table, buckets), "counts")
-    known = answers.agg(F.sum("known")).first()[0]
+    buckets = max(parts, -(-tokens // BUCKET_KEYS))
+    totals_of = scratch.write(counted(table, buckets), "counts")
+    # the start has a count where any text trains, but is no token
+    known = totals_of.agg(F.sum("positive")).first()[0] - (train_tokens > 0)
 
     def score(batches):
-        row = run = totals = cuts = None
-        for next_row in _rows(batches):
-            if next_row["bucket"] < 0:
+        row = run = totals = places = None
+        for following in rows_of(batches):
+            if following["bucket"] < 0:
                 if run is not None:
                     yield _scores(row, run, totals, train_tokens, known)
-                row, run = next_row, _run(next_row)
-                totals, cuts = [np.zeros(len(values), np.uint64) for values, _ in run.asked], list(run.buckets(buckets))
+                row, run = following, _run(following)
+                totals = [np.zeros(len(keys), np.uint64) for keys, _ in run.asked]
+                places = [(order, cuts(keys[order], buckets)) for (keys, _), order in zip(run.asked, run.orders)]
             else:
-                at = next_row["bucket"]
-                for total, (order, cut), section in zip(totals, cuts, ("words", "pairs")):
-                    if next_row[section]:
-                        total[order[cut[at] : cut[at + 1]]] = unpack(next_row[section], 1)[0]
+                at = following["bucket"]
+                for total, (order, cut), section in zip(totals, places, SECTIONS):
+                    if following[section]:
+                        total[order[cut[at] : cut[at + 1]]] = unpack(following[section], 1)[0]
         if run is not None:
             yield _scores(row, run, totals, train_tokens, known)
 
     names = ("doc_ids", "held", "counts", "vocabulary", "ids", "words", "pairs")
     heads = table.select("run", F.lit(-1).alias("bucket"), *names[:5], F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("pairs"))
-    rest = answers.select(
+    rest = totals_of.select(
         "run", "bucket", F.lit(None).cast("array<long>").alias("doc_ids"), *(F.lit(None).cast("binary").alias(n) for n in names[1:5]), "words", "pairs"
     )
     dealt = heads.unionByName(rest).repartition(max(parts, -(-count // TASK_RUNS)), "run").sortWithinPartitions("run", "bucket")

@@ -1,14 +1,16 @@
 """Exact Jaccard join of word n-gram sets, by relations between the sets.
 
-Equal sets are one class. Index lists (the classes that have a token among the
-first of their order) are cut into blocks that are skipped when their sizes,
-token positions or components leave nothing to find. In each list a leader is
+Equal sets are one class. The corpus tells for each token how many classes hold it: a
+class with too few shared tokens is linked with nothing and goes no further, and the
+others are listed under their rarest tokens. Index lists are cut into blocks that are
+skipped when their sizes, token positions or components leave nothing to find. In each list a leader is
 compared with all members; answers between members follow from the leader's
 wherever its overlaps bound theirs, and only the rest is compared.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,21 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.components import components
+from postmill.llm.exchange import BUCKET_KEYS, answers, asked_fields, cuts, pack, questions, rows_of, unpack
 from postmill.llm.scratch import Scratch, shuffle_partitions
-from postmill.llm.textkit import FOLDED, Texts, binaries, hashes, mix, runs, shingles, signed, texts_of
-
-#: A token found this often among the documents of one run (2 MB) counts as frequent there.
-FREQUENT_IN_RUN = 3
-#: Frequent tokens that are put last in the order of tokens; a hint of fixed size, results do not depend on it.
-ORDER_HINT = 200_000
-#: Rows of an index list that are compared in one cell, about.
-CELL = 512
+from postmill.llm.textkit import FOLDED, binaries, hashes, mix, runs, shingles, signed
+
+RUN_BYTES, RUN_ROWS = 4 << 20, 1 << 16
+#: Runs that one task looks through, about.
+TASK_RUNS = 8
+#: Rows of an index list that are compared in one cell, about, and of one block of a cell.
+CELL, BLOCK = 512, 128
 #: Members compared with one copy of a leader.
-STAR = 2000
+STAR = 64
 #: Bits of a parity sketch: the next power of two of the set's size, within these.
 SKETCH_BITS = (256, 4096)
-#: Ids that are broadcast, at most; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+TOKENS = ("tokens",)
 
 _ENTRY = np.dtype([("token", "<u8"), ("key", "V16"), ("n", "<u4"), ("place", "<u4")])
 
@@ -53,15 +54,6 @@ class Rule:
         return n - (-(-self.above * n // self.below)) + 1
 
 
-def _sets(texts: Texts, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    sums = texts.sums(FOLDED)
-    starts, ends, offsets = texts.words()
-    values, where = shingles(hashes(sums, starts, ends), offsets, size)
-    cuts = np.searchsorted(where, np.arange(len(texts) + 1))
-    return [np.unique(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
     """16 bytes that tell sets apart: 96 bits of sums of hashes, and the size."""
     out = np.zeros(len(sets), np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")]))
@@ -90,97 +82,169 @@ def _bits_apart(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> n
     sizes = np.array([len(s) for s in sketches])
     least = np.minimum(sizes[left], sizes[right])
     out = np.zeros(len(left), np.int64)
-    for width in np.unique(least):
-        rows = np.flatnonzero(sizes >= width)
-        place = np.full(len(sketches), -1)
-        place[rows] = np.arange(len(rows))
-        folded = np.zeros((len(rows), width // 8), np.uint64)
-        for row, at in zip(rows, range(len(rows))):
-            folded[at] = np.bitwise_xor.reduce(np.frombuffer(sketches[row], np.uint64).reshape(-1, width // 8), axis=0)
+    folded: dict[int, np.ndarray] = {}
+    place = np.full(len(sketches), -1)
+    for width in np.unique(sizes)[::-1]:
+        # each width holds the wider sketches, folded once more, and its own
+        words = width // 8
+        wider = [rows.reshape(len(rows), -1, words) for rows in ([folded[w] for w in folded][-1:])]
+        own = np.flatnonzero(sizes == width)
+        rows = [np.bitwise_xor.reduce(w, axis=1) for w in wider]
+        base = len(rows[0]) if rows else 0
+        place[own] = base + np.arange(len(own))
+        rows.append(np.frombuffer(b"".join(sketches[k] for k in own), np.uint64).reshape(len(own), words))
+        folded[width] = np.concatenate(rows)
         chosen = np.flatnonzero(least == width)
         for lo in range(0, len(chosen), 20_000):
             part = chosen[lo : lo + 20_000]
-            apart = folded[place[left[part]]] ^ folded[place[right[part]]]
+            apart = folded[width][place[left[part]]] ^ folded[width][place[right[part]]]
             out[part] = np.bitwise_count(apart).sum(axis=1)
     return out
 
 
-def _features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Class key, size and sketch of every document; the first row of a run carries its frequent tokens."""
+def _encoded(docs: DataFrame, rule: Rule) -> DataFrame:
+    """One row for each run of whole texts: ids, sizes and class keys of its documents, and their words by rank."""
 
-    def scan(batches):
-        for batch, texts in runs(batches, "text"):
-            sets = _sets(texts, rule.size)
+    def encode(batches):
+        for batch, texts in runs(batches, "text", RUN_BYTES, RUN_ROWS):
+            starts, ends, offsets = texts.words()
+            values = hashes(texts.sums(FOLDED), starts, ends)
+            tokens, where = shingles(values, offsets, rule.size)
+            cut = np.searchsorted(where, np.arange(len(texts) + 1))
+            sets = [np.unique(tokens[a:b]) for a, b in zip(cut[:-1], cut[1:])]
             keys = _keys(sets)
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            common = values[counts >= FREQUENT_IN_RUN]
-            hints = [[] for _ in sets]
-            hints[0] = np.stack([signed(common), counts[counts >= FREQUENT_IN_RUN]], axis=1).ravel().tolist()
+            vocabulary, ids = np.unique(values, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys["n"].astype(np.int64)), _key_column(keys), pa.array(hints, pa.list_(pa.int64())),
-                 pa.array([_sketch(values) for values in sets], pa.binary())],
-                names=["doc_id", "n", "key", "frequent", "sketch"],
+                [
+                    pa.array([uuid.uuid4().hex]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([keys["n"].astype(np.int64)], pa.list_(pa.int64())), pa.array([_key_column(keys)], pa.list_(pa.binary())),
+                    *(pa.array([pack(c)], pa.binary()) for c in (np.diff(offsets), vocabulary, ids)), pa.array([len(tokens)], pa.int64()),
+                ],
+                names=["run", "doc_ids", "sizes", "keys", "counts", "vocabulary", "ids", "tokens"],
             )
 
-    fields = "doc_id long, n long, key binary, frequent array<long>, sketch binary"
-    return docs.select("doc_id", "text").mapInArrow(scan, fields)
-
-
-def _order_hint(features: DataFrame) -> np.ndarray:
-    pairs = features.where(F.size("frequent") > 0).select(F.explode(F.sequence(F.lit(0), F.size("frequent") - 2, F.lit(2))).alias("i"), "frequent")
-    tokens = pairs.select(F.get("frequent", F.col("i")).alias("token"), F.get("frequent", F.col("i") + 1).alias("n"))
-    top = tokens.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(ORDER_HINT)
-    column = top.select("token").toArrow().column(0).to_numpy()
-    return np.sort(column.astype(np.int64).view(np.uint64))
-
-
-def _index(docs: DataFrame, rule: Rule, hint: np.ndarray) -> DataFrame:
-    """Entries of the index lists with two classes or more, each with the leader of its list and size band.
-
-    Entries travel packed, one row for each run and bucket; a class is sent once by a run.
+    fields = "run string, doc_ids array<long>, sizes array<long>, keys array<binary>, counts binary, vocabulary binary, ids binary, tokens long"
+    return docs.select("doc_id", "text").mapInArrow(encode, fields)
+
+
+class _Run:
+    """Token sets of the classes of one run: `tokens` and `owner` (a place in the run) by token, `first` place of each class."""
+
+    def __init__(self, row: dict, rule: Rule):
+        vocabulary, ids, counts = (unpack(row[name], 1)[0] for name in ("vocabulary", "ids", "counts"))
+        offsets = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+        tokens, where = shingles(vocabulary[ids.astype(np.int64)] if len(ids) else vocabulary, offsets, rule.size)
+        self.keys, self.sizes = row["keys"], np.array(row["sizes"], np.int64)
+        seen: dict[bytes, int] = {}
+        for place, (doc, key, n) in enumerate(zip(row["doc_ids"], row["keys"], row["sizes"])):
+            if doc is not None and n:
+                seen.setdefault(key, place)
+        mine = np.zeros(len(self.sizes), bool)
+        mine[list(seen.values())] = True
+        tokens, where = tokens[mine[where]], where[mine[where]]
+        order = np.argsort(tokens, kind="stable")
+        tokens, where = tokens[order], where[order]
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (where[1:] != where[:-1])
+        self.tokens, self.owner = tokens[fresh], where[fresh]
+        starts = np.ones(len(self.tokens), bool)
+        starts[1:] = self.tokens[1:] != self.tokens[:-1]
+        at = np.flatnonzero(starts)
+        #: Different tokens, the classes of the run that hold them, and the place of each entry among them.
+        self.asked, self.rank = self.tokens[at], np.cumsum(starts) - 1
+        self.classes = np.diff(np.append(at, len(self.tokens)))
+
+
+def _candidates(table: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Classes that may be linked: (key, values, sketch), and their packed index entries: (bucket, entries).
+
+    Two similar sets share at least `above` in `below` of each, so a class with fewer tokens that others
+    hold too is left out. Tokens are ordered from rare to frequent, and a class is listed under the
+    first ones only, as far as others hold them.
     """
-    parts = shuffle_partitions(docs.sparkSession)
+    count, tokens = table.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    parts = shuffle_partitions(table.sparkSession)
+    buckets = max(parts, -(-tokens // BUCKET_KEYS))
+
+    def ask(batches):
+        for row in rows_of(batches):
+            run = _Run(row, rule)
+            yield from questions(row["run"], [(run.asked, run.classes)], TOKENS, buckets)
+
+    names = ("doc_ids", "sizes", "keys", "counts", "vocabulary", "ids")
+    totals = scratch.write(answers(table.select("run", *names).mapInArrow(ask, asked_fields(TOKENS)), TOKENS, buckets), "totals")
+
+    def choose(batches):
+        run = held = cut = None
+        for row in rows_of(batches):
+            if row["bucket"] < 0:
+                if run is not None:
+                    yield from _chosen(run, held, rule, buckets)
+                run = _Run(row, rule)
+                held, cut = np.zeros(len(run.asked), np.uint64), cuts(run.asked, buckets)
+            else:
+                held[cut[row["bucket"]] : cut[row["bucket"] + 1]] = unpack(row["tokens"], 1)[0]
+        if run is not None:
+            yield from _chosen(run, held, rule, buckets)
+
+    kinds = {f.name: f.dataType for f in table.schema}
+    heads = table.select("run", F.lit(-1).alias("bucket"), *names, F.lit(None).cast("binary").alias("tokens"))
+    rest = totals.select("run", "bucket", *(F.lit(None).cast(kinds[n]).alias(n) for n in names), "tokens")
+    dealt = heads.unionByName(rest).repartition(max(parts, -(-count // TASK_RUNS)), "run").sortWithinPartitions("run", "bucket")
+    return dealt.mapInArrow(choose, "bucket int, entries binary, key binary, n int, values binary, sketch binary")
+
+
+def _chosen(run: _Run, held: np.ndarray, rule: Rule, buckets: int):
+    frequency = held[run.rank]
+    shared = np.bincount(run.owner[frequency > 1], minlength=len(run.sizes))
+    least = -(-rule.above * run.sizes // rule.below)
+    chosen = (shared >= least) & (shared > 0)
+    inside = chosen[run.owner]
+    tokens, owner, frequency = run.tokens[inside], run.owner[inside], frequency[inside]
+    order = np.lexsort((tokens, frequency, owner))
+    tokens, owner, frequency = tokens[order], owner[order], frequency[order]
+    starts = np.searchsorted(owner, np.arange(len(run.sizes)))
+    place = np.arange(len(owner)) - starts[owner]
+    listed = (place < rule.prefix(run.sizes)[owner]) & (frequency > 1)
+    entries = np.empty(int(listed.sum()), _ENTRY)
+    keys = np.frombuffer(b"".join(run.keys), "V16")
+    entries["token"], entries["key"], entries["n"], entries["place"] = tokens[listed], keys[owner[listed]], run.sizes[owner[listed]], place[listed]
+    entries = entries[np.argsort(entries["token"])]
+    cut = cuts(entries["token"], buckets)
+    filled = np.flatnonzero(np.diff(cut))
+    names = ["bucket", "entries", "key", "n", "values", "sketch"]
+    for at in range(0, len(filled), 256):
+        some = filled[at : at + 256]
+        blank = pa.nulls(len(some), pa.binary())
+        bodies = pa.array([entries[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), bodies, blank, pa.nulls(len(some), pa.int32()), blank, blank], names=names)
+    for row in np.flatnonzero(chosen).tolist():
+        values = np.sort(tokens[starts[row] : starts[row] + run.sizes[row]])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([run.keys[row]], pa.binary()), pa.array([len(values)], pa.int32()),
+                pa.array([pack(np.diff(values, prepend=np.uint64(0)))], pa.binary()), pa.array([_sketch(values)], pa.binary()),
+            ],
+            names=names,
+        )
 
-    def emit(batches):
-        for batch, texts in runs(batches, "text"):
-            sets = _sets(texts, rule.size)
-            keys = _keys(sets)
-            _, first = np.unique(keys.view("V16"), return_index=True)
-            pieces = []
-            for row in first:
-                values = sets[row]
-                n = len(values)
-                if not n:
-                    continue
-                take = rule.prefix(n)
-                if len(hint):
-                    at = np.minimum(np.searchsorted(hint, values), len(hint) - 1)
-                    late = hint[at] == values
-                    values = np.concatenate([values[~late], values[late]])
-                piece = np.empty(take, _ENTRY)
-                piece["token"], piece["key"], piece["n"] = values[:take], keys[row : row + 1].view("V16")[0], n
-                piece["place"] = np.arange(take)
-                pieces.append(piece)
-            if pieces:
-                entries = np.concatenate(pieces)
-                bucket = (mix(entries["token"]) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                counts = np.bincount(bucket, minlength=parts)
-                filled = np.flatnonzero(counts)
-                payload = binaries(entries[order].view(np.uint8), np.concatenate([[0], np.cumsum(counts[filled])]) * _ENTRY.itemsize)
-                yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), payload], names=["bucket", "entries"])
+
+def _lists(candidates: DataFrame, rule: Rule) -> DataFrame:
+    """Entries of the index lists with two classes or more, each with the leader of its list and size band."""
 
     def lists(batches):
-        buffers = [body.as_buffer() for batch in batches for body in batch.column(1)]
-        if not buffers:
-            return
-        entries = np.concatenate([np.frombuffer(b, _ENTRY) for b in buffers])
-        yield from _led(entries, rule)
-
-    packed = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, entries binary")
-    return packed.repartition(parts, "bucket").mapInArrow(
-        lists, "token long, key binary, n long, place int, leader binary, leader_n long, leader_place int"
-    )
+        held: list[bytes] = []
+        bucket = None
+        for row in rows_of(batches):
+            if row["bucket"] != bucket:
+                yield from _led(np.frombuffer(b"".join(held), _ENTRY), rule)
+                held, bucket = [], row["bucket"]
+            held.append(row["entries"])
+        yield from _led(np.frombuffer(b"".join(held), _ENTRY), rule)
+
+    packed = candidates.where("bucket is not null").select("bucket", "entries")
+    dealt = packed.repartition(shuffle_partitions(candidates.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lists, "token long, key binary, n long, place int, leader binary, leader_n long, leader_place int")
 
 
 def _led(entries: np.ndarray, rule: Rule):
@@ -221,21 +285,21 @@ def _led(entries: np.ndarray, rule: Rule):
         )
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Overlap of the sets of each pair (left, right), from packed texts of the classes.
+def _compare(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Overlap of the sets of each pair (left, right).
 
     The members of a left class are dealt over cells of about STAR, each with a
-    copy of the left text; a cell is read as a stream, one text at a time.
+    copy of the left set; a cell is read as a stream, one set at a time.
     """
-    cells = F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("cells")
-    spread = pairs.groupBy("left").agg(cells)
+    sets = sets.select("key", "values")
+    spread = pairs.groupBy("left").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("cells"))
     members = (
         pairs.join(spread, "left").withColumn("cell", F.pmod(F.xxhash64("right"), F.col("cells")).cast("int"))
-        .join(texts.withColumnRenamed("key", "right"), "right").select("left", "cell", F.lit(1).alias("role"), "right", "packed")
+        .join(sets.withColumnRenamed("key", "right"), "right").select("left", "cell", F.lit(1).alias("role"), "right", "values")
     )
     heads = (
-        spread.join(texts.withColumnRenamed("key", "left"), "left")
-        .select("left", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("role"), F.col("left").alias("right"), "packed")
+        spread.join(sets.withColumnRenamed("key", "left"), "left")
+        .select("left", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("role"), F.col("left").alias("right"), "values")
     )
     parts = shuffle_partitions(pairs.sparkSession)
     dealt = heads.unionByName(members).repartition(parts, "left", "cell").sortWithinPartitions("left", "cell", "role")
@@ -244,15 +308,13 @@ def _compare(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         head = None
         for batch in batches:
             out: list[tuple] = []
-            for left, role, right, packed in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
-                body = pa.decompress(packed.as_buffer()[8:], int.from_bytes(packed.as_buffer()[:8].to_pybytes(), "little"), "zstd")
-                data = np.frombuffer(body, np.uint8)
-                values = _sets(Texts(data, np.array([0, len(data)])), rule.size)[0]
+            for left, role, right, body in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
+                values = np.cumsum(unpack(body.as_py(), 1)[0], dtype=np.uint64)
                 if role.as_py() == 0:
                     head = values
                 else:
-                    both = len(np.intersect1d(head, values, assume_unique=True))
-                    out.append((left.as_py(), right.as_py(), len(head), len(values), both))
+                    at = np.minimum(np.searchsorted(head, values), len(head) - 1)
+                    out.append((left.as_py(), right.as_py(), len(head), len(values), int((head[at] == values).sum())))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
@@ -265,23 +327,8 @@ def _compare(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return measured.withColumn("linked", similar)
 
 
-def _packed_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Compressed text of one document of each wanted class."""
-    ids = classes.join(wanted, "key").select(F.col("least").alias("doc_id"), "key")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
-
-    def pack(batches):
-        for batch, _ in runs(batches, "text"):
-            raw = [value.encode() for value in batch.column(1).to_pylist()]
-            packed = [len(r).to_bytes(8, "little") + pa.compress(r, "zstd", asbytes=True) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(packed, pa.binary())], names=["key", "packed"])
-
-    return rows.select("doc_id", "text", "key").mapInArrow(pack, "key binary, packed binary")
-
-
 def _open_pairs(
-    near: DataFrame, classes: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule, forest: bool
+    near: DataFrame, sets: DataFrame, roots: DataFrame, answers: DataFrame, rule: Rule, forest: bool
 ) -> DataFrame:
     """Pairs of classes of one list and two components that the leaders' answers and sketches leave open, or link.
 
@@ -315,12 +362,12 @@ def _open_pairs(
             F.transform(last_b, lambda j: cell(F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), 2)),
         ))
     )
-    dealt = open_rows.join(classes.select("key", "sketch"), "key").withColumn("mine", mine).select(
+    dealt = open_rows.join(sets.select("key", "sketch"), "key").withColumn("mine", mine).select(
         F.explode(cells).alias("cell"), "token", "key", "n", "place", "root", "leader", "leader_n", "shared", "sketch"
     ).select("token", "cell.*", "key", "n", "place", "root", "leader", "leader_n", "shared", "sketch")
     parts = shuffle_partitions(near.sparkSession)
     cell_key = ("token", "kind", "i", "j")
-    dealt = dealt.repartition(parts, *cell_key).sortWithinPartitions(*cell_key, "root", "n")
+    dealt = dealt.repartition(parts, *cell_key).sortWithinPartitions(*cell_key, "n", "place", "key")
     pairs = dealt.mapInArrow(_cell_scan(rule, forest), "left binary, right binary, linked boolean")
     return pairs.groupBy("left", "right").agg(F.max("linked").alias("linked"))
 
@@ -354,6 +401,8 @@ def _scan_cells(table: pa.Table, cuts: list[int], rule: Rule, forest: bool):
     table = table.combine_chunks()
     keys, sketches = table.column("key").to_pylist(), table.column("sketch").to_pylist()
     sets = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "leader_n", "shared")])
+    rank = np.empty(len(keys), np.int64)
+    rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
     root, leader = (
         table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("root", "leader")
     )
@@ -361,7 +410,7 @@ def _scan_cells(table: pa.Table, cuts: list[int], rule: Rule, forest: bool):
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         own = root[lo:hi]
         if hi - lo > 1 and (own != own[0]).any():
-            i, j, linked = _cell_pairs(keys[lo:hi], sketches[lo:hi], sets[:, lo:hi], own, leader[lo:hi], rule, forest)
+            i, j, linked = _cell_pairs(rank[lo:hi], sketches[lo:hi], sets[:, lo:hi], own, leader[lo:hi], rule, forest)
             if len(i):
                 found.append((i + lo, j + lo, linked))
     if found:
@@ -372,30 +421,40 @@ def _scan_cells(table: pa.Table, cuts: list[int], rule: Rule, forest: bool):
         )
 
 
-def _cell_pairs(keys, sketches, sets, root, leader, rule: Rule, forest: bool):
-    """Open and derived pairs of one cell, 128 rows against all at a time.
+def _cell_pairs(rank, sketches, sets, root, leader, rule: Rule, forest: bool):
+    """Open and derived pairs of one cell, whose rows are in order of size and place, a block of rows against another.
 
+    Two blocks are skipped whole when the sizes and places of their rows leave no pair enough tokens.
     Derived links are told by a forest of them, and pairs that it connects are
     open no more. With `forest` the open ones are cut to a forest as well, of pairs
     with the nearest sketches: the fewest that could connect the cell.
     """
     n, place, leader_n, shared = sets
-    parts: list[tuple] = []
-    for at in range(0, len(keys), 128):
-        rows = slice(at, at + 128)
-        need = rule.needed(n[rows, None], n[None, :])
-        rest = np.minimum(n[rows, None] - place[rows, None], n[None, :] - place[None, :])
-        wide = (root[rows, None] != root[None, :]) & (np.minimum(n[rows, None], n[None, :]) >= need) & (rest >= need)
-        i, j = np.nonzero(wide)
-        need, i = need[i, j], i + at
-        upper = np.flatnonzero([keys[a] < keys[b] for a, b in zip(i.tolist(), j.tolist())])
-        i, j, need = i[upper], j[upper], need[upper]
-        told = (leader[i] == leader[j]) & (shared[i] >= 0) & (shared[j] >= 0)
-        most = np.minimum(shared[i], shared[j]) + np.minimum(n[i] - shared[i], n[j] - shared[j])
-        linked = told & (shared[i] + shared[j] - leader_n[j] >= need)
-        apart = _bits_apart(sketches, i, j)
-        keep = linked | ((~told | (most >= need)) & (apart <= n[i] + n[j] - 2 * need))
-        parts.append((i[keep], j[keep], linked[keep], apart[keep]))
+    parts: list[tuple] = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64))]
+    begins = np.arange(0, len(rank), BLOCK)
+    smallest, largest = n[begins], n[np.minimum(begins + BLOCK, len(rank)) - 1]
+    room = np.maximum.reduceat(n - place, begins)
+    for a, at in enumerate(begins):
+        rows = slice(at, at + BLOCK)
+        for b in range(a, len(begins)):
+            fewest = rule.needed(smallest[a], smallest[b])
+            if min(largest[a], largest[b], room[a], room[b]) < fewest or min(largest[a], room[a]) < -(-rule.above * smallest[b] // rule.below):
+                continue
+            columns = slice(begins[b], begins[b] + BLOCK)
+            need = rule.needed(n[rows, None], n[None, columns])
+            rest = np.minimum(n[rows, None] - place[rows, None], n[None, columns] - place[None, columns])
+            wide = (root[rows, None] != root[None, columns]) & (np.minimum(n[rows, None], n[None, columns]) >= need) & (rest >= need)
+            i, j = np.nonzero(wide)
+            need, i, j = need[i, j], i + at, j + begins[b]
+            upper = i < j
+            i, j, need = i[upper], j[upper], need[upper]
+            i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+            told = (leader[i] == leader[j]) & (shared[i] >= 0) & (shared[j] >= 0)
+            most = np.minimum(shared[i], shared[j]) + np.minimum(n[i] - shared[i], n[j] - shared[j])
+            linked = told & (shared[i] + shared[j] - leader_n[j] >= need)
+            apart = _bits_apart(sketches, i, j) if len(i) else np.zeros(0, np.int64)
+            keep = linked | ((~told | (most >= need)) & (apart <= n[i] + n[j] - 2 * need))
+            parts.append((i[keep], j[keep], linked[keep], apart[keep]))
     i, j, linked, apart = (np.concatenate(c) for c in zip(*parts))
     if not len(i):
         return i, j, linked
@@ -428,55 +487,58 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     and share the id.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
-    features = scratch.write(_features(docs, rule), "features")
-    usable = docs.where("doc_id is not null and text is not null")
-    hint = _order_hint(features)
-    classes = scratch.write(features.where("n > 0 and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.min_by("sketch", "doc_id").alias("sketch")
-    ), "classes")
-    near = scratch.write(_index(usable, rule, hint), "near")
+    try:
+        table = scratch.write(_encoded(docs.select("doc_id", "text"), rule), "runs")
+        zipped = F.explode(F.arrays_zip("doc_ids", "sizes", "keys")).alias("row")
+        features = table.select(zipped).select(F.col("row.doc_ids").alias("doc_id"), F.col("row.sizes").alias("n"), F.col("row.keys").alias("key"))
+        features = scratch.write(features, "features")
+        ids = scratch.write(_component_ids(table, features, rule, scratch), "ids")
+    except BaseException:
+        scratch.keep()
+        raise
+    scratch.keep("features", "ids")
+    linked = features.where("doc_id is not null and n > 0").join(ids, "key").select("doc_id", "n", "component_id", "class_id")
+    alone = features.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def _component_ids(table: DataFrame, features: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """key, class_id and component_id of every class."""
+    classes = features.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    candidates = scratch.write(_candidates(table, rule, scratch), "candidates")
+    scratch.release("runs", "totals")
+    near = scratch.write(_lists(candidates, rule), "near")
+    sets = candidates.where("key is not null").groupBy("key").agg(F.first("values").alias("values"), F.first("sketch").alias("sketch"))
+    sets = scratch.write(sets, "sets")
+    scratch.release("candidates")
 
     need = F.ceil(rule.above * (F.col("n") + F.col("leader_n")) / F.lit(rule.above + rule.below))
     rest = F.least(F.col("n") - F.col("place"), F.col("leader_n") - F.col("leader_place"))
     stars = near.where((F.col("leader") != F.col("key")) & (rest >= need) & (F.least("n", "leader_n") >= need))
     first = scratch.write(stars.select(F.col("leader").alias("left"), F.col("key").alias("right")).distinct(), "first")
-    sides = first.select(F.col("left").alias("key")).union(first.select(F.col("right").alias("key"))).distinct()
-    texts = scratch.write(_packed_texts(docs, classes, sides), "texts")
-    answers = scratch.write(_compare(first, texts, rule), "answers")
-    scratch.release("texts")
-    edges = answers.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
+    told = scratch.write(_compare(first, sets, rule), "answers")
+    edges = told.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
     roots = scratch.write(components(edges, scratch, "first-stars"), "first-roots")
 
-    asked = answers.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
+    asked = told.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
     # Pairs that could connect the lists come first; after their links few lists are still open, and those are searched whole.
     for turn, forest in (("second", True), ("third", False)):
-        found = scratch.write(_open_pairs(near, classes, roots, answers, rule, forest), turn)
+        found = scratch.write(_open_pairs(near, sets, roots, told, rule, forest), turn)
         open_pairs = scratch.write(
             found.where("not linked").select("left", "right").join(asked, ["left", "right"], "left_anti"), f"{turn}-open"
         )
-        sides = open_pairs.select(F.col("left").alias("key")).union(open_pairs.select(F.col("right").alias("key"))).distinct()
-        texts = scratch.write(_packed_texts(docs, classes, sides), f"{turn}-texts")
-        verified = scratch.write(_compare(open_pairs, texts, rule), f"{turn}-answers")
+        verified = scratch.write(_compare(open_pairs, sets, rule), f"{turn}-answers")
         late = verified.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))
         late = scratch.write(late.union(found.where("linked").select(F.col("left").alias("u"), F.col("right").alias("v"))), f"{turn}-late")
         asked = asked.union(open_pairs)
-        scratch.release(f"{turn}-texts", turn)
         if not late.isEmpty():
             edges = edges.union(late)
             roots = scratch.write(components(edges, scratch, f"{turn}-stars"), f"{turn}-roots")
-    final = roots
-    named = classes.join(final, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = scratch.write(named.join(ids, "root").select("key", F.col("least").alias("class_id"), "component_id"), "ids")
-    own = F.when(F.col("doc_id").isNotNull(), F.col("key"))
-    return (
-        features.withColumn("own", F.when(F.col("n") > 0, own)).join(ids.withColumnRenamed("key", "own"), "own", "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-        )
-    )
+    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "class_id", F.coalesce("root", "key").alias("root"))
+    # most classes are alone; only those with a root are grouped
+    several = named.where(F.col("root") != F.col("key")).select("root").distinct()
+    least = named.join(several, "root", "left_semi").groupBy("root").agg(F.min("class_id").alias("component_id"))
+    return named.join(least, "root", "left").select("key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.session import scratch_path
+from postmill.session import delete, scratch_path
 
 
 class Scratch:
-    """Tables of one operator run: written once, read back, emptied when done.
+    """Tables of one operator run: written once, read back, deleted when done.
 
     A written table cuts lineage: a lost executor costs the running tasks only.
     """
@@ -26,11 +26,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self, *names: str) -> None:
-        """Empty tables that nothing reads any more, by overwriting them with no rows."""
+        """Delete tables that nothing reads any more."""
         for name in names:
             path = self.open.pop(name, None)
             if path:
-                self.spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+                delete(self.spark, path)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but `names`, which a result still reads."""
+        self.release(*(name for name in list(self.open) if name not in names))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from cases import documents, prose, texts
 
-from postmill.llm import automaton
+from postmill.llm import automaton, exchange
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 END, START = object(), object()
@@ -71,7 +71,7 @@ def test_matches_dictionary_version(spark):
 
 def test_small_runs_and_lanes(spark, monkeypatch):
     """Runs of a few texts and lanes of a few tokens give the same scores: counts meet and lanes resume."""
-    monkeypatch.setattr(automaton, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(automaton, "BUCKET_KEYS", 500)
     rows = [(i, prose(i % 7, 900 + i), "en", "a") for i in range(25)]
     whole = {r.doc_id: r.score for r in automaton.lm_scores(documents(spark, rows)).collect()}
     want = {row[0]: row[6] for row in sequential(rows)}
@@ -113,7 +113,7 @@ def test_chances_of_a_state_add_up_to_one():
 
 def test_packing_round_trip():
     a, b = np.array([0, 1, 2**63, 2**64 - 1], np.uint64), np.array([5, 0, 1, 7], np.uint64)
-    assert [c.tolist() for c in automaton.unpack(automaton.pack(a, b), 2)] == [a.tolist(), b.tolist()]
+    assert [c.tolist() for c in exchange.unpack(exchange.pack(a, b), 2)] == [a.tolist(), b.tolist()]
 
 
 def test_nothing_to_learn(spark):
