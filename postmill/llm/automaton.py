@@ -27,7 +27,7 @@ from postmill.llm.textkit import FOLDED, PLACES, hashes, mix, runs
 FLOOR = 0.1
 #: Tokens' worth of trust in the root: p(w | h) = (c(hw) + TRUST p(w)) / (c(h) + TRUST).
 TRUST = 8.0
-RUN_BYTES, RUN_ROWS = 6 << 20, 1 << 16
+RUN_BYTES, RUN_ROWS = 4 << 20, 1 << 15
 #: Runs that one task scores, about.
 TASK_RUNS = 8
 SECTIONS = ("words", "pairs")

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from postmill.llm.components import components
 from postmill.llm.exchange import BUCKET_KEYS, answers, asked_fields, cuts, pack, questions, rows_of, unpack
 from postmill.llm.scratch import Scratch, shuffle_partitions
-from postmill.llm.textkit import FOLDED, binaries, hashes, mix, runs, shingles, signed
+from postmill.llm.textkit import FOLDED, Texts, binaries, hashes, mix, runs, shingles, signed
 
-RUN_BYTES, RUN_ROWS = 4 << 20, 1 << 16
+RUN_BYTES, RUN_ROWS = 2 << 20, 1 << 14
 #: Runs that one task looks through, about.
 TASK_RUNS = 8
 #: Rows of an index list that are compared in one cell, about, and of one block of a cell.
@@ -102,28 +102,32 @@ def _bits_apart(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> n
     return out
 
 
+def _tokens(texts: Texts, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of the texts, and the text of each."""
+    starts, ends, offsets = texts.words()
+    return shingles(hashes(texts.sums(FOLDED), starts, ends), offsets, rule.size)
+
+
 def _encoded(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row for each run of whole texts: ids, sizes and class keys of its documents, and their words by rank."""
+    """One row for each run of whole texts: ids, sizes and class keys of its documents, and their compressed texts."""
 
     def encode(batches):
         for batch, texts in runs(batches, "text", RUN_BYTES, RUN_ROWS):
-            starts, ends, offsets = texts.words()
-            values = hashes(texts.sums(FOLDED), starts, ends)
-            tokens, where = shingles(values, offsets, rule.size)
+            tokens, where = _tokens(texts, rule)
             cut = np.searchsorted(where, np.arange(len(texts) + 1))
-            sets = [np.unique(tokens[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-            keys = _keys(sets)
-            vocabulary, ids = np.unique(values, return_inverse=True)
+            keys = _keys([np.unique(tokens[a:b]) for a, b in zip(cut[:-1], cut[1:])])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().hex]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([keys["n"].astype(np.int64)], pa.list_(pa.int64())), pa.array([_key_column(keys)], pa.list_(pa.binary())),
-                    *(pa.array([pack(c)], pa.binary()) for c in (np.diff(offsets), vocabulary, ids)), pa.array([len(tokens)], pa.int64()),
+                    pa.array([pack(np.diff(texts.offsets))], pa.binary()),
+                    pa.array([pa.Codec("zstd", compression_level=3).compress(texts.data.tobytes(), asbytes=True)], pa.binary()),
+                    pa.array([len(tokens)], pa.int64()),
                 ],
-                names=["run", "doc_ids", "sizes", "keys", "counts", "vocabulary", "ids", "tokens"],
+                names=["run", "doc_ids", "sizes", "keys", "lengths", "texts", "tokens"],
             )
 
-    fields = "run string, doc_ids array<long>, sizes array<long>, keys array<binary>, counts binary, vocabulary binary, ids binary, tokens long"
+    fields = "run string, doc_ids array<long>, sizes array<long>, keys array<binary>, lengths binary, texts binary, tokens long"
     return docs.select("doc_id", "text").mapInArrow(encode, fields)
 
 
@@ -131,9 +135,9 @@ class _Run:
     """Token sets of the classes of one run: `tokens` and `owner` (a place in the run) by token, `first` place of each class."""
 
     def __init__(self, row: dict, rule: Rule):
-        vocabulary, ids, counts = (unpack(row[name], 1)[0] for name in ("vocabulary", "ids", "counts"))
-        offsets = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        tokens, where = shingles(vocabulary[ids.astype(np.int64)] if len(ids) else vocabulary, offsets, rule.size)
+        offsets = np.concatenate([[0], np.cumsum(unpack(row["lengths"], 1)[0].astype(np.int64))])
+        data = np.frombuffer(pa.decompress(row["texts"], int(offsets[-1]), "zstd"), np.uint8)
+        tokens, where = _tokens(Texts(data, offsets), rule)
         self.keys, self.sizes = row["keys"], np.array(row["sizes"], np.int64)
         seen: dict[bytes, int] = {}
         for place, (doc, key, n) in enumerate(zip(row["doc_ids"], row["keys"], row["sizes"])):
@@ -171,7 +175,7 @@ def _candidates(table: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
             run = _Run(row, rule)
             yield from questions(row["run"], [(run.asked, run.classes)], TOKENS, buckets)
 
-    names = ("doc_ids", "sizes", "keys", "counts", "vocabulary", "ids")
+    names = ("doc_ids", "sizes", "keys", "lengths", "texts")
     totals = scratch.write(answers(table.select("run", *names).mapInArrow(ask, asked_fields(TOKENS)), TOKENS, buckets), "totals")
 
     def choose(batches):

@@ -13,6 +13,8 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.binding import let
+from postmill.llm.decontaminate import words
 from postmill.llm.scratch import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -23,20 +25,53 @@ TEMPER = 0.7
 TOLERANCE = 1e-3
 #: Rounds that must bring the worst sum nearer by a hundredth at least.
 PATIENCE = 10
-SCALES = 64
+#: Steps of an octave in which ratios are counted when a scale is sought, and the octaves.
+STEPS, LOWEST, HIGHEST = 512, -20, 40
+#: Topics are told by this many words, of some letters, that stand in this share of the documents at least (and in two).
+TOPICS, LETTERS, TOPIC_SHARE = 24, 4, 0.002
 #: Goals that are named in a message.
 LOGGED = 20
 
 log = logging.getLogger(__name__)
 
 
-def topic(text: Column) -> Column:
-    """The kind of a text, by its marks: table, code, contact, list or prose."""
-    return (
-        F.when(text.isNull() | (text == ""), "empty").when(text.contains(" | "), "table")
-        .when(text.rlike(r"""[{};]\n|\w = ["'\d]"""), "code").when(text.contains("@"), "contact")
-        .when(text.contains("\n- "), "list").otherwise("prose")
-    )
+def topic_words(docs: DataFrame) -> list[str]:
+    """The words that tell topics, learnt from all of `docs`: those that come back most often within the documents that have them.
+
+    Every word is counted once for each time it stands and once for each document. A word counts as
+    one of a topic if enough documents hold it. Ties go to the lesser word.
+    """
+    least = max(2.0, TOPIC_SHARE * docs.count())
+
+    def marks(w: Column) -> Column:
+        return F.concat(
+            F.transform(w, lambda x: F.struct(x.alias("word"), F.lit(0).alias("held"))),
+            F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("word"), F.lit(1).alias("held"))),
+        )
+
+    marked = docs.select(F.explode(let(words(F.col("text")), marks)).alias("m")).where(F.char_length("m.word") >= LETTERS)
+    counts = marked.groupBy("m.word").agg(F.count("*").alias("both"), F.sum("m.held").alias("held"))
+    told = counts.where(F.col("held") >= least).withColumn("often", (F.col("both") - F.col("held")) / F.col("held"))
+    return [row.word for row in told.orderBy(F.desc("often"), "word").limit(TOPICS).collect()]
+
+
+def topic(text: Column, told: list[str]) -> Column:
+    """The word of `told` that stands most often in a text (of ties the greatest); 'other' without one, 'empty' without words."""
+    def most(w: Column) -> Column:
+        present = F.array_intersect(w, F.array(*map(F.lit, told)).cast("array<string>"))
+        ranked = F.transform(present, lambda p: F.struct(F.size(F.filter(w, lambda x: x == p)).alias("n"), p.alias("word")))
+        return F.when(F.size(w) == 0, "empty").otherwise(F.coalesce(F.array_max(ranked).word, F.lit("other")))
+
+    return let(words(text), most)
+
+
+def with_topics(docs: DataFrame) -> DataFrame:
+    """`docs` with `__topic`: its column `topic` where it has one ('' for null), else told by words learnt from it."""
+    if "__topic" in docs.columns:
+        return docs
+    if "topic" in docs.columns:
+        return docs.withColumn("__topic", F.coalesce(F.col("topic").cast("string"), F.lit("")))
+    return docs.withColumn("__topic", topic(F.col("text"), topic_words(docs)))
 
 
 def n_tokens(text: Column) -> Column:
@@ -45,15 +80,21 @@ def n_tokens(text: Column) -> Column:
 
 
 def _named(docs: DataFrame) -> list[Column]:
-    has_topic = "topic" in docs.columns
-    kind = F.coalesce(F.col("topic"), F.lit("")) if has_topic else topic(F.col("text"))
-    return [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), kind.alias("topic")]
+    return [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("__topic").alias("topic")]
 
 
 def cells(docs: DataFrame) -> DataFrame:
+    """Tokens of each cell of source, language and topic."""
+    docs = with_topics(docs)
     return docs.select(*_named(docs), n_tokens(F.col("text")).alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("n"))
 
 
+def sides(table: DataFrame) -> DataFrame:
+    """dimension, value and tokens of every value of every dimension."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("side")
+    return table.select(each, "n").groupBy("side.dimension", "side.value").agg(F.sum("n").alias("n"))
+
+
 def _targets(table: DataFrame, dimension: str, total: float, temper: float) -> DataFrame:
     """Tempered shares of a dimension's values, that add up to `total`."""
     raised = table.groupBy(dimension).agg(F.pow(F.sum("n").cast("double"), F.lit(temper)).alias("goal"))
@@ -61,14 +102,20 @@ def _targets(table: DataFrame, dimension: str, total: float, temper: float) -> D
     return raised.select(dimension, (F.col("goal") * F.lit(total / norm)).alias("goal"))
 
 
-def _reachable(table: DataFrame, dimension: str, goal: DataFrame, total: float) -> DataFrame:
-    """`goal` that adds up to `total`, with no value over its tokens: the others share what it lacks, in proportion."""
-    held = table.groupBy(dimension).agg(F.sum("n").cast("double").alias("n")).join(goal, dimension)
-    over, tokens, norm = held.agg(F.max(F.col("goal") > F.col("n")), F.sum("n"), F.sum("goal")).first()
-    if not norm or not over and abs(norm - total) <= TOLERANCE * TOLERANCE * total:
-        return goal
-    scale = _scale(held, F.col("goal") * F.lit(total / norm), F.col("n"), min(total, tokens))
-    return held.select(dimension, F.least("n", F.col("goal") * F.lit(total / norm * scale)).alias("goal"))
+def _reachable(held: DataFrame, total: float) -> DataFrame:
+    """Goals of `held` (dimension, value, n, goal) that add up to `total`, none over its tokens.
+
+    The values of a dimension share what others lack, in proportion.
+    """
+    sums = {r.dimension: r for r in held.groupBy("dimension").agg(
+        F.max(F.col("goal") > F.col("n")).alias("over"), F.sum("n").cast("double").alias("n"), F.sum("goal").alias("goal")
+    ).collect()}
+    scales = _scales(held, F.col("dimension"), F.col("goal"), F.col("n").cast("double"), {d: min(total, r.n) for d, r in sums.items()})
+    scale = F.lit(1.0)
+    for dimension, row in sums.items():
+        if row.goal and (row.over or abs(row.goal - total) > TOLERANCE * TOLERANCE * total):
+            scale = F.when(F.col("dimension") == dimension, scales[dimension]).otherwise(scale)
+    return held.select("dimension", "value", F.least(F.col("n").cast("double"), F.col("goal") * scale).alias("goal"))
 
 
 def rake(table: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, rounds: int | None = None, tolerance: float = TOLERANCE, bounded: bool = False) -> DataFrame:
@@ -109,23 +156,37 @@ def rake(table: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, rounds
     return current
 
 
-def _scale(table: DataFrame, value: Column, bound: Column, total: float) -> float:
-    """The factor of `value`, none over `bound`, at which they add up to `total`.
+def _scales(table: DataFrame, group: Column, value: Column, bound: Column, totals: dict[str, float]) -> dict[str, float]:
+    """For each group the factor of `value`, none over `bound`, at which they add up to its total.
 
-    It is searched on a grid, SCALES times finer each time; one sum is read back for each point.
+    Rows are counted by the factor at which they reach their bound, in steps of a fraction of an octave: one row for each
+    step comes back. Between two steps the sum is as good as straight.
     """
-    low, high = -20.0, 40.0
-    for _ in range(4):
-        points = [low + (high - low) * k / SCALES for k in range(SCALES + 1)]
-        sums = table.agg(*(F.sum(F.least(bound, value * F.lit(2.0**p))).alias(f"at{k}") for k, p in enumerate(points))).first()
-        reached = next((k for k in range(SCALES + 1) if (sums[k] or 0.0) >= total * (1 - 1e-9)), SCALES)
-        low, high = points[max(reached - 1, 0)], points[reached]
-    return 2.0**high
+    usable = table.select(group.alias("group"), value.alias("value"), bound.alias("bound")).where("value > 0 and bound > 0")
+    value, bound = F.col("value"), F.col("bound")
+    step = F.greatest(F.lit(LOWEST * STEPS), F.least(F.lit(HIGHEST * STEPS), F.floor(F.log2(bound / value) * STEPS).cast("long")))
+    rows = usable.groupBy("group", step.alias("step")).agg(F.sum("bound").alias("bound"), F.sum("value").alias("value")).collect()
+    out = {}
+    for group, total in totals.items():
+        mine = sorted((r.step, r.bound, r.value) for r in rows if r.group == group)
+        full, free, scale = 0.0, sum(v for _, _, v in mine), 2.0**HIGHEST
+        for at, bounds, values in mine:
+            low, high = 2.0 ** (at / STEPS), 2.0 ** ((at + 1) / STEPS)
+            below, above = full + low * free, full + bounds + high * (free - values)
+            if above >= total * (1 - 1e-12):
+                # the sum may have reached the total where all rows were still free
+                scale = total / free if not full and below >= total else low + (high - low) * max(total - below, 0.0) / max(above - below, 1e-300)
+                if below > total and full:
+                    scale = (total - full) / free
+                break
+            full, free = full + bounds, free - values
+        out[group] = scale
+    return out
 
 
 def calibrate(table: DataFrame, total: float) -> DataFrame:
     """`table` with `probability`: weights a token, scaled so that `total` tokens are expected; none over 1."""
-    scale = _scale(table, F.col("weight"), F.col("n").cast("double"), total)
+    scale = _scales(table, F.lit("all"), F.col("weight"), F.col("n").cast("double"), {"all": total})["all"]
     chance = F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("n"))
     return table.select(*DIMENSIONS, F.when(F.col("n") > 0, chance).otherwise(F.lit(1.0)).alias("probability"))
 
@@ -151,18 +212,32 @@ def probabilities(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPE
     that are not met are logged with their number and the furthest ones.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    table = scratch.write(cells(docs), "cells")
-    total = budget * float(table.agg(F.sum("n").alias("n")).first().n or 0)
-    wanted = {d: (goals or {}).get(d) for d in DIMENSIONS}
-    wanted = {d: goal if goal is not None else scratch.write(_targets(table, d, total, temper), f"goal-{d}") for d, goal in wanted.items()}
-    within = {d: scratch.write(_reachable(table, d, goal, total), f"within-{d}") for d, goal in wanted.items()}
-    chances = scratch.write(calibrate(rake(table, within, scratch, bounded=True), total), "probabilities")
-    missed = scratch.write(marginals(table, wanted, chances).where("not met"), "missed")
-    count = missed.count()
-    if count:
-        furthest = missed.orderBy(F.abs(F.col("expected") - F.col("goal")).desc()).limit(LOGGED).collect()
-        told = "; ".join(f"{r.dimension} {r.value!r}: {r.expected:.0f} of {r.goal:.0f}, has {r.n}" for r in furthest)
-        log.warning("%d goals of the mix are not met, furthest (expected tokens): %s", count, told)
+    try:
+        table = scratch.write(cells(docs), "cells")
+        values = scratch.write(sides(table), "sides")
+        raised = F.pow(F.col("n").cast("double"), F.lit(temper))
+        norms = {r.dimension: r for r in values.groupBy("dimension").agg(F.sum("n").alias("n"), F.sum(raised).alias("norm")).collect()}
+        total = budget * float(norms["source"].n if norms else 0)
+        wanted = {}
+        for d in DIMENSIONS:
+            share = raised * F.lit(total / (norms[d].norm or 1.0) if norms else 0.0)
+            tempered = values.where(F.col("dimension") == d).select(F.col("value").alias(d), share.alias("goal"))
+            wanted[d] = (goals or {}).get(d, tempered)
+        both = None
+        for d, goal in wanted.items():
+            mine = values.where(F.col("dimension") == d).join(goal.select(F.col(d).alias("value"), "goal"), "value").select("dimension", "value", "n", "goal")
+            both = mine if both is None else both.unionByName(mine)
+        within = scratch.write(_reachable(scratch.write(both, "goals"), total), "within")
+        within = {d: within.where(F.col("dimension") == d).select(F.col("value").alias(d), "goal") for d in DIMENSIONS}
+        chances = scratch.write(calibrate(rake(table, within, scratch, bounded=True), total), "probabilities")
+        missed = scratch.write(marginals(table, wanted, chances).where("not met"), "missed")
+        count = missed.count()
+        if count:
+            furthest = missed.orderBy(F.abs(F.col("expected") - F.col("goal")).desc()).limit(LOGGED).collect()
+            told = "; ".join(f"{r.dimension} {r.value!r}: {r.expected:.0f} of {r.goal:.0f}, has {r.n}" for r in furthest)
+            log.warning("%d goals of the mix are not met, furthest (expected tokens): %s", count, told)
+    finally:
+        scratch.keep("probabilities")
     return chances
 
 
@@ -179,15 +254,17 @@ def mixed(docs: DataFrame, table: DataFrame, seed: int = 0) -> DataFrame:
     without tokens cost nothing and stay. Repeated rows share one draw.
     """
     names = [f"__{d}" for d in DIMENSIONS]
-    keyed = docs.select("*", *(column.alias(name) for column, name in zip(_named(docs), names)))
+    docs = with_topics(docs)
+    rest = [name for name in docs.columns if name != "__topic"]
+    keyed = docs.select(*rest, *(column.alias(name) for column, name in zip(_named(docs), names)))
     chances = table.select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names)), F.col("probability").alias("__probability"))
     joined = keyed.join(chances, names)
     return joined.withColumn("__kept", uniform(seed) < F.col("__probability"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, cell, tokens, probability and draw of every document."""
-    docs = docs.select("doc_id", "text", "source", "lang")
+    """doc_id, cell, probability and draw of every document; repeated rows are all told, with one draw. Of ties in topic the greatest word counts."""
+    docs = with_topics(docs.select("doc_id", "text", *DIMENSIONS[:2], *(["topic"] if "topic" in docs.columns else [])))
     out = mixed(docs, probabilities(docs))
     return out.select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
@@ -196,5 +273,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The documents drawn, with all their columns."""
-    return mixed(docs, probabilities(docs)).where("__kept").select(*docs.columns)
+    """The documents drawn, with all their columns. Repeated rows are drawn or left together; texts without tokens all stay."""
+    named = with_topics(docs)
+    return mixed(named, probabilities(named)).where("__kept").select(*docs.columns)

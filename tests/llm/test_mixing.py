@@ -11,7 +11,7 @@ def corpus(spark):
     for source, lang, count in (("big", "en", 220), ("big", "de", 40), ("mid", "en", 60), ("mid", "fr", 30), ("tiny", "de", 12), ("tiny", "fr", 8)):
         for _ in range(count):
             body = prose(k, 20 + k % 50)
-            rows.append((k, body if k % 3 else body.replace(" ", " | "), lang, source))
+            rows.append((k, body if k % 3 else f"{body} harbour ship harbour ship harbour", lang, source))
             k += 1
     return documents(spark, rows)
 
@@ -93,7 +93,7 @@ def test_what_a_rare_language_lacks_leaves_other_dimensions_right(spark, caplog)
     """3 % of the tokens want 1.6 times what there is: all are taken, the other language gets the rest, sources and topics meet their goals."""
     rows = []
     for k, (source, lang, count) in enumerate((("a", "en", 150), ("b", "en", 44), ("a", "fi", 1), ("b", "fi", 5))):
-        rows += [(1000 * k + i, " ".join(["word"] * 50) if i % 3 else "word | " * 25, lang, source) for i in range(count)]
+        rows += [(1000 * k + i, " ".join(["word"] * 50) if i % 3 else "water " * 25 + "word " * 25, lang, source) for i in range(count)]
     docs = documents(spark, rows)
     table = mixing.cells(docs)
     total = 0.6 * table.agg(F.sum("n")).first()[0]
@@ -131,3 +131,32 @@ def test_goals_that_contradict_each_other_end(spark):
     raked = mixing.rake(table, goals, Scratch(spark, "test"), bounded=True)
     told = mixing.marginals(table, goals, mixing.calibrate(raked, 100.0)).collect()
     assert len(told) == 4 and not all(r.met for r in told)
+
+
+def test_topics_are_learnt_from_words(spark):
+    """Words that come back within their documents tell topics; words of all documents and single ones do not."""
+    def filler(i):
+        return " ".join(f"only{i}x{k}" for k in range(20)) + " common"
+
+    rows = [(i, f"{filler(i)} " + ("harbour ship harbour storm harbour" if i % 2 else "yeast bread yeast flour yeast"), "en", "a") for i in range(40)]
+    rows += [(100, filler(900), "en", "a"), (101, "", "en", "a"), (102, None, "en", "a"), (103, "solitary solitary solitary solitary", "en", "a")]
+    docs = documents(spark, rows)
+    told = mixing.topic_words(docs)
+    assert told[:2] == ["harbour", "yeast"] and "solitary" not in told
+    topics = {r.doc_id: r["__topic"] for r in mixing.with_topics(docs).collect()}
+    assert {topics[i] for i in range(1, 40, 2)} == {"harbour"} and {topics[i] for i in range(0, 40, 2)} == {"yeast"}
+    assert topics[101] == topics[102] == "empty"
+    assert mixing.topic_words(documents(spark, [])) == []
+
+
+@pytest.mark.parametrize("share", [0.01, 0.3, 0.7, 0.95, 1.0])
+def test_scale_meets_the_total(spark, share):
+    import random
+
+    pick = random.Random(3)
+    rows = [("g" if i % 3 else "h", pick.random() * 10, float(pick.randint(0, 50)) * 10.0 ** pick.randint(-3, 3)) for i in range(400)]
+    table = spark.createDataFrame(rows, "side string, value double, bound double")
+    totals = {g: share * sum(b for s, v, b in rows if s == g) for g in "gh"}
+    scales = mixing._scales(table, F.col("side"), F.col("value"), F.col("bound"), totals)
+    for g, total in totals.items():
+        assert sum(min(b, v * scales[g]) for s, v, b in rows if s == g) == pytest.approx(total, rel=1e-4)
