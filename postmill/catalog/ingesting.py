@@ -1,5 +1,6 @@
 """Registered ingest steps over landed pages."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill.catalog.adapter import table
@@ -55,6 +56,48 @@ def page_documents(spark, sf):
     )
 
 
+def uneven_pages(spark, sf):
+    """Pages of every kind of user as a term, 40 events each, of which some are cut, without rows, or missing.
+
+    The term decides which: the first, the second or the last page, or none.
+    """
+    events = table(spark, sf, "events").select((F.col("user_id") % 60).alias("kind"), "event_id", "ts")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("event_id"))) - 1
+    rows = events.withColumn("place", place).withColumn("page", (F.floor(F.col("place") / 40) + 1).cast("int"))
+    last = rows.groupBy("kind").agg(F.max("page").alias("last"))
+    row = F.struct(
+        F.col("event_id").alias("id"), F.lit(1).alias("companyId"), F.lit("Vaga").alias("name"), F.lit("").alias("description"),
+        F.lit(1).alias("careerPageId"), F.lit("a").alias("careerPageName"), F.lit("b").alias("careerPageLogo"),
+        F.lit("c").alias("careerPageUrl"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("publishedDate"),
+    )
+    packed = rows.groupBy("kind", "page").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", row.alias("row")))), lambda r: r["row"]).alias("data")
+    ).join(last, "kind")
+    hit = F.when(F.col("kind") % 4 == 0, F.col("page") == 1).when(F.col("kind") % 4 == 1, F.col("page") == 2).when(
+        F.col("kind") % 4 == 2, F.col("page") == F.col("last")).otherwise(False)
+    damage = F.when(hit, F.floor(F.col("kind") / 4) % 3)
+    term = F.concat(F.lit("user "), "kind").alias("term")
+    whole = F.to_json(F.struct(term, "page", "data"))
+    return packed.where(~damage.eqNullSafe(2)).select(
+        F.when(damage == 0, F.substring(whole, 1, 60)).when(damage == 1, F.to_json(F.struct(term, "page"))).otherwise(whole).alias("value")
+    )
+
+
+def finished_terms(spark, sf):
+    """Terms whose mark moves: a third of them reach a known post on one of their pages."""
+    path = scratch_path(spark, "landing")
+    uneven_pages(spark, sf).write.text(path)
+    landed = pages.read_pages(spark, path)
+    events = table(spark, sf, "events")
+    newest = events.agg(F.max("ts").cast("timestamp_ntz")).scalar()
+    kind = F.col("user_id") % 60
+    terms = events.select(kind.alias("kind")).distinct().select(
+        F.concat(F.lit("user "), "kind").alias("term"), F.when(F.col("kind") % 3 == 0, newest - F.expr("interval 10 days")).alias("last_scraped_at")
+    )
+    rows = pages.usable(pages.to_posts(pages.explode_pages(landed)))
+    return ingest.finished_terms(pages.page_states(landed), ingest.first_old_positions(rows, terms))
+
+
 def _landed(spark, sf):
     """Pages written as text and read back by the page source."""
     path = scratch_path(spark, "landing")
@@ -236,6 +279,24 @@ SELECT 'ingest' AS source, array_to_string(list_filter([
     CASE WHEN event_id % 40 = 3 THEN 'id is null' END], lambda x: x IS NOT NULL), '; ') AS message,
   term, page, TIMESTAMP '2024-02-01 00:00:00' AS created_at, 'Vaga ' || event_id AS name
 FROM good WHERE event_id % 50 = 7 OR event_id % 40 = 3"""),
+    ("finished_terms", finished_terms, """
+WITH placed AS (
+  SELECT user_id % 60 AS kind, ts, (row_number() OVER (PARTITION BY user_id % 60 ORDER BY event_id DESC) - 1) // 40 + 1 AS page FROM events
+), listed AS (
+  SELECT kind, page, max(page) OVER (PARTITION BY kind) AS last, min(ts) AS oldest FROM placed GROUP BY kind, page
+), states AS (
+  SELECT *, CASE WHEN (kind % 4 = 0 AND page = 1) OR (kind % 4 = 1 AND page = 2) OR (kind % 4 = 2 AND page = last)
+                 THEN (kind // 4) % 3 ELSE -1 END AS damage
+  FROM listed
+), walked AS (
+  SELECT *, max(CASE WHEN damage >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY page ROWS UNBOUNDED PRECEDING) AS over
+  FROM states
+), terms AS (
+  SELECT kind, max(CASE WHEN kind % 3 = 0 AND over = 0 AND oldest <= (SELECT max(ts) FROM events) - INTERVAL 10 DAY THEN 1 ELSE 0 END) AS reached,
+         coalesce(max(CASE WHEN over = 0 THEN page END), 0) AS pages, max(CASE WHEN damage = 1 THEN page END) AS wrong
+  FROM walked GROUP BY kind HAVING count(*) > count(*) FILTER (WHERE damage = 2)
+)
+SELECT 'user ' || kind AS term FROM terms WHERE reached = 1 OR (pages >= 1 AND coalesce(wrong, 0) <> pages + 1)"""),
     ("newer_prefix", newer_prefix, f"""
 WITH {_DATED_SQL} SELECT term, page, position, id, published_date FROM flagged WHERE reached = 0"""),
     ("term_outcomes", term_outcomes, f"""

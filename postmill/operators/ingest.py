@@ -96,7 +96,33 @@ def advance_watermarks(terms: DataFrame, finished: DataFrame, run_at) -> DataFra
     )
 
 
-def finished_terms(pages: DataFrame, errors: DataFrame) -> DataFrame:
-    """Terms with landed pages whose first page was usable."""
-    failed = errors.where("page = 1").select("term")
-    return pages.where("term is not null").select("term").distinct().join(failed, "term", "left_anti")
+def page_stops(pages: DataFrame) -> DataFrame:
+    """Per term where its pages end: `stop`, the first page number from 1 on without a usable page, and its `kind`.
+
+    `pages` has (term, page, state) rows; a page that landed more than once is as good as
+    its best copy. The kind is 'wrong' where a page landed without a list of rows, 'lost' where its
+    document is cut, and null where nothing landed. Islands of page numbers are found by an
+    anti-join of each page with its successor, so that no term is sorted in one task.
+    """
+    rank = F.when(F.col("state") == "usable", 0).when(F.col("state") == "wrong", 1).otherwise(2)
+    known = pages.where("term is not null and page is not null").groupBy("term", "page").agg(F.min(rank).alias("rank"))
+    good = known.where("rank = 0").select("term", "page")
+    # page 0 is good for every term, so that a term without a first page stops at 1
+    good = good.unionByName(known.select("term", F.lit(0).alias("page")).distinct())
+    ends = good.select("term", (F.col("page") + 1).alias("page")).join(good, ["term", "page"], "left_anti")
+    stops = ends.groupBy("term").agg(F.min("page").alias("page"))
+    kind = F.when(F.col("rank") == 1, "wrong").when(F.col("rank") == 2, "lost")
+    return stops.join(known.where("rank > 0"), ["term", "page"], "left").select("term", F.col("page").alias("stop"), kind.alias("kind"))
+
+
+def finished_terms(pages: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Terms whose watermark may move.
+
+    Pages are taken in order from 1. A term is finished when it reaches a known post (`cuts`) on
+    them, or when they end after the first: with the last page, with one that did not land or with a cut
+    document. A page without a list of rows is a failure of the term, whatever its
+    number; so is a missing first page.
+    """
+    stops = page_stops(pages).join(cuts.select("term", F.col("cut.page").alias("_reached")), "term", "left")
+    reached = F.coalesce(F.col("_reached") < F.col("stop"), F.lit(False))
+    return stops.where(reached | ((F.col("stop") > 1) & ~F.col("kind").eqNullSafe("wrong"))).select("term")

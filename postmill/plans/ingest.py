@@ -35,7 +35,8 @@ def ingest_pages(
         fresh = stage(new_posts(rows, marks, store.read("jobs_posts")), "new-posts")
         page_failures = pages.page_errors(landed)
         failures = page_failures.unionByName(pages.rejected(posts))
-        finished = stage(ingest.finished_terms(landed, page_failures), "finished-terms")
+        cuts = ingest.first_old_positions(rows, marks)
+        finished = stage(ingest.finished_terms(pages.page_states(landed), cuts), "finished-terms")
 
         store.append("jobs_posts", fresh)
         store.log(deadletter.error_rows(failures, "ingest", run=run))

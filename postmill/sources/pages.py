@@ -34,23 +34,54 @@ def _options(reader):
     )
 
 
+def _named(pages: DataFrame) -> DataFrame:
+    """`pages` with the term and page of cut documents, as far as their text or path tells them.
+
+    A path tells them by folders or a file name like `term=dev/page=3.json`.
+    """
+    path = F.col("_metadata.file_path")
+
+    def told(text: str, place: str, value: Column) -> Column:
+        inside = F.regexp_extract("_corrupt", text, 1)
+        outside = F.url_decode(F.regexp_extract(path, place, 1))
+        return F.coalesce(value, F.nullif(inside, F.lit("")), F.nullif(outside, F.lit("")))
+
+    cut = F.col("_corrupt").isNotNull()
+    # only whole strings: the value may be what is cut
+    term = told(r'^\s*\{\s*"term"\s*:\s*"([^"\\]*)"', r"(?:^|/)term=([^/]+)/", F.col("term"))
+    page = told(r'^[^\[]{0,512}?"page"\s*:\s*(\d+)\s*[,}]', r"(?:^|/)page=(\d+)(?:[./]|$)", F.col("page").cast("string"))
+    return pages.withColumns({
+        "term": F.when(cut, term).otherwise(F.col("term")), "page": F.when(cut, page.try_cast("int")).otherwise(F.col("page")),
+    })
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return _options(spark.read).json(path)
+    return _named(_options(spark.read).json(path))
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Pages as they land, at most `files_per_batch` files in a micro-batch."""
-    return _options(spark.readStream).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return _named(_options(spark.readStream).option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
 def _is_bad() -> Column:
     return F.col("data").isNull() | F.col("_corrupt").isNotNull()
 
 
+def _is_broken() -> Column:
+    # a cut document may still yield its leading fields, so ask a JSON parser
+    return F.col("_corrupt").isNotNull() & F.try_parse_json("_corrupt").isNull()
+
+
+def page_states(pages: DataFrame) -> DataFrame:
+    """term, page and state of every landed page: 'usable', 'lost' (broken JSON) or 'wrong' (no list of rows)."""
+    state = F.when(~_is_bad(), "usable").when(_is_broken(), "lost").otherwise("wrong")
+    return pages.select("term", "page", state.alias("state"))
+
+
 def page_errors(pages: DataFrame) -> DataFrame:
     """One row per unusable page: broken JSON, or `data` absent or not a list."""
-    # a cut document may still yield its leading fields, so ask a JSON parser
-    broken = F.col("_corrupt").isNotNull() & F.try_parse_json("_corrupt").isNull()
+    broken = _is_broken()
     return pages.where(_is_bad()).select(
         F.when(broken, "invalid JSON in page").otherwise("missing or invalid data list").alias("message"),
         "term",

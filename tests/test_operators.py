@@ -240,6 +240,33 @@ def _schema():
     return pages.RAW_PAGE
 
 
+@pytest.mark.parametrize(("landed", "finished"), [
+    ([("a", 1, "usable"), ("a", 2, "wrong")], []),
+    ([("a", 1, "usable"), ("a", 2, "lost")], ["a"]),
+    ([("a", 1, "usable"), ("a", 3, "wrong")], ["a"]),
+    ([("a", 2, "usable"), ("a", 3, "usable")], []),
+    ([("a", 1, "lost"), ("a", 2, "usable")], []),
+    ([("a", 1, "wrong"), ("a", 1, "usable")], ["a"]),
+    ([("a", 1, "usable"), ("a", 2, "usable"), ("b", 1, "usable"), ("b", 2, "usable"), ("b", 3, "wrong")], ["a"]),
+    ([("c", 1, "usable"), ("c", 2, "wrong")], ["c"]),  # a known post on page 1: page 2 is not asked for
+    ([("d", 1, "wrong"), ("d", 2, "usable")], []),  # the known post stands behind the failure
+    ([(None, None, "lost")], []),
+])
+def test_terms_finish_by_their_first_gap(spark, landed, finished):
+    pages = spark.createDataFrame(landed, "term string, page int, state string")
+    cuts = spark.createDataFrame([("c", (1, 3)), ("d", (2, 0))], "term string, cut struct<page: int, position: int>")
+    assert sorted(r.term for r in ingest.finished_terms(pages, cuts).collect()) == finished
+
+
+def test_cut_pages_are_named_by_text_or_path(spark):
+    from postmill.sources import pages
+
+    root = scratch_path(spark, "landing")
+    spark.createDataFrame([('{"term": "dev", "page": 2, "data": [{"id": ',), ('{"te',)], "value string").coalesce(1).write.text(f"{root}/term=data lead/page=7.json")
+    found = {(r.term, r.page, r.state) for r in pages.page_states(pages.read_pages(spark, f"{root}/*/*")).collect()}
+    assert found == {("dev", 2, "lost"), ("data lead", 7, "lost")}
+
+
 def test_csv_bytes(spark):
     posts = empty_table(spark, "jobs_posts").unionByName(
         spark.createDataFrame(
