@@ -8,22 +8,25 @@ from postmill.llm import linedup
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def expected(by_id, least=linedup.MIN_WORDS):
-    seen, out = set(), {}
+def maximal(by_id, least=linedup.MIN_WORDS):
+    """Texts without the lines of every common run of a place and an earlier one that holds `least` words."""
+    out, seen = {}, []
     for doc, text in sorted(by_id.items()):
         if text is None:
             out[doc] = (0, 0, None)
             continue
         parts = text.split("\n")
         spoken = [i for i, p in enumerate(parts) if p.strip(BLANK)]
-        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", parts[i])) for i in spoken]
+        said = [parts[i] for i in spoken]
+        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in said]
+        seen.append(said)
         gone = set()
-        for k in range(len(spoken)):
-            end = next((m for m in range(k + 1, len(spoken) + 1) if sum(counts[k:m]) >= least), None)
-            if end:
-                run = tuple(parts[i] for i in spoken[k:end])
-                gone |= set(spoken[k:end]) if run in seen else set()
-                seen.add(run)
+        for k in range(len(said)):
+            for there in seen:
+                for q in range(k if there is said else len(there)):
+                    both = zip(said[k:], there[q:])
+                    n = next((m for m, (a, b) in enumerate(both) if a != b), min(len(said) - k, len(there) - q))
+                    gone |= set(spoken[k : k + n]) if sum(counts[k : k + n]) >= least else set()
         out[doc] = (len(spoken), len(gone), "\n".join(p for i, p in enumerate(parts) if i not in gone))
     return out
 
@@ -37,7 +40,7 @@ def test_matches_brute_force(spark):
     out = linedup.without_repeats(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed_lines"]
     assert out.count() == len(texts())
-    assert result(out) == expected(identified())
+    assert result(out) == maximal(identified())
 
 
 def test_runs_of_short_lines_need_doubling(spark):
@@ -47,7 +50,7 @@ def test_runs_of_short_lines_need_doubling(spark):
         (0, "\n".join(pieces), "en", "a"), (1, "\n".join(pieces[2:9]), "en", "a"), (2, "\n".join(pieces[:4] + ["else"] + pieces[4:]), "en", "a"),
         (3, "\n".join(pieces[5:] + pieces[5:]), "en", "a"), (4, "\n\n".join(pieces[1:8]), "en", "a"), (5, "\n".join(pieces[:3]), "en", "a"),
     ]
-    want = expected({d: t for d, t, *_ in rows})
+    want = maximal({d: t for d, t, *_ in rows})
     assert result(linedup.without_repeats(documents(spark, rows))) == want
     assert sum(v[1] for v in want.values()) > 10
 
@@ -62,26 +65,6 @@ def test_empty_table(spark):
     assert linedup.line_dedup(documents(spark, [])).collect() == []
 
 
-def maximal(by_id, least=linedup.MIN_WORDS):
-    """Texts without the lines of every common run of a place and an earlier one that holds `least` words."""
-    out, seen = {}, []
-    for doc, text in sorted(by_id.items()):
-        parts = text.split("\n")
-        spoken = [i for i, p in enumerate(parts) if p.strip(BLANK)]
-        said = [parts[i] for i in spoken]
-        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in said]
-        seen.append(said)
-        gone = set()
-        for k in range(len(said)):
-            for there in seen:
-                for q in range(k if there is said else len(there)):
-                    both = zip(said[k:], there[q:])
-                    n = next((m for m, (a, b) in enumerate(both) if a != b), min(len(said) - k, len(there) - q))
-                    gone |= set(spoken[k : k + n]) if sum(counts[k : k + n]) >= least else set()
-        out[doc] = (len(spoken), len(gone), "\n".join(p for i, p in enumerate(parts) if i not in gone))
-    return out
-
-
 def test_short_last_lines_of_repeated_runs_go(spark):
     """A copy of a long line and a short one goes whole, also if copies differ in how far they agree."""
     long, tail = prose(1, 12).replace("\n", " "), ["Bye now", "so long", "and thanks"]

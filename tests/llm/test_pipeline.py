@@ -3,7 +3,7 @@ import os
 import corpus_pipeline
 from cases import documents, prose, texts
 from test_jaccard import expected as components
-from test_linedup import expected as line_runs
+from test_linedup import maximal as line_runs
 
 import __spark_entry__ as entry_points
 from postmill.llm import jaccard
@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry_points.queries()
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def test_stages_on_awkward_rows(spark, tmp_path):
