@@ -1,21 +1,16 @@
 """Text features of a job description, as Column expressions.
 
-Every function takes and returns a Column. All but `unescape_html` run in the
-JVM; that one is an Arrow UDF and only receives rows that contain an ampersand.
+Every function takes and returns a Column, and runs in the JVM.
 
 Letters, digits and underscore are spelled out as a character class instead of
 `\\w`, because Java's `\\w` also covers combining marks and misses some numbers.
 After `clean` the only white space left is a single blank.
 """
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from postmill.functions import coerce, vocab
+from postmill.functions import coerce, entities, vocab
 from postmill.functions.binding import let
 
 _WORD = r"[\p{L}\p{N}_]"
@@ -76,24 +71,9 @@ CONTRACT_PATTERN = vocab.CONTRACT
 
 # --- cleaning ----------------------------------------------------------------
 
-def _html_decoder():
-    # nested, so that it is shipped by value and tasks need not import the package
-    def decode(text: pd.Series) -> pd.Series:
-        return text.map(html.unescape, na_action="ignore")
-
-    return F.pandas_udf(decode, T.StringType())
-
-
-_unescape = _html_decoder()
-
-
 def unescape_html(raw: Column) -> Column:
-    """Decode named and numeric HTML entities; NULL becomes ''.
-
-    Rows without an ampersand are not sent to Python.
-    """
-    decoded = _unescape(F.when(F.contains(raw, F.lit("&")), raw))
-    return F.coalesce(decoded, raw, F.lit(""))
+    """Decode named and numeric HTML entities; NULL becomes ''."""
+    return F.coalesce(entities.unescape(raw), F.lit(""))
 
 
 def strip_markup(text: Column) -> Column:

@@ -211,3 +211,21 @@ def test_grouped_alternatives_match_like_the_plain_list(spark):
     ).collect()
     assert sum(len(r.plain) for r in found) > 300
     assert all(r.grouped == r.plain for r in found)
+
+
+def test_entities_like_a_sequential_decoder(spark):
+    import html
+    import random
+
+    from postmill.functions import entities
+
+    pick = random.Random(11)
+    names = [name.rstrip(";") for name in html.entities.html5]
+    pieces = ["&", ";", "#", "x", "a", " ", "&amp", "&lt;", "&notit;", "&#38;", "&#x1F600;", "&#0;", "&#128;", "&#xD800;", "&#1114112;",
+              "&#99999999999999999999;", "&#xfdd0;", "&#65534;", "&#13;", "&#11;", "&#;", "&#x;", "&#x41", "&nope;", "é", "&#\u0663;", "\n", "&#00000000065;", "&#xg;"]
+    texts = ["".join(pick.choice(pieces) if pick.random() < 0.7 else "&" + pick.choice(names) + pick.choice([";", "", " "]) for _ in range(pick.randint(0, 9))) for _ in range(1500)]
+    texts += [f"a&{name};b" for name in names] + [f"&#{n};" for n in [*range(1, 0x2FF), 0xD7FF, 0xE000, 0xFDEF, 0xFDF0, 0x1FFFF, 0x10FFFD, 0x10FFFF]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select("text", entities.unescape(F.col("text")).alias("plain")).collect()
+    assert [(r.text, r.plain) for r in got if r.plain != html.unescape(r.text)] == []
+    assert frame.limit(1).select(entities.unescape(F.lit(None).cast("string"))).first()[0] is None
