@@ -1,7 +1,7 @@
 """Set-based upserts of dimensions, companies, bridges and search terms.
 
 New ids are hashes of the natural key: stable across re-runs, no sequence and
-no coordination between tasks.
+no coordination between tasks. Where two keys have one hash, the later one is hashed again.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def member_id(keys, attempt: int = 0) -> Column:
+    """The id of a natural key; later attempts give other ids."""
+    return F.xxhash64(*keys) if not attempt else F.xxhash64(*keys, F.lit(attempt))
+
+
 def checked_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """`new`, failing the job if an id would stand for two different keys."""
+    """`new` (id, keys) with other ids for the members whose id stands for another key already.
+
+    Of new members with one id the least keeps it, if no stored one has it. The others, of which there is about one in
+    10^19 pairs, take the id of a second attempt; only if that were taken too, the job fails.
+    """
     keys = [c for c in new.columns if c != "id"]
-    tagged = existing.select(*new.columns, F.lit(True).alias("stored")).unionByName(
-        new.withColumn("stored", F.lit(False))
-    )
-    per_id = tagged.groupBy("id").agg(
-        F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"), F.max("stored").alias("stored")
-    )
-    clash = F.raise_error(F.lit("one id for two keys")).cast("boolean")
-    return per_id.where(F.when(F.col("low") != F.col("high"), clash).otherwise(~F.col("stored"))).select("id", "low.*")
+    stored = existing.select("id")
+    per_id = new.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("members"))
+    taken = per_id.join(stored.withColumn("stored", F.lit(True)).distinct(), "id", "left")
+    placed = taken.select(
+        F.col("id").alias("wanted"), F.coalesce("stored", F.lit(False)).alias("stored"), F.posexplode("members").alias("place", "member")
+    ).select("wanted", (F.col("stored") | (F.col("place") > 0)).alias("late"), "member.*")
+    first = placed.where(~F.col("late")).select(F.col("wanted").alias("id"), *keys)
+    late = placed.where("late").select(member_id(keys, 1).alias("id"), *keys)
+    twice = late.join(stored.unionByName(new.select("id")).distinct().withColumn("twice", F.lit(True)), "id", "left")
+    clash = F.raise_error(F.lit("no free id for a key")).cast("boolean")
+    return first.unionByName(twice.where(F.when(F.col("twice"), clash).otherwise(True)).select("id", *keys))
 
 
 def new_members(existing: DataFrame, wanted: DataFrame, keys=("name",)) -> DataFrame:
     """Rows to add so that every wanted key exists."""
     missing = wanted.select(*keys).dropna().distinct().join(existing.select(*keys), list(keys), "left_anti")
-    return checked_ids(existing, missing.select(F.xxhash64(*keys).alias("id"), *keys))
+    return checked_ids(existing, missing.select(member_id(keys).alias("id"), *keys))
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame, keys=("name",)) -> DataFrame:

@@ -1,5 +1,7 @@
 """From raw posts to the star schema: extract features, resolve keys, load."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,7 +218,7 @@ def star_tables(fields: DataFrame, existing: dict, keep=lambda rows, name: rows)
             existing[table].unionByName(new[table]),
             skill_id,
         )
-        new[bridge] = pairs.join(existing[bridge], ["job_id", skill_id], "left_anti")
+        new[bridge] = pairs
 
     new["jobs"] = (
         placed.join(states.select(F.col("id").alias("state_id"), F.col("name").alias("state")), "state", "left")
@@ -238,13 +240,9 @@ def star_tables(fields: DataFrame, existing: dict, keep=lambda rows, name: rows)
     return new
 
 
-WRITE_ORDER = (
-    "companies", "states", "cities", "contract_types",
-    "hard_skills", "soft_skills", "nice_to_have_skills",
-    "job_hard_skills", "job_soft_skills", "job_nice_to_have_skills",
-    # last: a post counts as processed once its job row exists
-    "jobs",
-)
+WRITE_ORDER = schema.STAR
+#: Tables of a load that are written at a time.
+WRITERS = 4
 
 
 def extract_and_load(
@@ -252,8 +250,10 @@ def extract_and_load(
 ) -> None:
     """Process all pending posts into the star schema; failures go to the error log.
 
-    Safe to repeat after a crash: jobs are written last and every other write
-    skips what is already stored.
+    All tables are written as one load, which readers see when it is published at the
+    end. A run that dies before leaves nothing to be seen, and can be repeated. A
+    post is pending while no published load has its job, so bridge rows are new whenever
+    their job is. One run at a time may load.
     """
     posts = store.read("jobs_posts") if posts is None else posts
     needed = posts.select(
@@ -267,8 +267,11 @@ def extract_and_load(
         fields = stage(job_fields(featured, extractor_type), "job-fields")
         existing = {name: store.read(name) for name in WRITE_ORDER}
         new = star_tables(good_rows(fields), existing, stage)
-        # companies are appended to while later steps would still read them
         failures = stage(failed_rows(fields).unionByName(new["rejected_companies"]), "failures")
-        for name in WRITE_ORDER:
-            store.append(name, new[name])
+        load = store.new_load()
+        with ThreadPoolExecutor(WRITERS) as pool:
+            # the tables derive from staged frames and published loads only, so their order is free
+            for written in [pool.submit(store.append, name, new[name], load) for name in WRITE_ORDER]:
+                written.result()
         store.log(deadletter.error_rows(failures, f"{extractor_type}_extractor"))
+        store.publish(load)

@@ -166,6 +166,17 @@ SKILL_KINDS = {
     "nice_to_have_skills": ("job_nice_to_have_skills", "nice_to_have_skill_id", "nice_to_have"),
 }
 
+#: Tables that a load fills together: readers see all of a load or nothing.
+STAR = (
+    "companies", "states", "cities", "contract_types", "hard_skills", "soft_skills", "nice_to_have_skills",
+    "job_hard_skills", "job_soft_skills", "job_nice_to_have_skills", "jobs",
+)
+
+LOAD = T.StructType([
+    T.StructField("load", T.StringType()),
+    T.StructField("replaces", T.ArrayType(T.StringType())),
+])
+
 VERSION = T.StructType([T.StructField("version", T.LongType())])
 
 TABLES = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.plans.extraction import extract_and_load
 from postmill.plans.ingest import run_path
+from postmill.session import delete
 from postmill.sources import pages
 from postmill.sources.tables import Store
 
@@ -65,14 +66,75 @@ def daily_count_stream(mentions: DataFrame, counts: str, checkpoint: str, **trig
     )
 
 
+#: Batches that are kept apart before they are merged.
+MERGE_EVERY = 64
+_COUNTS = "period date, technology string, count bigint"
+
+
+def _ids(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Values of the folders `name=` below a path, without reading their files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
+
+
+def _merged(spark: SparkSession, counts: str) -> list[int]:
+    """Last batches of the complete merged counts; the last one holds all that came before."""
+    complete = spark._jvm.org.apache.hadoop.fs.Path
+    files = complete(counts).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [n for n in _ids(spark, f"{counts}/merged", "until") if files.exists(complete(f"{counts}/merged/until={n}/_SUCCESS"))]
+
+
+def _sum(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("period", "technology").agg(F.sum("count").alias("count"))
+
+
+def _parts(spark: SparkSession, counts: str) -> tuple[list[DataFrame], list[int]]:
+    """The newest merged counts and the batches after them, and the ids of those."""
+    until = _merged(spark, counts)[-1:]
+    later = [n for n in _ids(spark, f"{counts}/batches", "batch") if not until or n > until[0]]
+    paths = [f"{counts}/merged/until={n}" for n in until] + [f"{counts}/batches/batch={n}" for n in later]
+    return [spark.read.schema(_COUNTS).parquet(*paths)] if paths else [], later
+
+
 def add_daily_counts(new: DataFrame, counts: str, batch_id: int) -> None:
-    """Write the counts of one batch in place of what the batch wrote before."""
+    """Write the counts of one batch in place of what the batch wrote before, and merge when many are apart.
+
+    A batch that is already merged is left as it is: batches come in order, and a repeated one has the same rows.
+    """
+    spark = new.sparkSession
+    if batch_id <= max(_merged(spark, counts), default=-1):
+        return
     dated = new.where(F.col("published_date").isNotNull())
     added = dated.groupBy(F.to_date("published_date").alias("period"), "technology").agg(F.count("*").alias("count"))
-    added.write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+    added.write.mode("overwrite").parquet(f"{counts}/batches/batch={batch_id}")
+    if len(_ids(spark, f"{counts}/batches", "batch")) >= 2 * MERGE_EVERY:
+        merge_daily_counts(spark, counts)
+
+
+def merge_daily_counts(spark: SparkSession, counts: str) -> None:
+    """Add all batches to the merged counts.
+
+    The new counts count once complete; until then readers take the old ones. What the last but one merge
+    replaced is deleted only now, so that who read it could end.
+    """
+    parts, later = _parts(spark, counts)
+    if not later:
+        return
+    before = _merged(spark, counts)
+    _sum(parts).coalesce(1).write.mode("overwrite").parquet(f"{counts}/merged/until={later[-1]}")
+    for n in _ids(spark, f"{counts}/batches", "batch"):
+        if before and n <= before[-1]:
+            delete(spark, f"{counts}/batches/batch={n}")
+    for n in before[:-1]:
+        delete(spark, f"{counts}/merged/until={n}")
 
 
 def live_daily_counts(spark: SparkSession, counts: str) -> DataFrame:
     """The counts so far: one row per day and technology."""
-    added = spark.read.schema("period date, technology string, count bigint").parquet(counts)
-    return added.groupBy("period", "technology").agg(F.sum("count").alias("count"))
+    parts, _ = _parts(spark, counts)
+    return _sum(parts or [spark.createDataFrame([], _COUNTS)])

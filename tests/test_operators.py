@@ -353,3 +353,92 @@ def test_a_version_without_rows_is_the_newest(spark):
     assert store.read("search_terms").count() == 0
     store.replace("search_terms", terms.withColumn("term", F.lit("data")))
     assert [r.term for r in store.read("search_terms").collect()] == ["data"]
+
+
+def _posts_to_load(spark, ids):
+    rows = [(i, f"Vaga {i}", "<p>Python e Django, proatividade, R$ 5.000 CLT</p>", i % 3, f"Empresa {i % 3}", "PE", "Recife") for i in ids]
+    given = "id bigint, name string, description string, company_id bigint, career_page_name string, state string, city string"
+    return empty_table(spark, "jobs_posts").unionByName(spark.createDataFrame(rows, given), allowMissingColumns=True)
+
+
+def _counts(store):
+    return {name: store.read(name).count() for name in schema.STAR}
+
+
+@pytest.mark.parametrize("writes", [0, 3, len(schema.STAR)])
+def test_a_killed_load_is_not_seen(spark, monkeypatch, writes):
+    """A run that dies after some or all of its writes shows the old star; the next one loads everything once."""
+    store = Store(spark, scratch_path(spark, "store"))
+    store.append("jobs_posts", _posts_to_load(spark, range(4)))
+    extract_and_load(store)
+    before = _counts(store)
+    assert before["jobs"] == 4 and before["job_hard_skills"] > 0
+    store.append("jobs_posts", _posts_to_load(spark, range(4, 9)))
+    done, append, publish = [], Store.append, Store.publish
+
+    def dying(self, name, rows, load=None):
+        if name in schema.STAR and len(done) >= writes:
+            raise RuntimeError("killed")
+        done.append(name)
+        append(self, name, rows, load)
+
+    def unpublished(self, load, replaces=()):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(Store, "append", dying)
+    monkeypatch.setattr(Store, "publish", unpublished)
+    with pytest.raises(RuntimeError, match="killed"):
+        extract_and_load(store)
+    assert _counts(store) == before
+    monkeypatch.setattr(Store, "append", append)
+    monkeypatch.setattr(Store, "publish", publish)
+    extract_and_load(store)
+    after = _counts(store)
+    assert after["jobs"] == 9 and after["job_hard_skills"] == before["job_hard_skills"] // 4 * 9
+    assert {n: after[n] for n in ("states", "cities", "hard_skills", "soft_skills")} == {n: before[n] for n in ("states", "cities", "hard_skills", "soft_skills")}
+    extract_and_load(store)
+    assert _counts(store) == after
+
+
+def test_merged_loads_hold_the_same_rows(spark):
+    store = Store(spark, scratch_path(spark, "store"))
+    for ids in (range(3), range(3, 5)):
+        store.append("jobs_posts", _posts_to_load(spark, ids))
+        extract_and_load(store)
+    before = {name: sorted(map(str, store.read(name).collect())) for name in schema.STAR}
+    lost = store.new_load()
+    store.append("states", spark.createDataFrame([(1, "never published")], "id bigint, name string"), lost)
+    merged = store.merge_loads()
+    assert store.loads() == [merged] and store.merge_loads() is None
+    store.vacuum()
+    assert {name: sorted(map(str, store.read(name).collect())) for name in schema.STAR} == before
+    assert "never published" not in {r.name for r in spark.read.parquet(store.path("states")).collect()}
+
+
+def test_members_with_one_hash_get_ids_of_their_own(spark, monkeypatch):
+    """Hashes of three values only: clashes among new members and with stored ones are resolved, and ids stay."""
+    plain = dimensions.member_id
+    monkeypatch.setattr(dimensions, "member_id", lambda keys, attempt=0: plain(keys, attempt) if attempt else F.pmod(F.xxhash64(*keys), F.lit(3)))
+    names = spark.createDataFrame([(f"name {i}",) for i in range(20)], "name string")
+    empty = spark.createDataFrame([], "id bigint, name string")
+    first = dimensions.get_or_create(empty, names.where("name < 'name 15'")).collect()
+    first = spark.createDataFrame(first, "id bigint, name string")
+    both = dimensions.get_or_create(first, names).collect()
+    assert len({r.id for r in both}) == len({r.name for r in both}) == len(both) == 20
+    assert {tuple(r) for r in first.collect()} <= {tuple(r) for r in both}
+
+
+def test_a_thousand_batches_leave_few_folders(spark, monkeypatch):
+    """Counts stay right through merges, with a batch repeated before and after one."""
+    monkeypatch.setattr(streams, "MERGE_EVERY", 3)
+    counts = scratch_path(spark, "daily")
+    day = datetime(2024, 1, 1)
+    for batch in range(20):
+        rows = spark.createDataFrame([(day + timedelta(days=batch % 4), "Python"), (day, f"T{batch % 2}"), (None, "X")], "published_date timestamp_ntz, technology string")
+        for _ in range(2 if batch in (4, 7) else 1):
+            streams.add_daily_counts(rows, counts, batch)
+        if batch == 15:
+            streams.add_daily_counts(spark.createDataFrame([(day, "T0")], "published_date timestamp_ntz, technology string"), counts, 2)
+    got = {(r.period.day, r.technology): r["count"] for r in streams.live_daily_counts(spark, counts).collect()}
+    assert got == {(d + 1, "Python"): 5 for d in range(4)} | {(1, "T0"): 10, (1, "T1"): 10}
+    assert len(streams._ids(spark, f"{counts}/batches", "batch")) <= 6 and len(streams._ids(spark, f"{counts}/merged", "until")) <= 2
