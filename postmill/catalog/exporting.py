@@ -29,6 +29,16 @@ def post_csv(spark, sf):
     return lines.withColumn("place", place).join(before, "file").select((F.col("before") + F.col("place")).alias("n"), "line")
 
 
+def post_csv_of_documents(spark, sf):
+    """Posts with whole documents as descriptions, line breaks and quotes included, exported and read as CSV again."""
+    path = scratch_path(spark, "document-posts-csv")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("_text"))
+    rows = posts(spark, sf).join(texts, "id").withColumn("description", F.concat("_text", F.lit('\n"fim"'))).drop("_text")
+    exports.write_csv(exports.post_csv_rows(rows), path)
+    read = spark.read.csv(path, header=True, multiLine=True, escape='"', lineSep="\n", schema=", ".join(f"{c} string" for c in exports.POST_CSV_COLUMNS))
+    return read.select(F.col("id").cast("bigint").alias("id"), "name", F.md5("description").alias("digest"), "published_date", "city", "skills")
+
+
 def job_csv(spark, sf):
     path = scratch_path(spark, "jobs-csv")
     exports.write_csv(exports.job_csv_rows(listings._records(spark, sf)), path)
@@ -89,6 +99,11 @@ SELECT row_number() OVER (ORDER BY published_date DESC NULLS FIRST, p.id DESC) A
   CASE WHEN o_orderstatus <> 'O' THEN '' WHEN p.id % 2 = 0 THEN 'True' ELSE 'False' END ||
   ',"[""' || o_orderpriority || '""]",' AS line
 FROM posts p"""),
+    ("post_csv_of_documents", post_csv_of_documents, f"""
+WITH {POSTS_SQL}
+SELECT id, name, md5(text || chr(10) || '"fim"') AS digest, strftime(published_date, '%Y-%m-%dT%H:%M:%S') AS published_date,
+       city, '["' || o_orderpriority || '"]' AS skills
+FROM posts JOIN documents ON doc_id = id"""),
     ("job_csv", job_csv, f"""
 WITH {STAR_SQL},
 hard AS (SELECT l_orderkey AS id, string_agg(p_name, ', ' ORDER BY p_name) AS names, count(*) AS n

@@ -163,17 +163,24 @@ def failing_extractor(spark, sf):
     return loaded.unionByName(errors)
 
 
-def custom_column_extractor(spark, sf):
-    """Features from model responses, built with column expressions only."""
+def _sized(description):
+    """Features of a made-up model response that tells the length of the description."""
+    return responses.response_features(
+        F.concat(F.lit('{"job_title": "Dev", "hard_skills": ["sql", "SQL", "go"], "experiencia_anos": '),
+                 F.length(description) % 9, F.lit("}"))
+    )
 
-    def extractor(description):
-        return responses.response_features(
-            F.concat(F.lit('{"job_title": "Dev", "hard_skills": ["sql", "SQL", "go"], "experiencia_anos": '),
-                     F.length(description) % 9, F.lit("}"))
-        )
 
+def custom_column_extractor_of_documents(spark, sf):
+    """Features of whole documents by column expressions."""
+    fields = extraction.job_fields(extraction.with_custom_features(_described(spark, sf), _sized), "llm")
+    return fields.select("id", "extractor_type", "years_experience", F.array_join("hard_skills", ", ").alias("hard_skills"), F.md5("description").alias("digest"))
+
+
+def custom_column_extractor(spark, sf):
+    """Features from model responses, built with column expressions only."""
     rows = posts(spark, sf).withColumn("description", F.col("name"))
-    fields = extraction.job_fields(extraction.with_custom_features(rows, extractor), "llm")
+    fields = extraction.job_fields(extraction.with_custom_features(rows, _sized), "llm")
     return fields.select(
         "id", "job_title", "extractor_type", "years_experience", "contract_type",
         F.array_join("hard_skills", ", ").alias("hard_skills"), F.array_join("tech_stack", ", ").alias("tech_stack"),
@@ -336,6 +343,9 @@ FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x
       FROM (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN text ELSE '' END AS text FROM documents) WHERE NOT contains(text, '|'))
 UNION ALL SELECT 'error', doc_id, 'custom_extractor', CAST(length(text) AS INTEGER)
 FROM documents WHERE doc_id % 17 <> 0 AND contains(text, '|')"""),
+    ("custom_column_extractor_of_documents", custom_column_extractor_of_documents, """
+SELECT doc_id AS id, 'llm' AS extractor_type, CAST(coalesce(length(said), 0) % 9 AS INTEGER) AS years_experience, 'sql, Go' AS hard_skills, md5(said) AS digest
+FROM (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN text END AS said FROM documents)"""),
     ("custom_column_extractor", custom_column_extractor, """
 SELECT o_orderkey AS id, 'Dev' AS job_title, 'llm' AS extractor_type,
        CAST(length('Vaga ' || o_orderkey) % 9 AS INTEGER) AS years_experience, 'CLT' AS contract_type,

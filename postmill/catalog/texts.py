@@ -1,9 +1,11 @@
 """Registered text features, coercions and model responses."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from postmill.catalog.adapter import WITH_FEATURES, long_adverts, posts, table, text_table
-from postmill.functions import coerce, responses, stacks, text
+from postmill.functions import coerce, responses, stacks, text, vocab
 from postmill.plans.extraction import with_text_features
 
 
@@ -91,6 +93,64 @@ def _planted(spark, sf, spellings):
     return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("Busca-se: "), chosen, F.lit(", para "), "p_name", F.lit(".")).alias("text"))
 
 
+def _spellings_of(pattern):
+    """Texts that a vocabulary pattern stands for: every optional part with and without, white space as one blank."""
+    texts, at = [""], 0
+    while at < len(pattern):
+        if pattern.startswith("(?:", at):
+            end = next(i for i in range(at, len(pattern)) if pattern[at : i + 1].count("(") == pattern[at : i + 1].count(")"))
+            parts = [s for p in pattern[at + 3 : end].split("|") for s in _spellings_of(p)]
+            at = end + 1
+        elif pattern[at] == "[":
+            end = pattern.index("]", at)
+            parts, at = [pattern[at + 1]], end + 1
+        elif pattern[at] == "\\":
+            parts, at = [{"s": " ", "d": "5"}.get(pattern[at + 1], pattern[at + 1])], at + 2
+        else:
+            parts, at = [pattern[at]], at + 1
+        if pattern[at : at + 1] in ("?", "*"):
+            parts, at = ["", *parts], at + 1
+        elif pattern[at : at + 1] == "+":
+            at += 1
+        texts = [t + p for t in texts for p in parts]
+    return texts
+
+
+def _technology_cases():
+    """Every spelling of every technology in three cases of letters, with the labels that reading it word by word gives."""
+    order = "|".join(f"(?:{p})" for p in vocab.TECHNOLOGIES)
+    whole = re.compile(rf"(?<![^\W])(?:{order})(?![^\W])", re.I)
+    out = {}
+    for spelled in dict.fromkeys(s for p in vocab.TECHNOLOGIES for s in _spellings_of(p)):
+        for written in (spelled, spelled.upper(), spelled.lower()):
+            keys = [vocab.ALIASES.get(m[0].lower(), m[0].lower()) for m in whole.finditer(written)]
+            names = {k: vocab.LABELS.get(k, m[0].upper() if len(m[0]) <= 2 else m[0]) for k, m in zip(keys, whole.finditer(written))}
+            out[written] = ", ".join(sorted(names.values()))
+    return out
+
+
+def _labelled(name):
+    """The label of an alias or canonical name, by plain lookups; unlisted ones are upper-cased where the query spells them so."""
+    return vocab.LABELS[vocab.ALIASES.get(name, name)]
+
+
+def planted_technologies(spark, sf):
+    """Labels of every spelling of every technology, planted in sentences about parts and their sizes."""
+    cases = list(_technology_cases())
+    chosen = F.get(F.array(*[F.lit(s) for s in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
+    sentences = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("Busca-se: "), chosen, F.lit(", para "), F.col("p_size").cast("string")).alias("text"))
+    found = text.labels_of(text.one_per_canonical(text.technologies(F.col("text"))))
+    return sentences.select("p_partkey", F.array_join(found, ", ").alias("labels"))
+
+
+def planted_names(spark, sf):
+    """Labels of every alias and every canonical name, as a response may spell them."""
+    names = [*vocab.ALIASES, *vocab.LABELS]
+    chosen = F.get(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names)).cast("int"))
+    spelled = F.when(F.col("p_size") % 2 == 0, F.upper(chosen)).otherwise(F.concat(F.lit(" "), chosen))
+    return table(spark, sf, "part").select("p_partkey", text.label(spelled).alias("label"))
+
+
 def planted_soft_skills(spark, sf):
     found = text.soft_skills(F.col("text"))
     return _planted(spark, sf, _SOFT_SPELLINGS).select("p_partkey", F.array_join(found, ", ").alias("soft"))
@@ -368,6 +428,12 @@ SELECT id, array_to_string(hits, ', ') AS hits, array_to_string(list_sort(list_d
 FROM hits"""),
     ("nice_to_have", nice_to_have, f"{WITH_FEATURES} SELECT id, array_to_string(nice, ', ') AS nice FROM features"),
     ("soft_skills", soft_skills, f"{WITH_FEATURES} SELECT id, array_to_string(soft, ', ') AS soft FROM features"),
+    ("planted_technologies", planted_technologies, f"""
+SELECT p_partkey, ([{", ".join("'" + labels + "'" for labels in _technology_cases().values())}])[p_partkey % {len(_technology_cases())} + 1] AS labels
+FROM part"""),
+    ("planted_names", planted_names, f"""
+SELECT p_partkey, ([{", ".join("'" + _labelled(n) + "'" for n in (*vocab.ALIASES, *vocab.LABELS))}])[p_partkey % {len(vocab.ALIASES) + len(vocab.LABELS)} + 1] AS label
+FROM part"""),
     ("planted_soft_skills", planted_soft_skills, f"""
 SELECT p_partkey, ([{", ".join(f"'{s}'" for s in _SOFT_SPELLINGS)}])[p_partkey % {len(_SOFT_SPELLINGS)} + 1] AS soft FROM part"""),
     ("planted_seniorities", planted_seniorities, f"""
