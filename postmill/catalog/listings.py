@@ -37,6 +37,11 @@ def post_page_of_any_size(spark, sf):
     return listing.page_of(_posts(spark, sf), listing.post_ordering("workplace_type", "ASC"), 2, 500)
 
 
+def post_page_at_depth(spark, sf):
+    """A page far down, for which one range of the keys is sorted."""
+    return listing.page_at_depth(_posts(spark, sf), "workplace_type", "asc", page=12, page_size=100)
+
+
 def post_page_after_key(spark, sf):
     """Keyset page after post 40 in name order."""
     return listing.page_after(_posts(spark, sf), "name", "Vaga 40", 40, "asc", 25)
@@ -179,6 +184,9 @@ ORDER BY workplace_type ASC NULLS LAST, id ASC LIMIT 100 OFFSET 12900"""),
     ("post_page_of_any_size", post_page_of_any_size, f"""
 WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts
 ORDER BY workplace_type ASC NULLS LAST, id ASC LIMIT 500 OFFSET 500"""),
+    ("post_page_at_depth", post_page_at_depth, f"""
+WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts
+ORDER BY workplace_type ASC NULLS LAST, id ASC LIMIT 100 OFFSET 1100"""),
     ("post_page_after_key", post_page_after_key, f"""
 WITH {POSTS_SQL} SELECT {_POST_COLUMNS} FROM posts WHERE name > 'Vaga 40' ORDER BY name, id LIMIT 25"""),
     ("post_page_metadata", post_page_metadata, f"""

@@ -10,7 +10,7 @@ from postmill.sources.tables import Store
 from postmill.streaming import jobs
 
 
-def _ingested(spark, sf, files, files_per_batch):
+def _ingested(spark, sf, files, files_per_batch, settle_every=20):
     """Posts stored from landed pages; the run is drained and closed twice, the second time to no effect."""
     landing = scratch_path(spark, "landing")
     lines = ingesting.page_documents(spark, sf)
@@ -19,7 +19,7 @@ def _ingested(spark, sf, files, files_per_batch):
     store.replace("search_terms", ingesting._terms(spark, sf).withColumn("is_active", F.lit(True)))
     checkpoint = scratch_path(spark, "checkpoint")
     for _ in range(2):
-        jobs.ingest_stream(store, landing, checkpoint, "first", files_per_batch).awaitTermination()
+        jobs.ingest_stream(store, landing, checkpoint, "first", files_per_batch, settle_every).awaitTermination()
     close_run(store, "first")
     # another checkpoint folder: the same files are read again
     jobs.ingest_stream(store, landing, scratch_path(spark, "checkpoint"), "second").awaitTermination()
@@ -37,6 +37,11 @@ def streamed_ingest_small_batches(spark, sf):
     return _ingested(spark, sf, 8, 1)
 
 
+def settled_ingest(spark, sf):
+    """Terms are settled after every batch of a run, and the rest is stored when it is closed."""
+    return _ingested(spark, sf, 4, 1, settle_every=1)
+
+
 def streamed_extraction(spark, sf):
     """New posts through the extraction stream; jobs per contract type and skill counts."""
     store = Store(spark, scratch_path(spark, "store"))
@@ -76,6 +81,7 @@ SELECT event_id AS id, 'Vaga ' || event_id AS name, ts AS published_date FROM so
 QUERIES = [
     ("streamed_ingest", streamed_ingest, _INGESTED_SQL),
     ("streamed_ingest_small_batches", streamed_ingest_small_batches, _INGESTED_SQL),
+    ("settled_ingest", settled_ingest, _INGESTED_SQL),
     ("streamed_extraction", streamed_extraction, f"""
 {WITH_FEATURES} SELECT contract_type AS name, count(*) AS n, CAST(sum(amount) AS BIGINT) AS salary FROM features GROUP BY 1"""),
     ("streamed_daily_counts", streamed_daily_counts, """

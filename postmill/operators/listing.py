@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill import schema
+from postmill.session import stage
 
 POST_SORTS = {
     "id": "id",
@@ -169,7 +170,7 @@ def term_ordering():
 def page_of(rows: DataFrame, order_by, page: int = 1, page_size: int = 20) -> DataFrame:
     """One page by offset, of exactly the size asked for: a distributed top-n of offset + size rows.
 
-    For deep pages use `page_after`, whose cost does not grow with depth.
+    For deep pages use `page_after`, or `page_at_depth` where no earlier row is known.
     """
     return rows.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
 
@@ -193,6 +194,32 @@ def page_after(rows: DataFrame, column: str, last_value, last_id: int, order: st
     return rows.where(rest).orderBy(*order_by).limit(page_size)
 
 
+def page_at_depth(
+    rows: DataFrame, column: str, order: str = "desc", page: int = 1, page_size: int = 20, partitions: int | None = None
+) -> DataFrame:
+    """One page by offset at any depth, in the order of `ordering` by `column`; no task sorts more than a range of rows.
+
+    Only the sort key and the id are dealt into ranges, and written once, so that counts and ranks see the same
+    ones. Counts per range tell which of them hold the page, and only those are sorted. `id` must be unique.
+    """
+    spark = rows.sparkSession
+    by = ordering(column, {column: column}, column, order)
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(*dict.fromkeys([column, "id"]))
+    placed = stage(keys.repartitionByRange(partitions, *by).withColumn("_part", F.spark_partition_id()), "page-keys")
+    # as many rows as there are ranges
+    counts = sorted((row._part, row["count"]) for row in placed.groupBy("_part").count().collect())
+    start, before, parts, skipped = (page - 1) * page_size, 0, [], 0
+    for part, n in counts:
+        if before + n <= start:
+            skipped = before + n
+        elif before < start + page_size:
+            parts.append(part)
+        before += n
+    inside = placed.where(F.col("_part").isin(parts)).orderBy(*by).offset(start - skipped).limit(page_size)
+    return rows.join(inside.select("id"), "id", "left_semi").orderBy(*by)
+
+
 def page_info(rows: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     """One row of paging metadata for a filtered frame."""
     counted = rows.agg(F.count("*").alias("total_items"))

@@ -77,6 +77,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a path of the shared file system; none where it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in files.listStatus(folder)) if files.exists(folder) else []
+
+
 @contextmanager
 def staging(spark: SparkSession):
     """Staged tables that are deleted at the end: yields a function like `stage`."""

@@ -1,29 +1,37 @@
 """Continuous ingest, incremental extraction and live daily counts.
 
 No stream keeps operator state: the stored tables are the state, and a repeated
-batch replaces itself or is dropped by an anti-join.
+batch replaces itself, is known as merged, or adds no pending post.
 """
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.plans.extraction import extract_and_load
-from postmill.plans.ingest import run_path
-from postmill.session import delete
+from postmill.plans.ingest import add_pages, settle_run
+from postmill.session import delete, folders
 from postmill.sources import pages
 from postmill.sources.tables import Store
 
 
-def ingest_stream(store: Store, landing: str, checkpoint: str, run: str, files_per_batch: int = 1000, **trigger):
+def ingest_stream(
+    store: Store, landing: str, checkpoint: str, run: str, files_per_batch: int = 1000, settle_every: int = 20, **trigger
+):
     """Collect pages of a run as they land; `availableNow=True` drains and stops.
 
-    Micro-batches only add their pages to the run, under their batch id, so a
-    repeated batch replaces itself. `close_run` then cuts, de-duplicates and
+    Micro-batches add their pages to the run, under their checkpoint and batch id, so a
+    repeated batch replaces itself and another stream replaces nothing. After every `settle_every` batches the posts of terms that no later
+    page can change are stored. `close_run` then cuts, de-duplicates and
     stores over the whole run: batch sizes have no influence on what is stored.
     """
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(landed: DataFrame, batch_id: int) -> None:
-        landed.write.mode("overwrite").parquet(f"{run_path(store, run)}/batch={batch_id}")
+        add_pages(store, run, landed, f"{own}-{batch_id}")
+        if (batch_id + 1) % settle_every == 0:
+            settle_run(store, run)
 
     landed = pages.stream_pages(store.spark, landing, files_per_batch)
     return (
@@ -73,17 +81,12 @@ _COUNTS = "period date, technology string, count bigint"
 
 def _ids(spark: SparkSession, path: str, name: str) -> list[int]:
     """Values of the folders `name=` below a path, without reading their files."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
-    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
+    return sorted(int(n.removeprefix(f"{name}=")) for n in folders(spark, path) if n.startswith(f"{name}="))
 
 
 def _merged(spark: SparkSession, counts: str) -> list[int]:
     """Last batches of the complete merged counts; the last one holds all that came before."""
-    complete = spark._jvm.org.apache.hadoop.fs.Path
-    files = complete(counts).getFileSystem(spark._jsc.hadoopConfiguration())
-    return [n for n in _ids(spark, f"{counts}/merged", "until") if files.exists(complete(f"{counts}/merged/until={n}/_SUCCESS"))]
+    return [n for n in _ids(spark, f"{counts}/merged", "until") if "_SUCCESS" in folders(spark, f"{counts}/merged/until={n}")]
 
 
 def _sum(parts: list[DataFrame]) -> DataFrame:

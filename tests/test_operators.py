@@ -267,6 +267,39 @@ def test_cut_pages_are_named_by_text_or_path(spark):
     assert found == {("dev", 2, "lost"), ("data lead", 7, "lost")}
 
 
+def test_settled_terms_are_stored_while_a_run_is_open(spark):
+    """The newest terms' posts are stored as soon as known ones are reached without a gap; closing gives the same as one batch."""
+    from postmill.plans.ingest import add_pages, settle_run
+    from postmill.sources import pages
+
+    def read(lines):
+        return pages.read_pages(spark, _land(spark, lines))
+
+    terms = [(1, "old", True, datetime(2024, 1, 5)), (2, "mid", True, datetime(2024, 1, 5)), (3, "new", True, datetime(2024, 1, 5))]
+    first = [_page("new", 2, [_row(11, 8), _row(12, 4)]), _page("mid", 1, [_row(21, 9), _row(22, 3)]), _page("old", 1, [_row(21, 9), _row(31, 1)])]
+    second, third = [_page("new", 1, [_row(10, 9)])], [_page("old", 2, [_row(32, 1)])]
+    stores = [Store(spark, scratch_path(spark, "store")) for _ in range(2)]
+    for store in stores:
+        store.replace("search_terms", spark.createDataFrame(terms, schema.SEARCH_TERM))
+    store, plain = stores
+
+    def stored(store):
+        return sorted(r.id for r in store.read("jobs_posts").collect())
+
+    add_pages(store, "r", read(first), "a-0")
+    settle_run(store, "r")
+    assert stored(store) == []  # page 1 of the newest term is not there
+    add_pages(store, "r", read(second), "a-1")
+    settle_run(store, "r")
+    settle_run(store, "r")
+    assert stored(store) == [10, 11, 21]
+    add_pages(store, "r", read(third), "b-0")
+    close_run(store, "r")
+    ingest_pages(plain, read(first + second + third))
+    assert stored(store) == stored(plain) == [10, 11, 21]
+    assert {r.term for r in store.read("search_terms").where("last_scraped_at > timestamp_ntz '2024-02-01'").collect()} == {"old", "mid", "new"}
+
+
 def test_csv_bytes(spark):
     posts = empty_table(spark, "jobs_posts").unionByName(
         spark.createDataFrame(

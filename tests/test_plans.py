@@ -67,3 +67,17 @@ def test_pending_posts_exchange_ids_only(spark):
     text = plan(extraction.pending_ids(store.read("jobs_posts"), known))
     assert "description" not in text
     assert extraction.pending_posts(store.read("jobs_posts"), known).count() == 30
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_at_depth_sort_single_ranges(spark, order):
+    """Pages of any depth, with nulls and ties across ranges; the rows that are sorted lie in few ranges."""
+    from postmill.operators import listing
+
+    rows = spark.range(500).selectExpr("id", "case when id % 7 <> 0 then id % 5 end as kind", "repeat('x', 50) as body")
+    by = listing.ordering("kind", {"kind": "kind"}, "kind", order)
+    whole = [r.id for r in rows.orderBy(*by).collect()]
+    for page in (1, 2, 9, 13, 14, 40):
+        got = listing.page_at_depth(rows, "kind", order, page, 39, partitions=8)
+        assert [r.id for r in got.collect()] == whole[(page - 1) * 39 : page * 39]
+    assert listing.page_at_depth(rows.where("false"), "kind", order, 1, 5).collect() == []
