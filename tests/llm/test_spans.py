@@ -203,6 +203,41 @@ def test_languages(spark):
     assert got[None].held_out is False and got[None].lang_pred == "fr"
 
 
+def plain_profile(text_list):
+    """Slots of n-grams of one to three bytes by falling count, ties by slot, counted one by one."""
+    counts = {}
+    for body in text_list:
+        fold = [b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 128 else 32 for b in body.encode()]
+        for size in (1, 2, 3):
+            for at in range(len(fold) - size + 1):
+                gram = fold[at : at + size]
+                if gram[0] == gram[-1] == 32:
+                    continue
+                value = int.from_bytes(bytes(gram), "big") ^ size << 28
+                slot = (value * 2654435761 & 0xFFFFFFFF) >> 19
+                counts[slot] = counts.get(slot, 0) + 1
+    return [slot for slot, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))][: language.PROFILE]
+
+
+def test_languages_by_plain_out_of_place_distance(spark):
+    """Every prediction and score is that of profiles compared one rank after the other."""
+    rows = [(i, spoken(lang, 40 + i), lang, "a") for i in range(60) for lang in [sorted(SYLLABLES)[i % 3]]]
+    rows += [(100 + i, f"{spoken('de', i)[: 10 * i]} {spoken('fr', i)[: 100 - 10 * i]}", None, "a") for i in range(11)]
+    learnt = {lang: plain_profile([t for d, t, own, _ in rows if own == lang and zlib.crc32(str(d).encode()) % 4 != 2]) for lang in SYLLABLES}
+    want = {}
+    for doc, text, *_ in rows:
+        mine = plain_profile([text])
+        away = {
+            lang: sum(abs((profile.index(slot) if slot in profile else language.PROFILE) - place) for place, slot in enumerate(mine))
+            for lang, profile in learnt.items()
+        }
+        best = min(sorted(away), key=away.get)
+        most = sum(max(place, language.PROFILE - place) for place in range(len(mine)))
+        want[doc] = (best, pytest.approx(1 - away[best] / most))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = [(i, spoken("en", i), "en" if zlib.crc32(str(i).encode()) % 4 != 2 else "wrong", "b") for i in range(60)]
     assert {r.lang_pred for r in language.language_id(documents(spark, rows)).collect()} == {"en"}
