@@ -10,11 +10,9 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.binding import let
-from postmill.llm.decontaminate import words
 from postmill.llm.scratch import Scratch
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -27,42 +25,34 @@ TOLERANCE = 1e-3
 PATIENCE = 10
 #: Steps of an octave in which ratios are counted when a scale is sought, and the octaves.
 STEPS, LOWEST, HIGHEST = 512, -20, 40
-#: Topics are told by this many words, of some letters, that stand in this share of the documents at least (and in two).
-TOPICS, LETTERS, TOPIC_SHARE = 24, 4, 0.002
+#: Topics are told by this many words, of some letters, that stand in this share of the documents at most (and in two at least).
+TOPICS, LETTERS, TOPIC_SHARE = 24, 4, 0.05
+#: Rounds of raking that are planned together and written as one table.
+STRIDE = 3
 #: Goals that are named in a message.
 LOGGED = 20
 
 log = logging.getLogger(__name__)
 
 
-def topic_words(docs: DataFrame) -> list[str]:
-    """The words that tell topics, learnt from all of `docs`: those that come back most often within the documents that have them.
+def topic_words(docs: DataFrame, share: float = TOPIC_SHARE) -> list[str]:
+    """The words that tell topics, learnt from all of `docs`: the most widespread of those that are not general.
 
-    Every word is counted once for each time it stands and once for each document. A word counts as
-    one of a topic if enough documents hold it. Ties go to the lesser word.
+    A word counts once for each document; one that stands in more than `share` of the documents tells no topic.
+    Words are runs of letters and other signs between blanks, as they are written. Ties go to the lesser word.
     """
-    least = max(2.0, TOPIC_SHARE * docs.count())
-
-    def marks(w: Column) -> Column:
-        return F.concat(
-            F.transform(w, lambda x: F.struct(x.alias("word"), F.lit(0).alias("held"))),
-            F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("word"), F.lit(1).alias("held"))),
-        )
-
-    marked = docs.select(F.explode(let(words(F.col("text")), marks)).alias("m")).where(F.char_length("m.word") >= LETTERS)
-    counts = marked.groupBy("m.word").agg(F.count("*").alias("both"), F.sum("m.held").alias("held"))
-    told = counts.where(F.col("held") >= least).withColumn("often", (F.col("both") - F.col("held")) / F.col("held"))
-    return [row.word for row in told.orderBy(F.desc("often"), "word").limit(TOPICS).collect()]
+    most = max(2.0, share * docs.count())
+    told = docs.select(F.explode(F.array_distinct(F.split("text", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    told = told.where((F.col("n") >= 2) & (F.col("n") <= most) & F.col("word").rlike(f"^\\p{{L}}{{{LETTERS},}}$"))
+    return [row.word for row in told.orderBy(F.desc("n"), "word").limit(TOPICS).collect()]
 
 
 def topic(text: Column, told: list[str]) -> Column:
-    """The word of `told` that stands most often in a text (of ties the greatest); 'other' without one, 'empty' without words."""
-    def most(w: Column) -> Column:
-        present = F.array_intersect(w, F.array(*map(F.lit, told)).cast("array<string>"))
-        ranked = F.transform(present, lambda p: F.struct(F.size(F.filter(w, lambda x: x == p)).alias("n"), p.alias("word")))
-        return F.when(F.size(w) == 0, "empty").otherwise(F.coalesce(F.array_max(ranked).word, F.lit("other")))
-
-    return let(words(text), most)
+    """The first word of `told` that a text holds; 'other' without one, 'empty' for a null or empty text."""
+    kind = F.when(text.isNull() | (text == ""), "empty")
+    for word in told:
+        kind = kind.when(F.contains(text, F.lit(word)), word)
+    return kind.otherwise("other")
 
 
 def with_topics(docs: DataFrame) -> DataFrame:
@@ -118,42 +108,54 @@ def _reachable(held: DataFrame, total: float) -> DataFrame:
     return held.select("dimension", "value", F.least(F.col("n").cast("double"), F.col("goal") * scale).alias("goal"))
 
 
+def _rounds(current: DataFrame, dimensions: list[str], count: int, bounded: bool) -> DataFrame:
+    """`count` rounds over cells that carry the goals of their values; `__off` is the worst sum of the last round before it is scaled."""
+    for turn in range(count):
+        for place, dimension in enumerate(dimensions):
+            value = Window.partitionBy(dimension)
+            full = F.lit(bounded) & (F.col("weight") >= F.col("n"))
+            n, goal = F.col("n").cast("double"), F.col(f"__goal_{dimension}")
+            current = current.withColumns({
+                "__full": F.sum(F.when(full, n).otherwise(0.0)).over(value), "__free": F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(value),
+            })
+            have = F.col("__full") + F.col("__free")
+            factor = (
+                F.when((have < goal) & (F.col("__free") > 0), (goal - F.col("__full")) / F.col("__free"))
+                .when(have < goal, 1.0).when(have > 0, goal / have).otherwise(0.0)
+            )
+            off = F.when(goal > 0, F.abs(have / goal - 1)).otherwise(0.0)
+            current = current.withColumns({
+                "weight": F.col("weight") * factor, "__off": off if place == 0 else F.greatest("__off", off),
+            }).drop("__full", "__free")
+    return current
+
+
 def rake(table: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, rounds: int | None = None, tolerance: float = TOLERANCE, bounded: bool = False) -> DataFrame:
     """`table` (cells with n) with `weight`, whose sums meet `goals` of every dimension; if `bounded`, the sums of least(n, weight).
 
-    Each round is one written table. Sums are partial in each task and joined
-    back as one row for each value; no cells are gathered. If bounded, a cell whose
+    The cells of a value meet for its sum: one for each combination of the other dimensions' values, however many documents they
+    stand for. STRIDE rounds are one written table; no cells are gathered. If bounded, a cell whose
     weight is n or more counts as n, and the others of its value share what is missing. Rounds
     end when no sum is off by more than `tolerance` of its goal, or when the worst
     one came no nearer for PATIENCE rounds, as where goals contradict each other.
     """
     current = table.withColumn("weight", F.col("n").cast("double"))
+    for dimension, goal in goals.items():
+        current = current.join(goal.select(dimension, F.col("goal").alias(f"__goal_{dimension}")), dimension)
+    current = scratch.write(current, "round-0")
     worst: list[float] = []
-    while rounds is None or len(worst) < rounds:
-        turn = len(worst)
-        for place, (dimension, goal) in enumerate(goals.items()):
-            full = F.lit(bounded) & (F.col("weight") >= F.col("n"))
-            sums = current.groupBy(dimension).agg(
-                F.sum(F.when(full, F.col("n").cast("double")).otherwise(0.0)).alias("__full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("__free")
-            ).join(goal, dimension)
-            have = F.col("__full") + F.col("__free")
-            factor = (
-                F.when((have < F.col("goal")) & (F.col("__free") > 0), (F.col("goal") - F.col("__full")) / F.col("__free"))
-                .when(have < F.col("goal"), 1.0).when(have > 0, F.col("goal") / have).otherwise(0.0)
-            )
-            off = F.when(F.col("goal") > 0, F.abs(have / F.col("goal") - 1)).otherwise(0.0)
-            off = off if place == 0 else F.greatest("__off", off)
-            current = current.join(sums, dimension).select(
-                *DIMENSIONS, "n", (F.col("weight") * factor).alias("weight"), off.alias("__off")
-            )
-        current = scratch.write(current, f"round-{turn}")
-        if turn:
-            scratch.release(f"round-{turn - 1}")
-        worst.append(current.where("n > 0").agg(F.max("__off").alias("off")).first().off or 0.0)
-        current = current.drop("__off")
-        if worst[-1] <= tolerance or turn >= PATIENCE and min(worst[-PATIENCE:]) > 0.99 * min(worst[:-PATIENCE]):
+    done = 0
+    while rounds is None or done < rounds:
+        count = STRIDE if rounds is None else min(STRIDE, rounds - done)
+        following = scratch.write(_rounds(current, list(goals), count, bounded), f"round-{done + count}")
+        scratch.release(f"round-{done}")
+        done += count
+        worst.append(following.where("n > 0").agg(F.max("__off").alias("off")).first().off or 0.0)
+        current = following.drop("__off")
+        patience = -(-PATIENCE // STRIDE)
+        if worst[-1] <= tolerance or len(worst) > patience and min(worst[-patience:]) > 0.99 * min(worst[:-patience]):
             break
-    return current
+    return current.select(*DIMENSIONS, "n", "weight")
 
 
 def _scales(table: DataFrame, group: Column, value: Column, bound: Column, totals: dict[str, float]) -> dict[str, float]:
@@ -263,7 +265,7 @@ def mixed(docs: DataFrame, table: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, cell, probability and draw of every document; repeated rows are all told, with one draw. Of ties in topic the greatest word counts."""
+    """doc_id, cell, probability and draw of every document; repeated rows are all told, with one draw. Of several topic words the most widespread counts."""
     docs = with_topics(docs.select("doc_id", "text", *DIMENSIONS[:2], *(["topic"] if "topic" in docs.columns else [])))
     out = mixed(docs, probabilities(docs))
     return out.select(

@@ -196,9 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
 
     table = rows.mapInArrow(features, "doc_id long, quality int, features binary").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("features", "ascending")]).slice(0, fit_rows)
-    joined = b"".join(table.column("features").to_pylist())
-    matrix = np.frombuffer(joined, np.float16).reshape(-1, SLOTS).astype(np.float32)
-    return fit(matrix, np.asarray(table.column("quality").to_pylist(), np.int64) > 0)
+    # row by row into the matrix, so that the features are held twice at no time
+    matrix = np.empty((table.num_rows, SLOTS), np.float32)
+    for row, body in enumerate(table.column("features")):
+        matrix[row] = np.frombuffer(body.as_buffer(), np.float16)
+    target = table.column("quality").to_numpy() > 0
+    del table
+    pa.default_memory_pool().release_unused()
+    return fit(matrix, target)
 
 
 def judge(

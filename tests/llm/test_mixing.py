@@ -134,18 +134,18 @@ def test_goals_that_contradict_each_other_end(spark):
 
 
 def test_topics_are_learnt_from_words(spark):
-    """Words that come back within their documents tell topics; words of all documents and single ones do not."""
+    """The most widespread words that are not general tell topics; general, short and single ones do not."""
     def filler(i):
-        return " ".join(f"only{i}x{k}" for k in range(20)) + " common"
+        return " ".join(f"only{i}x{k}" for k in range(20)) + " common the"
 
-    rows = [(i, f"{filler(i)} " + ("harbour ship harbour storm harbour" if i % 2 else "yeast bread yeast flour yeast"), "en", "a") for i in range(40)]
-    rows += [(100, filler(900), "en", "a"), (101, "", "en", "a"), (102, None, "en", "a"), (103, "solitary solitary solitary solitary", "en", "a")]
+    rows = [(i, f"{filler(i)} " + ("harbour ship, harbour" if i % 4 == 1 else "yeast bread, yeast" if i % 4 == 2 else "x"), "en", "a") for i in range(40)]
+    rows += [(100, "solitary", "en", "a"), (101, "", "en", "a"), (102, None, "en", "a")]
     docs = documents(spark, rows)
-    told = mixing.topic_words(docs)
-    assert told[:2] == ["harbour", "yeast"] and "solitary" not in told
-    topics = {r.doc_id: r["__topic"] for r in mixing.with_topics(docs).collect()}
-    assert {topics[i] for i in range(1, 40, 2)} == {"harbour"} and {topics[i] for i in range(0, 40, 2)} == {"yeast"}
-    assert topics[101] == topics[102] == "empty"
+    told = mixing.topic_words(docs, share=0.5)
+    assert told == ["harbour", "yeast"]
+    topics = {r.doc_id: r.t for r in docs.select("doc_id", mixing.topic(F.col("text"), told).alias("t")).collect()}
+    assert {topics[i] for i in range(1, 40, 4)} == {"harbour"} and {topics[i] for i in range(2, 40, 4)} == {"yeast"}
+    assert topics[0] == topics[100] == "other" and topics[101] == topics[102] == "empty"
     assert mixing.topic_words(documents(spark, [])) == []
 
 
