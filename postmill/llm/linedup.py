@@ -23,9 +23,13 @@ from postmill.llm.textkit import hashes, mix, owners, runs, signed
 
 #: Words that a run of lines has at least.
 MIN_WORDS = 10
+#: Runs whose names stand in more places than this are compared in PARTS parts first.
+COMMON, PARTS = 1000, 64
 #: A text, among rows of one id.
 ROW = ["doc_id", "t"]
 PLACE = [*ROW, "pos"]
+#: What tells a run of lines.
+RUN = ["need", "x", "y", "further", "chain"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -82,10 +86,10 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _named(pairs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """`pairs` whose (x, y) occurs more than once, with `name`: whole numbers in the order of (x, y)."""
-    several = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    """`pairs` whose (x, y) occurs more than once, with `name`: whole numbers in the order of (x, y), and `n`, how often it occurs."""
+    several = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
     names = scratch.write(several.orderBy("x", "y").withColumn("name", F.monotonically_increasing_id()), f"names-{label}")
-    return pairs.join(names, ["x", "y"]).drop("x", "y")
+    return pairs.drop("n").join(names, ["x", "y"]).drop("x", "y")
 
 
 def _ahead(places: DataFrame, steps) -> DataFrame:
@@ -94,6 +98,23 @@ def _ahead(places: DataFrame, steps) -> DataFrame:
     return places.withColumn("at", F.col("pos") + steps).join(there, [*ROW, "at"]).drop("at")
 
 
+def _later(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Places of `found` whose run also starts at an earlier one.
+
+    A run is in no more places than `among`, the count of its rarer half. Runs
+    that may be common have a first place in each of PARTS parts, and the least of
+    those goes back to the parts, so that no task gets all places of a run.
+    """
+    place = F.struct(*PLACE)
+    rare = found.where(F.col("among") <= COMMON)
+    first = rare.groupBy(*RUN).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    common = found.where(F.col("among") > COMMON).withColumn("part", F.pmod(F.xxhash64(*PLACE), F.lit(PARTS)))
+    parts = scratch.write(common.groupBy(*RUN, "part").agg(F.min(place).alias("first")), "parts")
+    firsts = parts.select(*RUN, "part").join(parts.groupBy(*RUN).agg(F.min("first").alias("first")), RUN)
+    both = rare.join(first, RUN).unionByName(common.join(firsts, [*RUN, "part"]).drop("part"))
+    return both.where(place > F.col("first"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, t, pos, need): places whose run of `need` lines, `min_words` words or more, also starts at an earlier place.
 
@@ -105,13 +126,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     singles = lines(docs, min_words).withColumnRenamed("line", "x").withColumnRenamed("size", "y")
     places = scratch.write(_named(singles, scratch, "1").distinct(), "places-1")
-    found = places.where("need = 1").select(*PLACE, "need", "more", F.col("name").alias("x"), F.col("name").alias("y"))
+    found = places.where("need = 1").select(*PLACE, "need", "more", F.col("name").alias("x"), F.col("name").alias("y"), F.col("n").alias("among"))
     length = 1
     while places.where(F.col("need") > length).limit(1).count():
         inner = places.where((F.col("need") > length) & (F.col("need") <= 2 * length))
-        there = places.select("doc_id", "t", F.col("pos").alias("at"), F.col("name").alias("y"))
+        there = places.select("doc_id", "t", F.col("pos").alias("at"), F.col("name").alias("y"), F.col("n").alias("m"))
         ends = inner.withColumn("at", F.col("pos") + F.col("need") - length).join(there, [*ROW, "at"])
-        found = found.unionByName(ends.select(*PLACE, "need", "more", F.col("name").alias("x"), "y"))
+        found = found.unionByName(ends.select(*PLACE, "need", "more", F.col("name").alias("x"), "y", F.least("n", "m").alias("among")))
         if not places.where(F.col("need") > 2 * length).limit(1).count():
             break
         doubled = _ahead(places, length).withColumnRenamed("name", "x")
@@ -119,11 +140,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
         places = scratch.write(_named(doubled, scratch, str(length)), f"places-{length}")
     found = scratch.write(found, "found")
     reach = F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "more")).alias("further", "chain")
-    found = found.select(*PLACE, "need", "x", "y", reach)
-    run = ["need", "x", "y", "further", "chain"]
-    first = found.groupBy(*run).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first, run).where(F.struct(*PLACE) > F.col("first"))
-    return later.select(*PLACE, (F.col("need") + F.col("further")).alias("need"))
+    found = found.select(*PLACE, "need", "x", "y", "among", reach)
+    return _later(found, scratch).select(*PLACE, (F.col("need") + F.col("further")).alias("need"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:

@@ -86,3 +86,14 @@ def test_matches_brute_force_of_maximal_runs(spark):
     want = maximal(dict(rows))
     assert result(linedup.without_repeats(documents(spark, [(*r, "en", "a") for r in rows]))) == want
     assert sum(v[1] for v in want.values()) > 100
+
+
+def test_common_runs_are_compared_by_parts(spark, monkeypatch):
+    """Lines, lone and within runs, that stand in far more places than are compared at once."""
+    monkeypatch.setattr(linedup, "COMMON", 5)
+    hot, short = prose(1, 12).replace("\n", " "), [prose(s, 4).replace("\n", " ") for s in range(20, 23)]
+    rows = [(i, "\n".join([prose(100 + i, 11), hot, *short, prose(200 + i, 3), *short[: i % 4]])) for i in range(90)]
+    rows += [(300, hot), (301, "\n".join([hot, hot])), (302, "\n".join(short)), (303, "\n".join(short * 2))]
+    want = maximal(dict(rows))
+    assert result(linedup.without_repeats(documents(spark, [(*r, "en", "a") for r in rows]))) == want
+    assert sum(v[1] for v in want.values()) > 300
