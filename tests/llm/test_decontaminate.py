@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cases import documents, edited, prose, texts
 
 from postmill.llm import decontaminate
@@ -87,3 +90,28 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(documents(spark), none).collect() == []
     assert decontaminate.clean(documents(spark), none).count() == len(texts())
+
+
+#: Shingles of items of which `missed` takes pairs.
+LENGTHS = (5, 6, 7, 8, 9, 10, 15, 20, 45, 100)
+
+
+def missed(spark, pairs):
+    """By item length, the pairs of barely enough similarity, windows as long as the item and shorter ones, with fingerprints beyond the radius."""
+    pick, rows = random.Random(11), []
+    for n in LENGTHS:
+        for i in range(pairs):
+            item = [pick.getrandbits(64) - (1 << 63) for _ in range(n)]
+            shared = -(-8 * n // 9) if i % 2 else -(-4 * n // 5)
+            rows.append((n, item, item[:shared] + ([pick.getrandbits(64) - (1 << 63) for _ in range(n - shared)] if i % 2 else [])))
+    out = spark.createDataFrame(rows, "n int, item array<long>, window array<long>")
+    apart = F.bit_count(decontaminate.fingerprint(F.col("item")).bitwiseXOR(decontaminate.fingerprint(F.col("window"))))
+    lost = out.groupBy("n").agg(F.count_if(apart > decontaminate.RADIUS).alias("lost"), F.max(apart).alias("most"))
+    return {r.n: (r.lost, r.most) for r in lost.collect()}
+
+
+def test_fingerprints_find_pairs_of_every_length(spark):
+    """At the similarity asked for, at least 99 of 100 pairs lie within the radius, short items too."""
+    found = missed(spark, 400)
+    assert sorted(found) == sorted(LENGTHS)
+    assert all(lost <= 4 for lost, _ in found.values()), found
