@@ -2,8 +2,8 @@
 
 A text is cut at each ampersand. What follows one starts with a name up to a semicolon, with a
 number, or with one of the old names that need no semicolon, of which the longest counts;
-anything else stays as it is. Names are looked up in a literal map of maps, by first letter,
-second letter and rest, so that a lookup passes few keys.
+anything else stays as it is. Names are looked up in a literal array by the code of the first letter,
+then by that of the second one, and in a map of the few rests there.
 """
 
 import html
@@ -18,29 +18,40 @@ from postmill.functions.binding import let
 #: Names that count without a semicolon, longest first.
 _OLD = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
 _OLD_PATTERN = "^(?:" + "|".join(_OLD) + ")"
+#: Names of letters and signs that most entities of adverts are. Their characters are no part of a name or number,
+#: so they end what stands before them as an ampersand does, and can be put in place first.
+_FREQUENT = (
+    "nbsp", "aacute", "acirc", "agrave", "atilde", "ccedil", "eacute", "ecirc", "iacute", "oacute", "ocirc", "otilde",
+    "uacute", "Aacute", "Atilde", "Ccedil", "Eacute", "Oacute", "bull", "ndash", "ordf",
+)
 _NUMBER_PATTERN = "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
 #: What the numbers stand for that do not stand for their own code point: controls, and a code page of old.
 _ODD = {n: html.unescape(f"&#{n};") for n in range(0xA0) if html.unescape(f"&#{n};") != chr(n)}
 
 
-def _nested() -> dict:
+def _by_code(entries: dict) -> tuple[list, int]:
+    """Values in a list by the code of their one-letter keys, and the code that the list starts with."""
+    first = min(map(ord, entries))
+    return [entries.get(chr(code)) for code in range(first, max(map(ord, entries)) + 1)], first
+
+
+def _nested() -> tuple[list, int, int]:
     out: dict = {}
     for name, value in html5.items():
         if name.endswith(";"):
             name = name[:-1]
-            out.setdefault(name[:1], {}).setdefault(name[1:2], {})[name[2:]] = value
-    return out
-
-
-def _literal(value: dict, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+            out.setdefault(name[0], {}).setdefault(name[1], {})[name[2:]] = value
+    least = min(letter for seconds in out.values() for letter in seconds)
+    rows = {letter: _by_code({least: None, **seconds})[0] for letter, seconds in out.items()}
+    return *_by_code(rows), ord(least)
 
 
 def _named(name: Column) -> Column:
     """What a name stands for, null if it is none."""
-    names = _literal(_nested(), "map<string, map<string, map<string, string>>>")
-    second = F.element_at(F.element_at(names, F.substring(name, 1, 1)), F.substring(name, 2, 1))
-    return F.element_at(second, F.substr(name, F.lit(3)))
+    names, first, second = _nested()
+    table = F.from_json(F.lit(json.dumps(names)), "array<array<map<string, string>>>")
+    rests = F.get(F.get(table, F.ascii(name) - first), F.ascii(F.substring(name, 2, 1)) - second)
+    return F.try_element_at(rests, F.substr(name, F.lit(3)))
 
 
 def _character(digits: Column, hexadecimal: Column) -> Column:
@@ -100,4 +111,10 @@ def unescape(text: Column) -> Column:
     def joined(parts: Column) -> Column:
         return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _decoded), ""))
 
-    return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&", -1), joined)).otherwise(text)
+    def rest(part_done: Column) -> Column:
+        return F.when(F.contains(part_done, F.lit("&")), let(F.split(part_done, "&", -1), joined)).otherwise(part_done)
+
+    replaced = text
+    for name in _FREQUENT:
+        replaced = F.replace(replaced, F.lit(f"&{name};"), F.lit(html5[f"{name};"]))
+    return F.when(F.contains(text, F.lit("&")), let(replaced, rest)).otherwise(text)

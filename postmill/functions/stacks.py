@@ -22,19 +22,20 @@ def coverage(canonical_skills: Column, stack: str) -> Column:
 
 
 def _covered(canonical_skills: Column, accept) -> Column:
-    """Names of the stacks whose (found, size) component counts are accepted."""
+    """Names of the stacks whose (found, size) component counts are accepted, sorted."""
     catalogue = F.array(*[
         F.struct(F.lit(stack).alias("stack"), _strings(parts).alias("parts"))
-        for stack, parts in vocab.STACKS.items()
+        for stack, parts in sorted(vocab.STACKS.items())
     ])
-    found = let(
-        canonical_skills,
-        lambda skills: F.filter(
-            catalogue,
-            lambda s: accept(F.size(F.array_intersect(skills, s["parts"])), F.size(s["parts"])),
-        ),
-    )
-    return F.sort_array(F.transform(found, lambda s: s["stack"]))
+
+    def names(skills):
+        # counted once per stack: `accept` asks for the count several times
+        counted = F.transform(catalogue, lambda s: F.struct(
+            s["stack"].alias("stack"), F.size(F.array_intersect(skills, s["parts"])).alias("found"), F.size(s["parts"]).alias("size"),
+        ))
+        return F.transform(F.filter(counted, lambda s: accept(s["found"], s["size"])), lambda s: s["stack"])
+
+    return let(canonical_skills, names)
 
 
 def complete_stacks(canonical_skills: Column) -> Column:
@@ -74,9 +75,9 @@ def all_stacks(canonical_skills: Column, cleaned: Column) -> Column:
     )
 
 
-def _components() -> Column:
+def _component_labels() -> Column:
     entries = ", ".join(
-        "'{}', array({})".format(stack, ", ".join(f"'{p}'" for p in parts)) for stack, parts in vocab.STACKS.items()
+        "'{}', array({})".format(stack, ", ".join(f"'{text.label_of(p)}'" for p in parts)) for stack, parts in vocab.STACKS.items()
     )
     return F.expr(f"map({entries})")
 
@@ -84,8 +85,7 @@ def _components() -> Column:
 def stack_skills(names: Column) -> Column:
     """Labels of the components of every listed stack; other names add nothing."""
     nothing = F.array().cast("array<string>")
-    parts = F.transform(names, lambda s: F.coalesce(F.try_element_at(_components(), s), nothing))
-    return F.transform(F.flatten(parts), text.label)
+    return F.flatten(F.transform(names, lambda s: F.coalesce(F.try_element_at(_component_labels(), s), nothing)))
 
 
 def expand_skills(hard: Column, names: Column, expandable: Column) -> Column:

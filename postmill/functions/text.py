@@ -20,6 +20,11 @@ _EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 _FOLD = "(?iu)"
+# most places are inside a plain word, which is told without the classes of all letters
+_INSIDE = "(?<![A-Za-z0-9_])"
+_MARKUP = r"[<&\u200b](?:(?<=<)[^>]+>|(?<=&)[a-z]+;|(?<=\u200b))"
+# runs of white space other than a single blank, which would be replaced by itself
+_UNEVEN_BLANKS = rf"(?![!-~])(?: {_BLANKS}|{_BLANKS[:-2]}&&[^ ]]{_BLANKS[:-1]}*)"
 
 
 def _any_of(alternatives) -> str:
@@ -53,10 +58,31 @@ def _opening(heads) -> str:
     return f"(?=[{''.join(letters)}ſK])"
 
 
+def _letter(head: str) -> str:
+    """A first letter in either case; the signs that fold to s and k count as those."""
+    return head if head.startswith("\\") else "[" + head.upper() + head.lower() + {"S": "ſ", "K": "K"}.get(head.upper(), "") + "]"
+
+
+def _by_ranges(alternatives, ranges: int = 4) -> str:
+    """Alternation by first letter as `_by_first_letter`, with the letters in ranges that are told by one look-ahead each."""
+    groups = {}
+    for alternative in alternatives:
+        head = _head(alternative)
+        groups.setdefault(head.lower(), []).append(alternative[len(head):])
+    heads = sorted(groups)
+    size = -(-len(heads) // ranges)
+    out = []
+    for at in range(0, len(heads), size):
+        part = heads[at : at + size]
+        letters = "".join(_letter(head).strip("[]") for head in part)
+        out.append(f"(?=[{letters}])" + _any_of(f"{_letter(head)}{_FOLD[:-1]}:{'|'.join(groups[head])})" for head in part))
+    return _any_of(out)
+
+
 def _words(alternatives, ending=_NOT_BEFORE_WORD) -> str:
-    """Any of the alternatives (group 1) as a whole word, in any case."""
+    """Any of the alternatives (group 1) as a whole word, in any case. Letters inside a word are passed over first."""
     opening = _opening(_head(a) for a in alternatives)
-    return f"{opening}{_NOT_AFTER_WORD}{_FOLD}({_by_first_letter(alternatives)}){ending}"
+    return f"{_INSIDE}{opening}{_NOT_AFTER_WORD}({_by_ranges(alternatives)}){ending}"
 
 
 TECHNOLOGY_PATTERN = _words(vocab.TECHNOLOGIES)
@@ -64,9 +90,11 @@ SOFT_PATTERN = _words(vocab.SOFT_SKILLS)
 # an abbreviation may end in a dot, so its right edge can lie before a letter
 SENIORITY_PATTERN = _words(vocab.SENIORITY, _EDGE)
 STACK_PATTERN = _words(vocab.STACK_MENTIONS)
-EXPERIENCE_PATTERN = rf"(?=[Mm\d]){_FOLD}{vocab.EXPERIENCE}"
-SALARY_PATTERN = _opening("rsb") + _FOLD + vocab.SALARY
-CONTRACT_PATTERN = vocab.CONTRACT
+# what may stand before the number has no part in it
+EXPERIENCE_PATTERN = rf"(?=\d){_FOLD}" + vocab.EXPERIENCE.removeprefix(r"(?:M[íi]nimo\s+de\s+)?")
+SALARY_PATTERN = r"(?=[Rr][$Ee]|[Ssſ][Aa]|[Bb][Oo])" + _FOLD + vocab.SALARY
+# opened by plain letters, which are searched for without trying every place; the mention itself is group 1
+CONTRACT_PATTERN = vocab.CONTRACT.replace("[Cc]ontrata", "ontrata(?<=[Cc]ontrata)", 1)
 
 
 # --- cleaning ----------------------------------------------------------------
@@ -78,8 +106,7 @@ def unescape_html(raw: Column) -> Column:
 
 def strip_markup(text: Column) -> Column:
     """Tags, left-over entities and zero-width blanks out; white space collapsed."""
-    spaced = F.regexp_replace(text, r"<[^>]+>|&[a-z]+;|\u200b", " ")
-    return F.trim(F.regexp_replace(spaced, _BLANKS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, _MARKUP, " "), _UNEVEN_BLANKS, " "))
 
 
 def clean(raw: Column) -> Column:
@@ -94,10 +121,16 @@ def prefix(text: Column, size: int = 1500) -> Column:
 
 def section(text: Column, header, stops) -> Column:
     """Text after the first header, up to the first stop header or the end; '' if none."""
-    pattern = rf"(?isu){_any_of(header)}(.*?)(?:{_any_of(stops)}|$)"
+    pattern = rf"(?isu){_any_of(header)}(.*?)(?:{_at_header(stops)}|$)"
     return F.trim(F.regexp_extract(text, pattern, 1))
 
 
+def _at_header(headers) -> str:
+    """Any of the headers in any case, tried where its first letter stands; the i without and with a dot fold to i."""
+    letters = "".join(dict.fromkeys(c for h in headers for c in (h[0].upper(), h[0].lower())))
+    return f"(?:(?=[{letters}ſıİ])(?iu:{_by_first_letter(headers)}))"
+
+
 def nice_section(text: Column) -> Column:
     return section(text, vocab.NICE_HEADERS, vocab.SOFT_HEADERS + vocab.ADDITIONAL_HEADERS)
 
@@ -118,21 +151,41 @@ def technologies(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TECHNOLOGY_PATTERN), F.lit(1))
 
 
-def _lookup(entries: dict) -> Column:
+def _lookup(entries: dict, key: Column) -> Column:
+    """The value of a key, or NULL. A map is searched from its start, so the entries are dealt by first letter."""
+    groups = {}
+    for spelled, value in entries.items():
+        groups.setdefault(ord(spelled[0]), []).append(f"'{spelled}', '{value}'")
+    first = min(groups)
     # one parsed literal instead of a Python call per entry
-    quoted = ", ".join(f"'{v}'" for pair in entries.items() for v in pair)
-    return F.expr(f"map({quoted})")
+    maps = ", ".join(f"map({', '.join(groups[code])})" if code in groups else "null" for code in range(first, max(groups) + 1))
+    return F.try_element_at(F.get(F.expr(f"array({maps})"), F.ascii(key) - first), key)
+
+
+def _key(name: Column) -> Column:
+    return F.lower(F.trim(name))
 
 
 def canonical(name: Column) -> Column:
-    key = F.lower(F.trim(name))
-    return F.coalesce(F.try_element_at(_lookup(vocab.ALIASES), key), key)
+    return F.coalesce(_lookup(vocab.ALIASES, _key(name)), _key(name))
+
+
+#: Labels by spelling: those of the canonical names, and of the aliases of those.
+_LABEL_OF = {
+    key: vocab.LABELS[vocab.ALIASES.get(key, key)]
+    for key in (*vocab.LABELS, *vocab.ALIASES) if vocab.ALIASES.get(key, key) in vocab.LABELS
+}
+
+
+def label_of(name: str) -> str:
+    """The label of one fixed name, as `label` gives it."""
+    return _LABEL_OF.get(name.strip().lower()) or (name.upper() if len(name) <= 2 else name.strip())
 
 
 def label(name: Column) -> Column:
     """Display label; unlisted names keep their spelling, two letters at most go upper."""
     return F.coalesce(
-        F.try_element_at(_lookup(vocab.LABELS), canonical(name)),
+        _lookup(_LABEL_OF, _key(name)),
         F.when(F.length(name) <= 2, F.upper(name)).otherwise(F.trim(name)),
     )
 
@@ -210,19 +263,19 @@ def years_experience(text: Column) -> Column:
 def salary_mentions(text: Column) -> Column:
     """All salary mentions, or NULL."""
     hits = F.regexp_extract_all(text, F.lit(SALARY_PATTERN), F.lit(0))
-    return F.when(F.size(hits) > 0, hits)
+    return let(hits, lambda found: F.when(F.size(found) > 0, found))
 
 
 def contract_mentions(text: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(CONTRACT_PATTERN), F.lit(1))
-    trimmed = F.transform(hits, F.trim)
-    return F.when(F.size(trimmed) > 0, trimmed).otherwise(F.array(F.lit(vocab.DEFAULT_CONTRACT)))
+    default = F.array(F.lit(vocab.DEFAULT_CONTRACT))
+    return let(F.transform(hits, F.trim), lambda found: F.when(F.size(found) > 0, found).otherwise(default))
 
 
 def seniority(text: Column) -> Column:
     """First seniority word with abbreviations spelled out, or NULL."""
     hit = F.lower(F.regexp_extract(text, SENIORITY_PATTERN, 1))
     return F.coalesce(
-        F.try_element_at(_lookup(vocab.SENIORITY_LABELS), hit),
+        _lookup(vocab.SENIORITY_LABELS, hit),
         F.initcap(coerce.blank_to_null(hit)),
     )

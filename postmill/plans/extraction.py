@@ -31,6 +31,13 @@ def pending_posts(posts: DataFrame, jobs: DataFrame, limit: int = None) -> DataF
     return posts.join(pending_ids(posts, jobs, limit), "id", "left_semi")
 
 
+def _expandable(expand_partial: bool) -> Column:
+    """Stacks whose components count as hard skills."""
+    if expand_partial:
+        return F.col("_stacks")
+    return F.array_union(stacks.complete_stacks(F.col("_canonical")), F.col("_mentioned"))
+
+
 def with_text_features(
     posts: DataFrame, description: str = "description", expand_partial: bool = True, partitions: int = None
 ) -> DataFrame:
@@ -51,18 +58,15 @@ def with_text_features(
         ("_hard", text.labels_of(F.col("_hard_raw"))),
         ("_nice", text.labels_of(F.col("_nice_raw"))),
         ("_canonical", text.canonical_names(F.concat("_hard", "_nice"))),
-        ("_stacks", stacks.all_stacks(F.col("_canonical"), F.col("_text"))),
+        ("_mentioned", stacks.mentioned_stacks(F.col("_text"))),
+        ("_stacks", F.sort_array(F.array_union(stacks.covered_stacks(F.col("_canonical")), F.col("_mentioned")))),
+        ("_expanded", stacks.expand_skills(F.col("_hard"), F.col("_stacks"), _expandable(expand_partial))),
     )
     frame = posts.repartition(partitions) if partitions else posts
     for name, column in steps:
         frame = frame.withColumn(name, column)
-    expandable = F.col("_stacks")
-    if not expand_partial:
-        expandable = F.array_union(
-            stacks.complete_stacks(F.col("_canonical")), stacks.mentioned_stacks(F.col("_text"))
-        )
     features = F.struct(
-        stacks.expand_skills(F.col("_hard"), F.col("_stacks"), expandable).alias("hard_skills"),
+        F.col("_expanded").alias("hard_skills"),
         text.soft_skills(F.col("_text")).alias("soft_skills"),
         F.col("_nice").alias("nice_to_have"),
         text.years_experience(F.col("_text")).alias("years_experience"),

@@ -229,3 +229,25 @@ def test_entities_like_a_sequential_decoder(spark):
     got = frame.select("text", entities.unescape(F.col("text")).alias("plain")).collect()
     assert [(r.text, r.plain) for r in got if r.plain != html.unescape(r.text)] == []
     assert frame.limit(1).select(entities.unescape(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_frequent_entities_end_what_stands_before_them(spark):
+    import html
+
+    from postmill.functions import entities
+
+    around = ["&lt{};", "&am{}p;", "&amp;{}", "&#65{}", "&#x41{};", "&x{} a;", "&&{};", "&notit{};;", "&#38;{}", "& {}&gt", "{}"]
+    texts = [a.format(f"&{name};") for name in ("nbsp", "eacute", "Ccedil", "bull") for a in around] + ["&amp;nbsp;", "&#38;nbsp;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", entities.unescape(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [html.unescape(r.t) for r in rows]
+
+
+def test_labels_are_found_by_first_letter(spark):
+    from postmill.functions import vocab
+
+    names = [*vocab.ALIASES, *vocab.LABELS, "", " R ", "é", "Zig", "~", "\u212aafka"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.label(F.col("n")).alias("got")).collect()
+    def expected(n):
+        key = n.strip().lower()
+        return vocab.LABELS.get(vocab.ALIASES.get(key, key)) or (n.upper() if len(n) <= 2 else n.strip())
+    assert [r.got for r in rows] == [expected(r.n) for r in rows]

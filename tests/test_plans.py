@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from postmill.catalog import analytics, ingesting, listings, texts
+from postmill.catalog import adapter, analytics, ingesting, listings, texts
 from postmill.operators import trends
 from postmill.plans import extraction
 from postmill.session import scratch_path
@@ -39,6 +39,27 @@ def test_text_features_do_not_shuffle_by_key(spark):
     assert "hashpartitioning" not in text and "ArrowEvalPython" not in text
 
 
+def test_mentions_are_searched_once(spark):
+    """The pattern of salaries stands once in the plan of a load's job values, however often its hits are used."""
+    fields = extraction.job_fields(extraction.with_text_features(adapter.posts(spark, SF_DIR)), "regex")
+    text = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("a\\s+combinar") == 1
+
+
+def test_landed_rows_are_parsed_once(spark, monkeypatch):
+    """The cuts, the new posts and the errors of a run read rows that are parsed already."""
+    from postmill.plans import ingest
+    from postmill.sources import pages
+
+    path, store = scratch_path(spark, "landing"), Store(spark, scratch_path(spark, "store"))
+    ingesting.page_documents(spark, SF_DIR).write.text(path)
+    store.replace("search_terms", ingesting._terms(spark, SF_DIR).selectExpr("*", "true as is_active"))
+    plans, own = [], ingest.new_posts
+    monkeypatch.setattr(ingest, "new_posts", lambda rows, *others: plans.append(plan(rows)) or own(rows, *others))
+    ingest.ingest_pages(store, pages.read_pages(spark, path))
+    assert plans and "from_json" not in plans[0]
+
+
 def test_trend_window_prunes_month_folders(spark):
     store = Store(spark, scratch_path(spark, "store"))
     posts = empty_table(spark, "jobs_posts").unionByName(
