@@ -46,6 +46,29 @@ def test_mentions_are_searched_once(spark):
     assert text.count("a\\s+combinar") == 1
 
 
+def test_rows_of_one_term_are_dealt(spark):
+    """Where the table of terms is not broadcast, the rows of a term meet it in many tasks."""
+    from pyspark.sql import functions as F
+
+    from postmill.operators import ingest
+
+    rows = spark.range(2000).selectExpr("'dev' as term", "int(id div 40) as page", "int(id % 40) as position", "id % 900 as id")
+    rows = rows.selectExpr("*", "timestamp_ntz '2024-01-01' as published_date")
+    terms = spark.range(3).selectExpr("element_at(array('dev', 'ops', 'qa'), int(id) + 1) as term", "id", "timestamp_ntz '2020-01-01' as last_scraped_at")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        kept = ingest.newer_prefix(rows, terms)
+        assert kept.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        first = ingest.first_per_id(rows, terms)
+        assert first.count() == 900 and kept.count() == 2000 and "_part" in plan(first)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_landed_rows_are_parsed_once(spark, monkeypatch):
     """The cuts, the new posts and the errors of a run read rows that are parsed already."""
     from postmill.plans import ingest
