@@ -78,27 +78,49 @@ def with_text_features(
     return frame.withColumn("features", features).drop(*{name for name, _ in steps})
 
 
+#: Parts of a batch that raised, and of each part that raises again.
+PARTS = 8
+
+
 def guarded(function, result: T.StructType):
     """A pandas extractor for `with_custom_features` whose failures cost single rows.
 
     `function` takes a pandas Series of descriptions and returns a DataFrame with
-    the fields of `result`. A batch that raises is tried again row by row, and the
-    rows that raise again carry the message in `error`.
+    the fields of `result`. A batch that raises is tried again in parts, and the parts that
+    raise in smaller ones; rows that raise by themselves carry the message in `error`.
     """
     names = result.fieldNames()
     fields = [f for f in result.fields if f.name != "error"] + [T.StructField("error", T.StringType())]
 
+    def of_row(value) -> pd.DataFrame:
+        try:
+            row = function(pd.Series([value]))[names].iloc[0].to_dict() | {"error": None}
+        except Exception as failure:
+            row = dict.fromkeys(names) | {"error": f"{type(failure).__name__}: {failure}"}
+        return pd.DataFrame([row], columns=[*names, "error"], dtype=object)
+
+    def of_parts(description: pd.Series) -> list:
+        step = -(-len(description) // PARTS)
+        parts = []
+        for start in range(0, len(description), step):
+            part = description.iloc[start:start + step].reset_index(drop=True)
+            if len(part) == 1:
+                parts.append(of_row(part[0]))
+                continue
+            try:
+                found = function(part)[names]
+                if len(found) != len(part):
+                    raise ValueError("not one row for each description")
+                parts.append(found.astype(object).assign(error=None))
+            except Exception:
+                parts.extend(of_parts(part))
+        return parts
+
     def isolated(description: pd.Series) -> pd.DataFrame:
         try:
             return function(description)[names].assign(error=None)
         except Exception:
-            rows = []
-            for value in description:
-                try:
-                    rows.append(function(pd.Series([value]))[names].iloc[0].to_dict() | {"error": None})
-                except Exception as failure:
-                    rows.append(dict.fromkeys(names) | {"error": f"{type(failure).__name__}: {failure}"})
-            return pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+            return pd.concat(of_parts(description), ignore_index=True)
 
     return F.pandas_udf(isolated, T.StructType(fields))
 
@@ -110,7 +132,9 @@ def with_custom_features(posts: DataFrame, extractor, description: str = "descri
     leaves out are NULL. A field `error` tells why a row failed: it has no
     features then, and goes to the error log with its description.
     """
-    given = posts.withColumn("_features", extractor(F.coalesce(description, F.lit(""))))
+    given = posts.withColumn("_given", extractor(F.coalesce(description, F.lit(""))))
+    # passed through a generator: filters on features would be pushed below joins and run the extractor again, on all rows
+    given = given.select(*posts.columns, F.explode(F.array("_given")).alias("_features"))
     have = set(given.schema["_features"].dataType.fieldNames())
     failure = F.col("_features.error") if "error" in have else F.lit(None).cast("string")
     fields = [

@@ -113,6 +113,36 @@ def test_pending_posts_exchange_ids_only(spark):
     assert extraction.pending_posts(store.read("jobs_posts"), known).count() == 30
 
 
+def test_extractors_run_on_pending_rows_once(spark):
+    """The filters of a load are not pushed below its join, where the extractor would run on all posts a second time."""
+    from postmill.catalog import loading
+
+    stored = loading._described(spark, SF_DIR).join(spark.range(5), "id", "left_semi")
+    featured = extraction.with_custom_features(stored, extraction.guarded(loading._counted_words, loading._RESULT))
+    text = plan(extraction.job_fields(featured, "custom"))
+    assert text.count("ArrowEvalPython") == 1 and text.index("ArrowEvalPython") < text.index("LeftSemi")
+
+
+def test_failing_batches_are_tried_in_parts():
+    """A few rows that raise cost few calls, and change no other row."""
+    import pandas as pd
+
+    from postmill.catalog import loading
+
+    calls = []
+
+    def counted(description):
+        calls.append(len(description))
+        return loading._counted_words(description)
+
+    texts_of = ["a | b" if i in (7, 8, 999) else "" if i % 50 == 0 else f"w{i} " * (i % 9 + 1) for i in range(1000)]
+    got = extraction.guarded(counted, loading._RESULT).func(pd.Series(texts_of))
+    assert len(calls) < 120
+    assert got["error"].notna().tolist() == ["|" in t for t in texts_of]
+    for text, title, years in zip(texts_of, got["job_title"], got["years_experience"], strict=True):
+        assert (title, years) == ((None, None) if "|" in text else (text.split()[0] if text else "none", len(text.split())))
+
+
 @pytest.mark.parametrize("order", ["asc", "desc"])
 def test_pages_at_depth_sort_single_ranges(spark, order):
     """Pages of any depth, with nulls and ties across ranges; the rows that are sorted lie in few ranges."""
