@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from postmill.catalog.adapter import WITH_FEATURES, long_adverts, posts, table, text_table
+from postmill.catalog.adapter import WITH_FEATURES, dealt, long_adverts, posts, table, text_table
 from postmill.functions import coerce, responses, stacks, text, vocab
 from postmill.plans.extraction import with_text_features
 
@@ -338,7 +338,7 @@ def model_responses(spark, sf):
         .otherwise(F.concat(F.col("p_size"), F.lit(".9"))),
         F.lit(', "confidence_score": "0.75"}'),
     ))
-    features = table(spark, sf, "part").select("p_partkey", responses.response_features(response).alias("f"))
+    features = dealt(table(spark, sf, "part")).select("p_partkey", responses.response_features(response).alias("f"))
     joined = [F.array_join(f"f.{c}", ", ").alias(c) for c in
               ("salary", "contract_type", "hard_skills", "soft_skills", "nice_to_have")]
     return features.select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions import coerce
+from postmill.functions.binding import let
 
 
 def _kind(value: Column, path: str) -> Column:
@@ -69,16 +70,20 @@ def salary_field(value: Column, path: str) -> Column:
 
 def response_features(response: Column) -> Column:
     """Feature struct of one response; unreadable responses give empty features."""
-    value = F.try_parse_json(response)
-    return F.struct(
-        _text(value, "$.job_title").alias("job_title"),
-        list_field(value, "$.hard_skills").alias("hard_skills"),
-        list_field(value, "$.soft_skills").alias("soft_skills"),
-        list_field(value, "$.nice_to_have").alias("nice_to_have"),
-        int_field(value, "$.experiencia_anos").alias("years_experience"),
-        _text(value, "$.nivel").alias("seniority"),
-        salary_field(value, "$.salary").alias("salary"),
-        list_field(value, "$.contrato").alias("contract_type"),
-        F.array().cast("array<string>").alias("tech_stack"),
-        double_field(value, "$.confidence_score").alias("confidence_score"),
-    )
+
+    def features(value):
+        return F.struct(
+            _text(value, "$.job_title").alias("job_title"),
+            list_field(value, "$.hard_skills").alias("hard_skills"),
+            list_field(value, "$.soft_skills").alias("soft_skills"),
+            list_field(value, "$.nice_to_have").alias("nice_to_have"),
+            int_field(value, "$.experiencia_anos").alias("years_experience"),
+            _text(value, "$.nivel").alias("seniority"),
+            salary_field(value, "$.salary").alias("salary"),
+            list_field(value, "$.contrato").alias("contract_type"),
+            F.array().cast("array<string>").alias("tech_stack"),
+            double_field(value, "$.confidence_score").alias("confidence_score"),
+        )
+
+    # bound, as the fields would parse the response a dozen times a row
+    return let(F.try_parse_json(response), features)

@@ -46,6 +46,14 @@ def test_mentions_are_searched_once(spark):
     assert text.count("a\\s+combinar") == 1
 
 
+def test_responses_are_parsed_once(spark):
+    """All fields of a response read one parsed value, and responses of one file are parsed in many tasks."""
+    responses = texts.model_responses(spark, SF_DIR)
+    text = responses._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("parse_json") + text.count("parseJson") == 1
+    assert responses.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_rows_of_one_term_are_dealt(spark):
     """Where the table of terms is not broadcast, the rows of a term meet it in many tasks."""
     from pyspark.sql import functions as F
