@@ -91,17 +91,14 @@ def entity_features(spark, sf):
 
 def _tagged(spark, sf):
     """Gold and predicted tags of whole documents, from word lengths."""
-    tokens = text_table(spark, sf, "documents").select("doc_id", labels.tokens(F.col("text")).alias("w"))
-
-    def tag(size, shift):
-        kind = (size + shift) % 5
-        return F.when(kind == 0, "B-HARD_SKILL").when(kind == 1, "I-HARD_SKILL").when(kind == 2, "I-SOFT_SKILL").otherwise("O")
-
-    gold = F.transform("w", lambda t: tag(F.length(t), F.lit(0)))
-    predicted = F.transform("w", lambda t, i: tag(F.length(t), F.when(i % 7 == 0, 1).otherwise(0)))
-    mask = F.transform("w", lambda t, i: i % 11 != 5)
+    kinds = F.array(*[F.lit(kind) for kind in ("B-HARD_SKILL", "I-HARD_SKILL", "I-SOFT_SKILL", "O", "O")])
+    tokens = text_table(spark, sf, "documents").select(
+        "doc_id", F.transform(labels.tokens(F.col("text")), lambda t: F.length(t) % 5).alias("k")
+    ).withColumn("mask", F.transform("k", lambda k, i: i % 11 != 5))
+    gold = F.transform("k", lambda k: F.get(kinds, k))
+    predicted = F.transform("k", lambda k, i: F.get(kinds, F.when(i % 7 == 0, (k + 1) % 5).otherwise(k)))
     return tokens.select(
-        "doc_id", labels.unmasked(gold, mask).alias("gold"), labels.unmasked(predicted, mask).alias("predicted")
+        "doc_id", labels.unmasked(gold, F.col("mask")).alias("gold"), labels.unmasked(predicted, F.col("mask")).alias("predicted")
     )
 
 

@@ -478,3 +478,38 @@ def test_a_thousand_batches_leave_few_folders(spark, monkeypatch):
     got = {(r.period.day, r.technology): r["count"] for r in streams.live_daily_counts(spark, counts).collect()}
     assert got == {(d + 1, "Python"): 5 for d in range(4)} | {(1, "T0"): 10, (1, "T1"): 10}
     assert len(streams._ids(spark, f"{counts}/batches", "batch")) <= 6 and len(streams._ids(spark, f"{counts}/merged", "until")) <= 2
+
+
+def test_scores_of_odd_tags(spark):
+    """Entities are counted in batches of arrays, and as one at a time: lost tags, lost rows, other labels, unequal lengths."""
+    rng = random.Random(5)
+
+    def walked(tags):
+        found, start = [], None
+        for i, tag in enumerate(tags or []):
+            before = "O" if i == 0 or tags[i - 1] is None else tags[i - 1]
+            opens = tag not in (None, "O") and (tag.startswith("B-") or before == "O" or before[2:] != tag[2:])
+            if start is not None and (opens or tag == "O"):
+                found.append((start, i, tags[start][2:]))
+                start = None
+            start = i if opens else start
+        return {*found, (start, len(tags), tags[start][2:])} if start is not None else {*found}
+
+    def some(n):
+        return None if rng.random() < 0.1 else [rng.choice(["O", "O", "B-A", "I-A", "B-É", "I-É", "B-AB", "A", "", None]) for _ in range(n)]
+
+    rows = []
+    for i in range(400):
+        gold = some(rng.randrange(12))
+        own = gold and [t if rng.random() < 0.7 else rng.choice(["O", "I-A"]) for t in gold]
+        rows.append((i, gold, own if rng.random() < 0.8 else some(rng.randrange(12))))
+    frame = spark.createDataFrame(rows, "id int, gold array<string>, predicted array<string>").repartition(3)
+    scores = labels.entity_scores(frame)
+    assert "MapInArrow" in scores._jdf.queryExecution().executedPlan().toString()
+    got = scores.first()
+    pairs = [(walked(g), walked(p)) for _, g, p in rows]
+    assert (got.gold, got.predicted, got.correct) == (
+        sum(len(g) for g, _ in pairs), sum(len(p) for _, p in pairs), sum(len(g & p) for g, p in pairs)
+    )
+    listed = frame.select("id", F.explode(labels.entity_spans(F.col("gold"))).alias("s")).collect()
+    assert {(r.id, r.s.start, r.s.end + 1, r.s.label) for r in listed} == {(i, *e) for (i, *_), (g, _) in zip(rows, pairs, strict=True) for e in g}
