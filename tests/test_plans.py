@@ -121,6 +121,20 @@ def test_pending_posts_exchange_ids_only(spark):
     assert extraction.pending_posts(store.read("jobs_posts"), known).count() == 30
 
 
+def test_timestamps_are_taken_apart_once(spark):
+    """The pattern of a timestamp runs once to test a text and once for each of its three parts."""
+    from postmill.functions import coerce
+
+    rows = spark.createDataFrame([("2024-01-02T03:04:05-03:30",)], "t string")
+    text = rows.select(coerce.parse_datetime(rows.t).alias("at"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("(?:.(") == 4
+
+
+def test_pages_are_ranked_once(spark):
+    """The last page of a kind is counted, not found by a second sort of all its events."""
+    assert plan(ingesting.uneven_pages(spark, SF_DIR)).count("Window [") == 1
+
+
 def test_extractors_run_on_pending_rows_once(spark):
     """The filters of a load are not pushed below its join, where the extractor would run on all posts a second time."""
     from postmill.catalog import loading
