@@ -22,20 +22,17 @@ def coverage(canonical_skills: Column, stack: str) -> Column:
 
 
 def _covered(canonical_skills: Column, accept) -> Column:
-    """Names of the stacks whose (found, size) component counts are accepted, sorted."""
-    catalogue = F.array(*[
-        F.struct(F.lit(stack).alias("stack"), _strings(parts).alias("parts"))
-        for stack, parts in sorted(vocab.STACKS.items())
-    ])
-
-    def names(skills):
-        # counted once per stack: `accept` asks for the count several times
-        counted = F.transform(catalogue, lambda s: F.struct(
-            s["stack"].alias("stack"), F.size(F.array_intersect(skills, s["parts"])).alias("found"), F.size(s["parts"]).alias("size"),
-        ))
-        return F.transform(F.filter(counted, lambda s: accept(s["found"], s["size"])), lambda s: s["stack"])
-
-    return let(canonical_skills, names)
+    """Names of the stacks whose (found, size) component counts are accepted, sorted.
+
+    One plain expression per stack: functions of list elements are interpreted, and sets built for every stack.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def stack_if_accepted(stack, parts):
+        held = [F.when(F.array_contains(canonical_skills, part), 1).otherwise(0) for part in dict.fromkeys(parts)]
+        return F.when(accept(sum(held[1:], held[0]), F.lit(len(parts))), F.array(F.lit(stack))).otherwise(nothing)
+
+    return F.concat(*[stack_if_accepted(stack, parts) for stack, parts in sorted(vocab.STACKS.items())])
 
 
 def complete_stacks(canonical_skills: Column) -> Column:

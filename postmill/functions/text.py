@@ -7,6 +7,8 @@ Letters, digits and underscore are spelled out as a character class instead of
 After `clean` the only white space left is a single blank.
 """
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ _BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 _FOLD = "(?iu)"
 # most places are inside a plain word, which is told without the classes of all letters
-_INSIDE = "(?<![A-Za-z0-9_])"
+# and without ranges, which are looked at one by one
+_INSIDE = f"(?<![{string.ascii_letters}{string.digits}_])"
 _MARKUP = r"[<&\u200b](?:(?<=<)[^>]+>|(?<=&)[a-z]+;|(?<=\u200b))"
 # runs of white space other than a single blank, which would be replaced by itself
 _UNEVEN_BLANKS = rf"(?![!-~])(?: {_BLANKS}|{_BLANKS[:-2]}&&[^ ]]{_BLANKS[:-1]}*)"
@@ -121,7 +124,7 @@ def prefix(text: Column, size: int = 1500) -> Column:
 
 def section(text: Column, header, stops) -> Column:
     """Text after the first header, up to the first stop header or the end; '' if none."""
-    pattern = rf"(?isu){_any_of(header)}(.*?)(?:{_at_header(stops)}|$)"
+    pattern = rf"(?isu){_at_header(header)}(.*?)(?:{_at_header(stops)}|$)"
     return F.trim(F.regexp_extract(text, pattern, 1))
 
 
@@ -199,14 +202,7 @@ def one_per_canonical(names: Column) -> Column:
     ranked = F.sort_array(
         F.transform(F.array_distinct(names), lambda s: F.struct((-F.length(s)).alias("len"), s.alias("name")))
     )
-    keyed = F.transform(ranked, lambda r: F.struct(r["name"].alias("name"), canonical(r["name"]).alias("key")))
-    return let(
-        keyed,
-        lambda pairs: F.transform(
-            F.filter(pairs, lambda p, i: F.array_position(pairs["key"], p["key"]) == i + 1),
-            lambda p: p["name"],
-        ),
-    )
+    return coerce.first_per_key(F.transform(ranked, lambda r: r["name"]), canonical)
 
 
 def labels_of(names: Column) -> Column:

@@ -3,8 +3,10 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from postmill.catalog import adapter, analytics, ingesting, listings, texts
+from postmill.catalog import adapter, analytics, ingesting, listings, loading, texts
+from postmill.functions import coerce, entities
 from postmill.operators import trends
 from postmill.plans import extraction
 from postmill.session import scratch_path
@@ -46,6 +48,35 @@ def test_mentions_are_searched_once(spark):
     assert text.count("a\\s+combinar") == 1
 
 
+def test_posts_of_one_file_are_taken_apart_in_all_cores(spark, monkeypatch):
+    """The job values of a load are computed in as many tasks as there are cores, however few files the orders are."""
+    monkeypatch.setattr(adapter, "text_table", adapter.table)
+    staged = []
+    monkeypatch.setattr(loading, "stage", lambda frame, label: staged.append(frame) or frame)
+    fields = loading._fields(spark, SF_DIR)
+    assert staged == [fields] and fields.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_entities_are_told_in_one_pass(spark):
+    """Frequent entities are looked up in the parts of a text, not searched for in the whole text name by name."""
+    frame = adapter.posts(spark, SF_DIR).select(entities.unescape("description").alias("t"))
+    assert "replace(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stack_components_are_counted_without_sets(spark):
+    featured = extraction.with_text_features(adapter.posts(spark, SF_DIR)).select("features.tech_stack")
+    assert "array_intersect" not in featured._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_spellings_are_found_by_plain_keys(spark):
+    """Keys are no fields of a struct, whose type Spark works out for every place; nulls are dropped, the first spelling stays."""
+    lists = [["Go", "SQL"], ["sql", "SQL", "Go", "Sql", "GO"], ["b", None, "a"], [None], [], None]
+    frame = spark.createDataFrame([(i, names) for i, names in enumerate(lists)], "id int, names array<string>")
+    told = frame.select("id", coerce.distinct_ignoring_case(F.col("names")).alias("names"))
+    assert ".key" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.names for r in told.orderBy("id").collect()] == [["Go", "SQL"], ["sql", "Go"], ["b", "a"], [], [], None]
+
+
 def test_responses_are_parsed_once(spark):
     """All fields of a response read one parsed value, and responses of one file are parsed in many tasks."""
     responses = texts.model_responses(spark, SF_DIR)
