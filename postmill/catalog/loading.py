@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill import schema
-from postmill.catalog.adapter import POSTS_SQL, WITH_FEATURES, posts, table
+from postmill.catalog.adapter import POSTS_SQL, WITH_FEATURES, dealt, posts, table
 from postmill.functions import responses, vocab
 from postmill.operators import dimensions, ingest
 from postmill.plans import extraction
@@ -22,7 +22,8 @@ def _empty(spark):
 
 
 def _fields(spark, sf):
-    featured = extraction.with_text_features(posts(spark, sf))
+    # a scan of orders is cut by bytes, of which they have few: their texts would be taken apart in a part of the cores
+    featured = extraction.with_text_features(posts(spark, sf, dealt))
     return stage(extraction.job_fields(featured, "regex"), "job-fields")
 
 
